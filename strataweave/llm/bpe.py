@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_SIZE = 1 << 16
@@ -276,6 +278,7 @@ def bpe(
 ) -> DataFrame:
     """doc_id and the wanted outputs: the ids, the text decoded from them, their number and digests."""
     outputs = list(outputs)
+    ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_text = f.read()
     merges = Merges(tokenizer_text)

@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
+__all__ = ["drop_path", "shared_dir", "ship", "spool", "table"]
+
 _spools: list[tuple[SparkSession, str]] = []
 
 

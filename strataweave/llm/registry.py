@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as lines
 from .bpe import bpe
 from .common import table
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 
@@ -26,6 +27,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,7 +49,7 @@ ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_line_dedup, op6_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality_classifier, op5_line_dedup, op6_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
