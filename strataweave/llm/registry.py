@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from . import line_dedup as lines
 from .bpe import bpe
 from .common import table
+from .license_scan import license_scan
+from .near_dedup import near_duplicates
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .secret_scan import digest, secret_scan
 from .sharding import shard_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +34,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -40,6 +47,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -49,7 +64,17 @@ ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality_classifier, op5_line_dedup, op6_bpe, op10_quality_rules)}
+    every = (
+        op1_sharding,
+        op3_quality_classifier,
+        op4_license_scan,
+        op5_line_dedup,
+        op6_bpe,
+        op8_secret_scan,
+        op9_near_dedup,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
