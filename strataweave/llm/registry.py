@@ -11,6 +11,7 @@ from . import line_dedup as lines
 from .bpe import bpe
 from .common import table
 from .license_scan import license_scan
+from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -47,6 +48,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_license_scan,
         op5_line_dedup,
         op6_bpe,
+        op7_lm_scoring,
         op8_secret_scan,
         op9_near_dedup,
         op10_quality_rules,
