@@ -3,8 +3,8 @@
 The corpus's commonest words are counted over all documents and compiled, with the
 ids that they encode to, into a minimal acyclic automaton with shared suffixes.
 Each state knows how many words its earlier arcs accept, so that a walk yields the
-word's number and from it the ids.  The automaton is one flat byte string; workers
-on one machine write it once to a file named by its digest and memory-map it.
+word's number and from it the ids.  The automaton is one flat byte string, which each
+worker memory-maps from an unnamed temporary file.
 Words that the automaton does not hold are merged exactly by rank, so its size
 changes only the speed, never a result.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import os
 import struct
 import tempfile
 from collections import Counter
@@ -41,6 +40,9 @@ LEXICON_SIZE = 1 << 16
 MEMO_SIZE = 1 << 18
 #: Distinct words that a counting task holds before it hands them on.
 COUNT_SIZE = 1 << 19
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 OUTPUTS = {
     "ids": "array<int>",
     "decoded": "string",
@@ -70,24 +72,25 @@ class Merges:
         self.token_bytes.update({i: t.encode() for t, i in self.specials.items()})
         self.of_byte = {byte_of[t]: i for t, i in vocab.items() if len(t) == 1}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        # one number holds a pair's rank, high, and its merged id, low: the least number is the next merge
+        self.rank = {(vocab[a], vocab[b]): r << ID_BITS | vocab[a + b] for r, (a, b) in enumerate(pairs)}
 
     def encode(self, word: bytes) -> list[int]:
         ids = [self.of_byte[b] for b in word]
-        rank = self.rank.get
-        best = [rank(p) for p in zip(ids, ids[1:])]
-        while True:
-            found = [x for x in best if x is not None]
-            if not found:
-                return ids
-            low = min(found)
+        rank, none = self.rank.get, NO_MERGE
+        best = [rank(p, none) for p in zip(ids, ids[1:])]
+        while best:
+            low = min(best)
+            if low == none:
+                break
             k = best.index(low)
-            ids[k : k + 2] = [low[1]]
-            del best[k]
+            ids[k] = new = low & ID_MASK
+            del ids[k + 1], best[k]
             if k:
-                best[k - 1] = rank((ids[k - 1], ids[k]))
+                best[k - 1] = rank((ids[k - 1], new), none)
             if k < len(best):
-                best[k] = rank((ids[k], ids[k + 1]))
+                best[k] = rank((new, ids[k + 1]), none)
+        return ids
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -148,13 +151,10 @@ class Lexicon:
     """Looks words up in a compiled lexicon that is mapped from a file."""
 
     def __init__(self, blob: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            handle, own = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(handle, "wb") as f:
-                f.write(blob)
-            os.replace(own, path)
-        with open(path, "rb") as f:
+        # the file's name goes at once: the mapping keeps it until the worker ends, and nothing is left behind
+        with tempfile.TemporaryFile() as f:
+            f.write(blob)
+            f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         view, sizes, at = memoryview(self.map), struct.unpack_from("<8Q", self.map), 64
         parts = []
@@ -209,7 +209,7 @@ class Codec:
         """The ids in decimal, joined by commas."""
         if len(self.memo) >= MEMO_SIZE:
             self.memo.clear()
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.merges.specials):
             return ",".join(map(self.memo.__getitem__, self.find(text)))
         out = []
         for part in self.special.split(text):
