@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as lines
 from .bpe import bpe
 from .common import table
+from .decontamination import benchmark_leaks
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
@@ -31,6 +32,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_sharding,
+        op2_decontamination,
         op3_quality_classifier,
         op4_license_scan,
         op5_line_dedup,
