@@ -36,9 +36,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _load() -> None:
+    """Import the modules that register queries; they import query() from here."""
+    from . import queries_analytics, queries_graph, queries_languages, queries_temporal, queries_vector  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
