@@ -8,11 +8,12 @@ chosen from the total weight so that about K * (ln K + 3) darts are thrown, and
 doubled for the few documents that leave a coordinate empty.  Two documents agree
 on a coordinate with a probability equal to their weighted Jaccard similarity.
 
-Bands of coordinates make buckets.  In each bucket the members are compared with
-one leader; candidates are verified exactly on their shingles, and the links are
-joined into classes.  Buckets that still hold several classes are dealt with once
-more: small ones pair up all members of different classes, larger ones are split
-by further coordinates and get leaders of their own, under other orders.
+Bands of coordinates make buckets.  In the buckets of the first bands the members
+are compared with one leader; candidates are verified exactly on their shingles,
+and the links are joined into classes.  Then every bucket, of any band, that holds
+several classes is dealt with: small ones pair up their members of different
+classes, larger ones get leaders under other orders and are split by further
+coordinates.  So a text is never paired with a class that it is in already.
 
 Equal texts are one node throughout, so copies are never expanded into pairs.
 
@@ -41,6 +42,8 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 BANDS, BAND_ROWS = 25, 5
+#: Bands whose buckets are compared first; the others add only what joins different classes.
+FIRST_BANDS = 8
 #: Second pass, inside crowded buckets: further bands of coordinates.
 SUB_BANDS, SUB_ROWS = 10, 3
 SMALL_BUCKET = 24
@@ -244,10 +247,12 @@ def _with_values(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 
 def _star(members: DataFrame, order: Column) -> DataFrame:
-    """(a, b): each bucket's leader, first in order, with every other member.  members: bucket, tkey."""
-    lead = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "tkey")).alias("lead"), F.count("*").alias("n"))
-    lead = lead.where("n > 1").select("bucket", F.col("lead.tkey").alias("a"))
-    return members.join(lead.hint("merge"), "bucket").where("a <> tkey").select("a", F.col("tkey").alias("b"))
+    """(a, b): each bucket's leader, first in order, with every member of another class.  members: bucket, tkey, root."""
+    lead = members.groupBy("bucket").agg(
+        F.min(F.struct(order.alias("o"), "tkey", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    )
+    lead = lead.where("r0 <> r1").select("bucket", F.col("lead.tkey").alias("a"), F.col("lead.root").alias("ra"))
+    return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tkey").alias("b"))
 
 
 def near_duplicates(
@@ -260,41 +265,54 @@ def near_duplicates(
     texts = rows.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     texts = spool(texts)
     once = spool(rows.select("tkey", "sig", "bands", "subs").dropDuplicates(["tkey"]))
-    members = once.select("tkey", F.explode("bands").alias("bucket"))
-    first = spool(_star(members, F.xxhash64("tkey")).distinct())
+    members = once.select("tkey", F.posexplode("bands").alias("band", "bucket"))
+    early = members.where(F.col("band") < FIRST_BANDS).select("bucket", "tkey", F.col("tkey").alias("root"))
+    first = spool(_star(early, F.xxhash64("tkey")).distinct())
 
-    in_play = first.select(F.col("a").alias("tkey")).union(first.select("b")).distinct()
-    wanted = in_play.join(texts.select("tkey", F.col("first_id").alias("doc_id")), "tkey")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tkey"))
     no_id = F.lit(-(1 << 63))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tkey"))
     source = source.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), no_id)).drop("doc_id")
-    wanted = wanted.select("tkey", F.coalesce(F.col("doc_id").cast("long"), no_id).alias("at"))
-    cells = spool(_shingles(source.join(wanted.hint("merge"), ["tkey", "at"], "left_semi").select("tkey", "text")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = spool(_similar(_with_values(pairs, once, "sig"), "sig", similarity - SLACK))
+    def cells_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Shingle cells of the texts in pairs, each made from one row that holds the text."""
+        keys = pairs.select(F.col("a").alias("tkey")).union(pairs.select("b")).distinct()
+        keys = keys if known is None else keys.join(known.select("tkey").hint("merge"), "tkey", "left_anti")
+        at = F.coalesce(F.col("first_id").cast("long"), no_id).alias("at")
+        # a table of known size: a few texts are broadcast, many are joined by a shuffle
+        wanted = spool(keys.join(texts.hint("merge"), "tkey").select("tkey", at))
+        own = spool(_shingles(source.join(wanted, ["tkey", "at"], "left_semi").select("tkey", "text")))
+        return own if known is None else known.unionByName(own)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return spool(_similar(_with_values(pairs, once, "sig"), "sig", similarity - SLACK))
+
+    def verified(likely: DataFrame, cells: DataFrame) -> DataFrame:
         return spool(_similar(_with_values(likely, cells, "cells"), "cells", similarity).distinct())
 
-    links = verified(first)
+    near = likely(first)
+    cells = cells_of(near)
+    links = verified(near, cells)
     roots = connected_components(links)
-    # buckets of three or more that still hold several classes
-    labelled = members.join(in_play, "tkey", "left_semi").join(roots.withColumnRenamed("node", "tkey"), "tkey", "left")
+    # every bucket that holds several classes by now, of whatever band
+    labelled = members.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left")
     labelled = spool(labelled.select("tkey", "bucket", F.coalesce("root", "tkey").alias("root")))
     mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = mixed.where("n > 2 and r0 <> r1").select("bucket", "n")
+    mixed = mixed.where("r0 <> r1").select("bucket", "n")
     open_rows = spool(labelled.join(mixed.hint("merge"), "bucket").select("tkey", "bucket", "root", "n"))
     small = open_rows.where(F.col("n") <= SMALL_BUCKET)
     x = small.select("bucket", F.col("tkey").alias("a"), F.col("root").alias("ra"))
     y = small.select("bucket", F.col("tkey").alias("b"), F.col("root").alias("rb"))
     more = x.join(y.hint("merge"), "bucket").where("a < b and ra <> rb").select("a", "b")
     large = open_rows.where(F.col("n") > SMALL_BUCKET)
-    again = large.select(F.xxhash64("bucket", F.lit(2)).alias("bucket"), "tkey")
-    more = more.union(_star(again, F.xxhash64(F.lit(2), "tkey")))
-    subs = large.join(once.select("tkey", "subs"), "tkey").select("tkey", "bucket", F.explode("subs").alias("sub"))
-    subs = subs.select("tkey", F.xxhash64("bucket", "sub").alias("bucket"))
-    more = more.union(_star(subs, F.xxhash64(F.lit(3), "tkey")))
-    more = spool(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    extra = verified(more)
+    for salt in (2, 3):
+        more = more.union(_star(large.select("bucket", "tkey", "root"), F.xxhash64(F.lit(salt), "tkey")))
+    subs = large.join(once.select("tkey", "subs").hint("merge"), "tkey").select("tkey", "root", "bucket", F.explode("subs").alias("sub"))
+    subs = subs.select("tkey", "root", F.xxhash64("bucket", "sub").alias("bucket"))
+    more = more.union(_star(subs, F.xxhash64(F.lit(4), "tkey")))
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = spool(more.select(*pair).distinct().join(first.select(*pair).hint("merge"), ["a", "b"], "left_anti"))
+    near = likely(more)
+    extra = verified(near, cells_of(near, cells))
     links = links.union(extra).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = spool(links)
     roots = connected_components(links)
