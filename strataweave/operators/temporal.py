@@ -93,7 +93,8 @@ def changefeed(writes: DataFrame, start: int, end: int, limit: int | None = None
     # the first write of an entity needs its whole past, so the window comes before the filter
     out = writes.withColumn("change_type", kind).where((F.col("tf") >= start) & (F.col("tf") < end))
     if after is not None:
-        out = out.where(F.struct("tf", "id", "version_id") > F.struct(*[F.lit(x) for x in after]))
+        last = [F.lit(x).cast(out.schema[c].dataType).alias(c) for c, x in zip(("tf", "id", "version_id"), after)]
+        out = out.where(F.struct("tf", "id", "version_id") > F.struct(*last))
     out = out.orderBy("tf", "id", "version_id")
     return out if limit is None else out.limit(limit)
 
