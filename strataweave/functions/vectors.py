@@ -19,6 +19,11 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: inside a lambda, an outer expression would be evaluated per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def same_dimension(a: Column, b: Column) -> Column:
     """a, or an error where the dimensions differ."""
     a, b = _doubles(a), _doubles(b)
@@ -40,9 +45,7 @@ def magnitude(a: Column | list[float]) -> Column:
 
 def normalize(a: Column | list[float]) -> Column:
     """Unit vector; a near-zero vector as it is."""
-    a = _doubles(a)
-    norm = magnitude(a)
-    return F.when(norm > TINY, F.transform(a, lambda x: x / norm)).otherwise(a)
+    return let(_doubles(a), lambda v: let(magnitude(v), lambda n: F.when(n > TINY, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def is_normalized(a: Column, tolerance: float = 1e-4) -> Column:
@@ -52,8 +55,8 @@ def is_normalized(a: Column, tolerance: float = 1e-4) -> Column:
 def cosine(a: Column | list[float], b: Column | list[float]) -> Column:
     """Clamped to [-1, 1]; 0 where either is empty or near zero."""
     a, b = _doubles(a), _doubles(b)
-    norms = magnitude(a) * magnitude(b)
-    return F.when(norms > TINY, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms))).otherwise(0.0)
+    ratio = lambda n: F.when(n > TINY, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n))).otherwise(0.0)
+    return let(magnitude(a) * magnitude(b), ratio)
 
 
 def euclidean_squared(a: Column | list[float], b: Column | list[float]) -> Column:
@@ -110,8 +113,9 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, by: Column | float) -> Column:
-    by = by if isinstance(by, Column) else F.lit(float(by))
-    return F.transform(_doubles(a), lambda x: x * by)
+    if not isinstance(by, Column):
+        return F.transform(_doubles(a), lambda x: x * float(by))
+    return let(by, lambda factor: F.transform(_doubles(a), lambda x: x * factor))
 
 
 def array_mean(vector: str, dimension: int) -> Column:

@@ -129,7 +129,7 @@ def trust(confidence: DataFrame, lineage: DataFrame, policy: str = "weakest", mi
     if policy == "weakest":
         agg = F.min("confidence")
     else:
-        c = F.least(F.col("confidence"), F.lit(1 - 1e-12))
+        c = F.when(F.col("confidence").isNotNull(), F.least(F.col("confidence"), F.lit(1 - 1e-12)))  # least() would skip a null
         agg = 1 - F.exp(F.sum(F.log(1 - c)))
     return joined.groupBy(F.col("root").alias("version")).agg(F.coalesce(agg, F.lit(0.5)).alias("trust"))
 

@@ -235,3 +235,94 @@ def investigate(spark, d):
  SELECT id, round(1 - list_cosine_similarity(a, b), 6) AS distance FROM x WHERE 1 - list_cosine_similarity(a, b) > 0.1""")
 def drift_alarms(spark, d):
     return H.drift_alarms(M.vector_versions(spark, d), 400_000_000, 100_000_000, 0.1).select("id", _r("distance"))
+
+
+@query("echo_resonance", f"""WITH {WRITES}, b AS (SELECT id, (vf // 60000000) % 60 AS b, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT id, sqrt(sum(n * n)) AS z FROM b GROUP BY 1),
+ q AS (SELECT b, n / z AS x FROM b JOIN s USING (id) WHERE id = 5) SELECT s.id, round(coalesce(sum(n / z * x), 0), 6) AS resonance FROM s LEFT JOIN b ON b.id = s.id LEFT JOIN q ON q.b = b.b WHERE s.id <> 5 GROUP BY 1""")
+def echo_resonance(spark, d):
+    return H.resonance(H.echo(M.event_writes(spark, d)), 5).select("id", _r("resonance"))
+
+
+@query("ripple", f"""WITH {VERSIONS}, l AS (SELECT id, vf, list_distance(e, lag(e) OVER (PARTITION BY id ORDER BY vf)) AS m FROM v), f AS (SELECT id, vf // 20000000 AS b, sum(m) AS f FROM l WHERE m IS NOT NULL GROUP BY 1, 2),
+ g AS (SELECT unnest(generate_series(min(b), max(b))) AS b FROM f WHERE id IN (1, 2)), x AS (SELECT g.b, coalesce(f, 0) AS x FROM g LEFT JOIN f ON f.b = g.b AND id = 1), y AS (SELECT g.b, coalesce(f, 0) AS y FROM g LEFT JOIN f ON f.b = g.b AND id = 2)
+ SELECT k::INT AS lag, round(coalesce(corr(x, y), 0), 6) AS correlation FROM generate_series(0, 4) s(k) JOIN x ON true JOIN y ON y.b = x.b + k GROUP BY 1""")
+def ripple(spark, d):
+    f = D.flux(M.vector_versions(spark, d), 20_000_000)
+    return D.ripple(f.where("id = 1"), f.where("id = 2"), 4).select("lag", _r("correlation"))
+
+
+@query("prism", f"""WITH {NODES}, a AS (SELECT list_transform({QS}, lambda x: x / sqrt(list_inner_product({QS}, {QS}))) AS u)
+ SELECT id, round(list_inner_product(e, u), 6) AS first, round(sqrt(greatest(0, list_inner_product(e, e) - list_inner_product(e, u) ** 2)), 5) AS residual FROM n, a""")
+def prism(spark, d):
+    return C.prism(M.vector_nodes(spark, d), [("first", Q), ("none", [2 * x for x in Q])]).select("id", _r("first"), _r("residual", 5))
+
+
+@query("gravity_pull", f"""WITH {NODES}, g AS (SELECT id, e, greatest(1e-4, list_distance(e, {QS})) AS d FROM n), m AS (SELECT id, list_transform(list_zip(e, {QS}), lambda z: z[1] + (z[2] - z[1]) * 0.1 * 2 / (d * d + 0.1) / d) AS m FROM g)
+ SELECT id, round(list_cosine_similarity(m, {QS}), 6) AS along FROM m""")
+def gravity_pull(spark, d):
+    return C.pull(M.vector_nodes(spark, d), Q, 0.1, 2.0).select("id", F.round(V.cosine(F.col("embedding"), Q), 6).alias("along"))
+
+
+@query("encounter", """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id, list_transform(list_zip(b.e, d.e), lambda z: z[1] - z[2]) AS p,
+ list_transform(list_zip(list_zip(b.e, a.e), list_zip(d.e, c.e)), lambda z: z[1][1] - z[1][2] - z[2][1] + z[2][2]) AS v FROM v a JOIN v b ON b.id = a.id + 1 JOIN v c ON c.id = a.id + 2 JOIN v d ON d.id = a.id + 3)
+ SELECT id, round(-list_inner_product(p, v) / list_inner_product(v, v), 6) AS t, -list_inner_product(p, v) / list_inner_product(v, v) < 0 AS is_past FROM p""")
+def encounter(spark, d):
+    n = M.vector_nodes(spark, d).select("id", "embedding")
+    at = lambda k, name: n.select((F.col("id") - k).alias("id"), F.col("embedding").alias(name))
+    rows = at(0, "a0").join(at(1, "a1"), "id").join(at(2, "b0"), "id").join(at(3, "b1"), "id")
+    return R.encounter(rows).select("id", _r("t"), "is_past")
+
+
+@query("muse_inspire", f"""WITH {NODES}, s AS (SELECT * FROM n WHERE id IN (4, 9, 30)), c AS (SELECT {_mean('e')} AS c FROM s)
+ SELECT round(1 - greatest(0, (SELECT max(list_cosine_similarity(e, c)) FROM n, c WHERE id NOT IN (4, 9, 30))), 6) AS novelty, round((SELECT avg(list_cosine_similarity(e, c)) FROM s, c), 6) AS coherence""")
+def muse_inspire(spark, d):
+    return R.inspire(M.vector_nodes(spark, d), [4, 9, 30], DIM).select(_r("novelty"), _r("coherence"))
+
+
+@query("reachability", f"""WITH RECURSIVE {LINKS}, p AS (SELECT vec_id AS a, vec_id + 3 AS b FROM embeddings), w AS (SELECT DISTINCT a, a AS i, 0 AS d FROM p UNION SELECT w.a, dst, d + 1 FROM w JOIN k ON src = i WHERE d < 2)
+ SELECT a, b, EXISTS (SELECT 1 FROM w WHERE w.a = p.a AND w.i = p.b AND d > 0) AS reachable FROM p""")
+def reachability(spark, d):
+    pairs = M.vector_nodes(spark, d).select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
+    return R.reachability(M.vector_links(spark, d), pairs, 2)
+
+
+@query("crystallize", f"""WITH RECURSIVE {NODES}, {LINKS}, j AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM n a JOIN n b ON a.id <> b.id),
+ p AS (SELECT a, b, s FROM j WHERE r <= 10 AND s >= 0.25), w AS (SELECT DISTINCT a AS a, a AS i, 0 AS d FROM p UNION SELECT w.a, dst, d + 1 FROM w JOIN k ON src = i WHERE d < 2)
+ SELECT p.a AS src, p.b AS dst, 'CRYSTALLIZED' AS label, round(s, 6) AS similarity FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.a = p.a AND w.i = p.b)""")
+def crystallize(spark, d):
+    return R.crystallize(M.vector_nodes(spark, d), M.vector_links(spark, d), 0.25).select("src", "dst", "label", _r("similarity"))
+
+
+@query("narrative", f"""WITH {WRITES}, h AS (SELECT *, row_number() OVER o AS n, lag(kind) OVER o AS old FROM w WINDOW o AS (PARTITION BY id ORDER BY tf, version_id))
+ SELECT id, 'v' || n || ': kind ' || CASE WHEN old IS NULL THEN 'added' ELSE 'modified' END || ' from ' || coalesce(old, '-') || ' to ' || kind AS line FROM h WHERE old IS DISTINCT FROM kind""")
+def narrative(spark, d):
+    return H.narrative(M.event_writes(spark, d), ["kind"]).select("id", "line")
+
+
+@query("edge_mermaid", f"WITH {LINKS} SELECT '  n' || src || ' -->|' || label || '| n' || dst AS line FROM k")
+def edge_mermaid(spark, d):
+    return C.mermaid(M.vector_links(spark, d))
+
+
+@query("audit_digests")
+def audit_digests(spark, d):
+    from ..sources.exporting import audit_rows
+
+    return audit_rows(M.table(spark, d, "orders"), "o_orderkey")
+
+
+@query("synergy")
+def synergy(spark, d):
+    return R.synergy(M.vector_nodes(spark, d).where("label = 1"), M.vector_links(spark, d), DIM).select(_r("synergy"))
+
+
+@query("scenic_route")
+def scenic_route(spark, d):
+    return S.scenic_route(M.vector_nodes(spark, d), M.vector_links(spark, d), 1, 9, 6).select("path", _r("scenery"))
+
+
+@query("paradox")
+def paradox(spark, d):
+    n = M.vector_nodes(spark, d)
+    after = n.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.col("id") % 3))
+    return D.paradox(n, after, M.vector_links(spark, d)).select("src", "dst", _r("paradox"))
