@@ -306,8 +306,9 @@ def near_duplicates(
     large = open_rows.where(F.col("n") > SMALL_BUCKET)
     for salt in (2, 3):
         more = more.union(_star(large.select("bucket", "tkey", "root"), F.xxhash64(F.lit(salt), "tkey")))
-    subs = large.join(once.select("tkey", "subs").hint("merge"), "tkey").select("tkey", "root", "bucket", F.explode("subs").alias("sub"))
-    subs = subs.select("tkey", "root", F.xxhash64("bucket", "sub").alias("bucket"))
+    # each text of a large bucket once, whatever the number of its buckets
+    subs = large.select("tkey", "root").distinct().join(once.select("tkey", "subs").hint("merge"), "tkey")
+    subs = subs.select("tkey", "root", F.explode("subs").alias("bucket"))
     more = more.union(_star(subs, F.xxhash64(F.lit(4), "tkey")))
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = spool(more.select(*pair).distinct().join(first.select(*pair).hint("merge"), ["a", "b"], "left_anti"))
