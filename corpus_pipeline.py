@@ -48,10 +48,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id."""
+    """One document of each group of near copies stays, the one of the smallest doc_id; of wholly equal rows one."""
     classes = near_duplicates(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return _only(docs.select(*COLUMNS), kept, "left_semi").dropDuplicates(["doc_id"])
+    out = _only(docs.select(*COLUMNS), kept, "left_semi").withColumn("_text", F.xxhash64("text"))
+    return out.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
