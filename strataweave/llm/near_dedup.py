@@ -47,6 +47,8 @@ FIRST_BANDS = 8
 #: Second pass, inside crowded buckets: further bands of coordinates.
 SUB_BANDS, SUB_ROWS = 10, 3
 SMALL_BUCKET = 24
+#: Crowded buckets: most leaders of a round, and texts of a block in the comparison of all pairs.
+MOST_LEADERS, BLOCK = 16, 256
 #: Estimates this far under the limit are not verified: over five standard errors.
 SLACK = 0.19
 CHUNK_WORDS, CHUNK_DOCS = 300_000, 4000
@@ -215,6 +217,16 @@ def _shingles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tkey string, cells binary")
 
 
+def _overlap(p: np.ndarray, q: np.ndarray, limit: float) -> bool:
+    """Whether the weighted Jaccard similarity of two texts' cells reaches the limit."""
+    if min(len(p), len(q)) < limit * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= limit * (len(both) - common)
+
+
 def _similar(pairs: DataFrame, kind: str, limit: float) -> DataFrame:
     """pairs (a, b, va, vb) -> (a, b) whose similarity reaches the limit; kind: sig or cells."""
 
@@ -225,21 +237,45 @@ def _similar(pairs: DataFrame, kind: str, limit: float) -> DataFrame:
                 x, y = x.as_py(), y.as_py()
                 if kind == "sig":
                     keep.append(len(x) == len(y) and np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= limit)
-                    continue
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(p), len(q)) < limit * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= limit * (len(both) - common))
+                else:
+                    keep.append(_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), limit))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a string, b string")
 
 
+def _all_pairs(rows: DataFrame, limit: float) -> DataFrame:
+    """rows (bucket, tkey, root, n, sig, cells) -> (a, b): links that join all classes of a bucket which have
+    a pair at the limit.  Every pair of a bucket is met in one group, that of its two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tkey")
+        keys, own = table["tkey"].to_pylist(), table["own"].to_numpy()
+        within = table["lo"][0].as_py() == table["hi"][0].as_py()
+        root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(keys), -1)
+        cells = [np.frombuffer(c, np.uint64) for c in table["cells"].to_pylist()]
+        a, b = [], []
+        for i in range(len(keys)):
+            others = root[i + 1 :] != root[i]
+            if not within:
+                others &= own[i + 1 :] != own[i]
+            others = np.flatnonzero(others) + i + 1
+            for j in others[(sig[others] == sig[i]).mean(1) >= limit - SLACK].tolist():
+                if root[j] != root[i] and _overlap(cells[i], cells[j], limit):
+                    a.append(keys[i])
+                    b.append(keys[j])
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("tkey"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "tkey", "root", "sig", "cells")
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(run, "a string, b string")
+
+
 def _with_values(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     va = values.select(F.col("tkey").alias("a"), F.col(column).alias("va"))
     vb = values.select(F.col("tkey").alias("b"), F.col(column).alias("vb"))
@@ -255,6 +291,20 @@ def _star(members: DataFrame, order: Column) -> DataFrame:
     return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tkey").alias("b"))
 
 
+def _leaders(members: DataFrame, round_: int) -> DataFrame:
+    """(a, b): leaders of each bucket with every member of another class.  members: bucket, tkey, root, n.
+
+    Twice as many leaders each round.  Those in many crowded places come first, as an original does
+    that its copies resemble more than each other; ties go by an order of the bucket's own.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(round_), "bucket", "tkey"), F.lit(min(1 << round_, MOST_LEADERS))).alias("slot")
+    weight = members.groupBy("tkey").agg(F.sum("n").alias("w"))
+    order = F.struct((-F.col("w")).alias("w"), F.xxhash64("bucket", "tkey").alias("o"), "tkey", "root")
+    lead = members.join(weight.hint("merge"), "tkey").groupBy("bucket", slot).agg(F.min(order).alias("lead"))
+    lead = lead.select("bucket", F.col("lead.tkey").alias("a"), F.col("lead.root").alias("ra"))
+    return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tkey").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -266,6 +316,9 @@ def near_duplicates(
     texts = spool(texts)
     once = spool(rows.select("tkey", "sig", "bands", "subs").dropDuplicates(["tkey"]))
     members = once.select("tkey", F.posexplode("bands").alias("band", "bucket"))
+    mark = F.xxhash64("tkey")
+    shared = members.groupBy("bucket").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y")
+    members = spool(members.join(shared.select("bucket").hint("merge"), "bucket", "left_semi"))
     early = members.where(F.col("band") < FIRST_BANDS).select("bucket", "tkey", F.col("tkey").alias("root"))
     first = spool(_star(early, F.xxhash64("tkey")).distinct())
 
@@ -289,33 +342,48 @@ def near_duplicates(
     def verified(likely: DataFrame, cells: DataFrame) -> DataFrame:
         return spool(_similar(_with_values(likely, cells, "cells"), "cells", similarity).distinct())
 
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = likely(first)
     cells = cells_of(near)
-    links = verified(near, cells)
-    roots = connected_components(links)
-    # every bucket that holds several classes by now, of whatever band
-    labelled = members.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left")
-    labelled = spool(labelled.select("tkey", "bucket", F.coalesce("root", "tkey").alias("root")))
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = mixed.where("r0 <> r1").select("bucket", "n")
-    open_rows = spool(labelled.join(mixed.hint("merge"), "bucket").select("tkey", "bucket", "root", "n"))
+    links = spool(verified(near, cells).select(*pair).distinct())
+    met = first.select(*pair)
+    places, before, round_ = members.select("tkey", "bucket"), None, 0
+    while True:
+        # every bucket that holds several classes by now, of whatever band
+        roots = connected_components(links)
+        labelled = places.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left")
+        labelled = spool(labelled.select("tkey", "bucket", F.coalesce("root", "tkey").alias("root")))
+        mixed = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mixed = mixed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        mixed = mixed.where("n * n > same").selectExpr("bucket", "n", "(n * n - same) / 2 AS crossed")
+        open_rows = spool(labelled.join(mixed.hint("merge"), "bucket").select("tkey", "bucket", "root", "n", "crossed"))
+        large = open_rows.where(F.col("n") > SMALL_BUCKET)
+        # pairs of different classes in the crowded buckets
+        crossed = large.agg(F.sum(F.col("crossed") / F.col("n"))).first()[0] or 0.0
+        if not crossed or before is not None and crossed > before / 2:
+            break
+        places, before = open_rows.select("tkey", "bucket"), crossed
+        more = _leaders(large.select("bucket", "tkey", "root", "n"), round_).select(*pair).distinct()
+        more = spool(more.join(met.hint("merge"), ["a", "b"], "left_anti"))
+        met = met.union(more)
+        near = likely(more)
+        cells = spool(cells_of(near, cells))
+        links = spool(links.union(verified(near, cells).select(*pair)).distinct())
+        round_ += 1
+    if crossed:
+        # what leaders no longer halve is compared in full, pair by pair
+        keys = large.select(F.col("tkey").alias("a"), F.col("tkey").alias("b")).distinct()
+        cells = spool(cells_of(keys, cells))
+        full = large.join(once.select("tkey", "sig").hint("merge"), "tkey").join(cells.hint("merge"), "tkey")
+        links = spool(links.union(spool(_all_pairs(full, similarity)).select(*pair)).distinct())
     small = open_rows.where(F.col("n") <= SMALL_BUCKET)
     x = small.select("bucket", F.col("tkey").alias("a"), F.col("root").alias("ra"))
     y = small.select("bucket", F.col("tkey").alias("b"), F.col("root").alias("rb"))
-    more = x.join(y.hint("merge"), "bucket").where("a < b and ra <> rb").select("a", "b")
-    large = open_rows.where(F.col("n") > SMALL_BUCKET)
-    for salt in (2, 3):
-        more = more.union(_star(large.select("bucket", "tkey", "root"), F.xxhash64(F.lit(salt), "tkey")))
-    # each text of a large bucket once, whatever the number of its buckets
-    subs = large.select("tkey", "root").distinct().join(once.select("tkey", "subs").hint("merge"), "tkey")
-    subs = subs.select("tkey", "root", F.explode("subs").alias("bucket"))
-    more = more.union(_star(subs, F.xxhash64(F.lit(4), "tkey")))
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = spool(more.select(*pair).distinct().join(first.select(*pair).hint("merge"), ["a", "b"], "left_anti"))
+    more = x.join(y.hint("merge"), "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
+    more = spool(more.join(met.hint("merge"), ["a", "b"], "left_anti"))
     near = likely(more)
     extra = verified(near, cells_of(near, cells))
-    links = links.union(extra).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = spool(links)
+    links = spool(links.union(extra.select(*pair)).distinct())
     roots = connected_components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count("*").alias("n_links"))

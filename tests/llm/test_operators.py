@@ -338,6 +338,35 @@ def test_near_duplicates(spark, docs, rows):
     assert Counter((r["doc_id"], r["class_id"]) for r in out) == Counter((i, least(g)) for g in groups.values() for i in g)
 
 
+@pytest.mark.parametrize("with_original", [True, False])
+def test_crowded_buckets_lose_no_independent_edits(spark, with_original):
+    rng = random.Random(18)
+    base = words(rng, 600).split()
+    texts = [" ".join(base)] if with_original else []
+    for _ in range(300 if with_original else 120):
+        w = list(base)
+        for at in rng.sample(range(10, 590), 12 if with_original else 6):
+            w[at] = words(rng, 3).replace(" ", "")
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    number: dict = {}
+    sets = [{number.setdefault(c, len(number)) for c in cells(t)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: find(i) for i in range(len(texts))}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     import numpy as np
 
