@@ -12,8 +12,10 @@ Bands of coordinates make buckets.  In the buckets of the first bands the member
 are compared with one leader; candidates are verified exactly on their shingles,
 and the links are joined into classes.  Then every bucket, of any band, that holds
 several classes is dealt with: small ones pair up their members of different
-classes, larger ones get leaders under other orders and are split by further
-coordinates.  So a text is never paired with a class that it is in already.
+classes; crowded ones get rounds of leaders, while each round at least halves their
+pairs of different classes, and then all pairs of different classes that are left are
+compared, by blocks.  So every two texts that share a bucket are compared or in one
+class, and a text is never paired with a class that it is in already.
 
 Equal texts are one node throughout, so copies are never expanded into pairs.
 
@@ -44,8 +46,6 @@ COORDINATES = 128
 BANDS, BAND_ROWS = 25, 5
 #: Bands whose buckets are compared first; the others add only what joins different classes.
 FIRST_BANDS = 8
-#: Second pass, inside crowded buckets: further bands of coordinates.
-SUB_BANDS, SUB_ROWS = 10, 3
 SMALL_BUCKET = 24
 #: Crowded buckets: most leaders of a round, and texts of a block in the comparison of all pairs.
 MOST_LEADERS, BLOCK = 16, 256
@@ -166,7 +166,7 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tkey, sig (16 bits of each coordinate), bands and subs (bucket keys; empty without words)."""
+    """doc_id, tkey, sig (16 bits of each coordinate), bands (bucket keys; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
@@ -177,9 +177,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = dart_signatures(doc, element, copy, b - a)
                 full = sig[:, 0] != 0
                 bands = np.stack([_fold(sig[:, BAND_ROWS * k : BAND_ROWS * (k + 1)], k) for k in range(BANDS)], 1)
-                # other groupings of the same coordinates, for crowded buckets
-                turned = sig[:, (np.arange(SUB_BANDS * SUB_ROWS) * 53 + 7) % COORDINATES]
-                subs = np.stack([_fold(turned[:, SUB_ROWS * k : SUB_ROWS * (k + 1)], 1000 + k) for k in range(SUB_BANDS)], 1)
                 short = (sig >> np.uint64(40)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -187,14 +184,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         batch.column(1).slice(a, b - a),
                         pa.array([s.tobytes() if f else b"" for s, f in zip(short, full)], pa.binary()),
                         pa.array([s if f else [] for s, f in zip(bands, full)], pa.list_(pa.int64())),
-                        pa.array([s if f else [] for s, f in zip(subs, full)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "tkey", "sig", "bands", "subs"],
+                    names=["doc_id", "tkey", "sig", "bands"],
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
-    schema = f"doc_id {id_type}, tkey string, sig binary, bands array<long>, subs array<long>"
+    schema = f"doc_id {id_type}, tkey string, sig binary, bands array<long>"
     return rows.mapInArrow(run, schema)
 
 
@@ -314,7 +310,7 @@ def near_duplicates(
     rows = spool(signatures(docs, id_col, text_col))
     texts = rows.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     texts = spool(texts)
-    once = spool(rows.select("tkey", "sig", "bands", "subs").dropDuplicates(["tkey"]))
+    once = spool(rows.select("tkey", "sig", "bands").dropDuplicates(["tkey"]))
     members = once.select("tkey", F.posexplode("bands").alias("band", "bucket"))
     mark = F.xxhash64("tkey")
     shared = members.groupBy("bucket").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y")
