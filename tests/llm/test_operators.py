@@ -145,6 +145,21 @@ def test_leaks(spark):
     assert not got - want
 
 
+def test_leaks_with_most_content_words_replaced(spark):
+    rng = random.Random(15)
+    common = [f"the{k}" for k in range(30)]
+    item, own = [], []
+    for k in range(40):
+        item.append(words(rng, 1) + f"q{k}" if k % 3 == 2 or k >= 37 else rng.choice(common))
+        # word order and answer kept, 8 of 15 content words replaced
+        own.append("other" + str(k) if k % 3 == 2 and k < 24 else item[-1])
+    docs = [(k, " ".join(rng.choice(common) if rng.random() < 0.5 else words(rng, 1) for _ in range(200))) for k in range(60)]
+    docs.append((100, " ".join([words(rng, 80), *own, words(rng, 80)])))
+    out = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    (row,) = out.collect()
+    assert (row["doc_id"], row["item_id"], row["answered"]) == (100, 7, True) and row["lcs_share"] == 0.8
+
+
 # 3
 
 
