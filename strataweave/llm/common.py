@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-__all__ = ["drop_path", "shared_dir", "ship", "spool", "table"]
+__all__ = ["drop_path", "release", "shared_dir", "ship", "spool", "table"]
 
-_spools: list[tuple[SparkSession, str]] = []
+_spools: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master may do without the setting; it then gets a folder of its own.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,15 +37,25 @@ def spool(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage and survives lost executors, as checkpoint() does, but keeps
-    the columns prunable and compressed.  The files go when the driver ends.
+    the columns prunable and compressed.  The files go with release(), or when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
-    _spools.append((spark, path))
+    _spools[path] = spark
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spool_path = path
+    return out
+
+
+def release(*spooled: DataFrame) -> None:
+    """Delete the files of spooled tables that nothing reads any more."""
+    for df in spooled:
+        path = getattr(df, "_spool_path", None)
+        if path in _spools:
+            drop_path(_spools.pop(path), path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -50,7 +65,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def _drop_spools() -> None:
-    for spark, path in _spools:
+    for path, spark in _spools.items():
         try:
             if spark.sparkContext._jsc is not None:
                 drop_path(spark, path)

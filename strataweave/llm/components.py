@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import release, spool
 
 MAX_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = spool(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = spool(_small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b").distinct())
+        last, edges = edges, spool(_small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b").distinct())
+        release(last)
         r = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if (r["n"], r["x"]) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

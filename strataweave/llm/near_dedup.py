@@ -8,16 +8,16 @@ chosen from the total weight so that about K * (ln K + 3) darts are thrown, and
 doubled for the few documents that leave a coordinate empty.  Two documents agree
 on a coordinate with a probability equal to their weighted Jaccard similarity.
 
-Bands of coordinates make buckets.  In the buckets of the first bands the members
-are compared with one leader; candidates are verified exactly on their shingles,
-and the links are joined into classes.  Then every bucket, of any band, that holds
-several classes is dealt with: small ones pair up their members of different
-classes; crowded ones get rounds of leaders, while each round at least halves their
-pairs of different classes, and then all pairs of different classes that are left are
-compared, by blocks.  So every two texts that share a bucket are compared or in one
-class, and a text is never paired with a class that it is in already.
+Bands of coordinates make buckets; buckets of the same members count once.  One rule
+holds for buckets of every size.  Each bucket's members are compared with one leader:
+by signature first, then exactly on their shingles.  The links are joined into classes.
+Buckets that hold several classes get further rounds of leaders, while each round at
+least halves the pairs of different classes; then all pairs of different classes that
+are left are compared, by blocks.  So every two texts that share a bucket are compared
+or in one class, and a text is never paired with a class that it is in already.
 
-Equal texts are one node throughout, so copies are never expanded into pairs.
+Equal texts are one node throughout, so copies are never expanded into pairs.  A
+leader's shingles go once to each task that compares with it, not into every pair.
 
 Defined results
 * null text: as the empty text; texts without words are near only to equal ones.
@@ -37,20 +37,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, spool
+from .common import release, ship, spool
 from .components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 BANDS, BAND_ROWS = 25, 5
-#: Bands whose buckets are compared first; the others add only what joins different classes.
-FIRST_BANDS = 8
-SMALL_BUCKET = 24
-#: Crowded buckets: most leaders of a round, and texts of a block in the comparison of all pairs.
+#: Most leaders of a round, and texts of a block in the comparison of all pairs.
 MOST_LEADERS, BLOCK = 16, 256
+#: Pairs that one group of a verification task compares, and members of one leader in it.
+PACK, FAN = 512, 256
 #: Estimates this far under the limit are not verified: over five standard errors.
 SLACK = 0.19
+#: Bits of the broadcast map of texts whose shingles are wanted: 8 MB at any input size.
+WANTED_BITS = 26
 CHUNK_WORDS, CHUNK_DOCS = 300_000, 4000
 MEMO_SIZE = 1 << 19
 _LOW = np.uint64((1 << 52) - 1)
@@ -162,11 +163,11 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def text_key(text: Column) -> Column:
-    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tkey, sig (16 bits of each coordinate), bands (bucket keys; empty without words)."""
+    """doc_id, tkey, sig (8 bits of each coordinate), bands (bucket keys; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
@@ -177,7 +178,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = dart_signatures(doc, element, copy, b - a)
                 full = sig[:, 0] != 0
                 bands = np.stack([_fold(sig[:, BAND_ROWS * k : BAND_ROWS * (k + 1)], k) for k in range(BANDS)], 1)
-                short = (sig >> np.uint64(40)).astype(np.uint16)
+                short = (sig >> np.uint64(40)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -190,27 +191,41 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
-    schema = f"doc_id {id_type}, tkey string, sig binary, bands array<long>"
+    schema = f"doc_id {id_type}, tkey binary, sig binary, bands array<long>"
     return rows.mapInArrow(run, schema)
 
 
-def _shingles(rows: DataFrame) -> DataFrame:
-    """(tkey, cells): the sorted 64-bit cells of each text."""
+def wanted_map(marks: DataFrame) -> bytes:
+    """A bit map of 64-bit marks, of fixed size: what it lacks is not wanted, what it has may be."""
+    slot = F.col("mark").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(mark & 63 AS int))")
+    # at most 2 ** (WANTED_BITS - 6) rows
+    found = marks.select(F.shiftright(slot, 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (WANTED_BITS - 6), np.int64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy()
+    return out.tobytes()
+
+
+def _shingles(rows: DataFrame, wanted: bytes) -> DataFrame:
+    """rows (tkey, mark, text) -> (tkey, cells): the sorted 64-bit cells of the texts that the map has."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
+        memo, bits = _WordHash(), np.frombuffer(shared.value, np.uint64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            mark = batch.column(1).to_numpy().view(np.uint64)
+            slot = (mark & np.uint64((1 << WANTED_BITS) - 1)) >> np.uint64(6)
+            hit = (bits[slot.astype(np.int64)] >> (mark & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in _chunks(texts):
                 doc, element, copy = shingle_cells(texts[a:b], memo)
                 cell = mix(element * np.uint64(0xC2B2AE3D27D4EB4F) + copy.astype(np.uint64) + np.uint64(1))
                 ends = np.searchsorted(doc, np.arange(b - a + 1))
                 cells = [np.sort(cell[ends[k] : ends[k + 1]]).tobytes() for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(cells, pa.binary())], names=["tkey", "cells"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cells, pa.binary())], names=["tkey", "cells"])
 
-    return rows.mapInArrow(run, "tkey string, cells binary")
+    return rows.mapInArrow(run, "tkey binary, cells binary")
 
 
 def _overlap(p: np.ndarray, q: np.ndarray, limit: float) -> bool:
@@ -223,36 +238,52 @@ def _overlap(p: np.ndarray, q: np.ndarray, limit: float) -> bool:
     return common >= limit * (len(both) - common)
 
 
-def _similar(pairs: DataFrame, kind: str, limit: float) -> DataFrame:
-    """pairs (a, b, va, vb) -> (a, b) whose similarity reaches the limit; kind: sig or cells."""
+def _likely(pairs: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree on a share of coordinates near the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.as_py(), y.as_py()
-                if kind == "sig":
-                    keep.append(len(x) == len(y) and np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= limit)
-                else:
-                    keep.append(_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), limit))
-            mask = pa.array(keep, pa.bool_())
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+            mask = pa.array((x == y).mean(1) >= limit - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a string, b string")
+    va = texts.select(F.col("tid").alias("a"), F.col("sig").alias("va"))
+    vb = texts.select(F.col("tid").alias("b"), F.col("sig").alias("vb"))
+    return pairs.join(vb, "b").join(va, "a").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def _all_pairs(rows: DataFrame, limit: float) -> DataFrame:
-    """rows (bucket, tkey, root, n, sig, cells) -> (a, b): links that join all classes of a bucket which have
-    a pair at the limit.  Every pair of a bucket is met in one group, that of its two blocks."""
+def _verified(pairs: DataFrame, cells: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the limit.  pairs: a spooled table.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tkey")
-        keys, own = table["tkey"].to_pylist(), table["own"].to_numpy()
-        within = table["lo"][0].as_py() == table["hi"][0].as_py()
-        root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(keys), -1)
-        cells = [np.frombuffer(c, np.uint64) for c in table["cells"].to_pylist()]
-        a, b = [], []
+    Tasks compare packs of pairs.  A leader of many members is dealt to several packs by salt,
+    and its cells go once to each of them.
+    """
+
+    def run(members: pa.Table, leaders: pa.Table) -> pa.Table:
+        own = {a: np.frombuffer(c, np.uint64) for a, c in zip(leaders["lead"].to_pylist(), leaders["lead_cells"].to_pylist())}
+        keep = [_overlap(own[a], np.frombuffer(c.as_py(), np.uint64), limit) for a, c in zip(members["a"].to_pylist(), members["cells"])]
+        return members.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    packs = max(1, pairs.count() // PACK)
+    degree = spool(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    side = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN)).alias("side")
+    dealt = pairs.join(degree.hint("merge"), "a").select("a", "b", side)
+    dealt = spool(dealt.select("a", "b", F.pmod(F.xxhash64("a", "side"), F.lit(packs)).alias("pack")))
+    release(degree)
+    members = dealt.join(cells.select(F.col("tid").alias("b"), "cells"), "b").select("pack", "a", "b", "cells")
+    leaders = dealt.select(F.col("pack").alias("lead_pack"), F.col("a").alias("lead")).distinct()
+    leaders = leaders.join(cells.select(F.col("tid").alias("lead"), F.col("cells").alias("lead_cells")), "lead")
+    out = spool(members.groupBy("pack").cogroup(leaders.groupBy("lead_pack")).applyInArrow(run, "a long, b long"))
+    release(dealt)
+    return out
+
+
+def _all_pairs(rows: DataFrame, limit: float, n_rows: int) -> DataFrame:
+    """rows (bucket, tid, root, n, sig, cells) -> (a, b): links that join all classes of a bucket which have
+    a pair at the limit.  Every pair of a bucket is met in one group, that of its two blocks; buckets of
+    one block share a group with others."""
+
+    def meet(keys: list, own: np.ndarray, within: bool, root: np.ndarray, sig: np.ndarray, cells: list, a: list, b: list) -> None:
         for i in range(len(keys)):
             others = root[i + 1 :] != root[i]
             if not within:
@@ -263,132 +294,121 @@ def _all_pairs(rows: DataFrame, limit: float) -> DataFrame:
                     a.append(keys[i])
                     b.append(keys[j])
                     root[root == root[j]] = root[i]
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("tid", "ascending")])
+        bucket = table["bucket"].to_numpy()
+        ends = [*np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        within = table["lo"][0].as_py() == table["hi"][0].as_py()
+        keys, own, root = table["tid"].to_pylist(), table["own"].to_numpy(), table["root"].to_numpy().copy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        cells = [np.frombuffer(c, np.uint64) for c in table["cells"].to_pylist()]
+        a, b, begin = [], [], 0
+        for end in map(int, ends):
+            at = slice(begin, end)
+            meet(keys[at], own[at], within, root[at], sig[at], cells[at], a, b)
+            begin = end
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("tkey"), blocks).cast("int"))
+    pack = F.when(blocks > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(max(1, n_rows // PACK))))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("pack", pack)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "tkey", "root", "sig", "cells")
-    return rows.groupBy("bucket", "lo", "hi").applyInArrow(run, "a string, b string")
-
-
-def _with_values(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    va = values.select(F.col("tkey").alias("a"), F.col(column).alias("va"))
-    vb = values.select(F.col("tkey").alias("b"), F.col(column).alias("vb"))
-    return pairs.join(vb.hint("merge"), "b").join(va.hint("merge"), "a")
-
-
-def _star(members: DataFrame, order: Column) -> DataFrame:
-    """(a, b): each bucket's leader, first in order, with every member of another class.  members: bucket, tkey, root."""
-    lead = members.groupBy("bucket").agg(
-        F.min(F.struct(order.alias("o"), "tkey", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")
-    )
-    lead = lead.where("r0 <> r1").select("bucket", F.col("lead.tkey").alias("a"), F.col("lead.root").alias("ra"))
-    return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tkey").alias("b"))
+    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    rows = rows.select("pack", (blocks > 1).alias("many"), "bucket", lo, hi, "own", "tid", "root", "sig", "cells")
+    return rows.groupBy("pack", "many", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """(a, b): leaders of each bucket with every member of another class.  members: bucket, tkey, root, n.
+    """(a, b): leaders of each bucket with every member of another class.  members: bucket, tid, root, n.
 
     Twice as many leaders each round.  Those in many crowded places come first, as an original does
     that its copies resemble more than each other; ties go by an order of the bucket's own.
     """
-    slot = F.pmod(F.xxhash64(F.lit(round_), "bucket", "tkey"), F.lit(min(1 << round_, MOST_LEADERS))).alias("slot")
-    weight = members.groupBy("tkey").agg(F.sum("n").alias("w"))
-    order = F.struct((-F.col("w")).alias("w"), F.xxhash64("bucket", "tkey").alias("o"), "tkey", "root")
-    lead = members.join(weight.hint("merge"), "tkey").groupBy("bucket", slot).agg(F.min(order).alias("lead"))
-    lead = lead.select("bucket", F.col("lead.tkey").alias("a"), F.col("lead.root").alias("ra"))
-    return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tkey").alias("b"))
+    slot = F.pmod(F.xxhash64(F.lit(round_), "bucket", "tid"), F.lit(min(1 << round_, MOST_LEADERS))).alias("slot")
+    weight = members.groupBy("tid").agg(F.sum("n").alias("w"))
+    order = F.struct((-F.col("w")).alias("w"), F.xxhash64("bucket", "tid").alias("o"), "tid", "root")
+    lead = members.join(weight.hint("merge"), "tid").groupBy("bucket", slot).agg(F.min(order).alias("lead"))
+    # a table of its own: the join then stands on its exchanges, where AQE can split a crowded bucket
+    lead = spool(lead.select("bucket", F.col("lead.tid").alias("a"), F.col("lead.root").alias("ra")))
+    return members.join(lead.hint("merge"), "bucket").where("root <> ra").select("a", F.col("tid").alias("b"))
+
+
+def shared_buckets(once: DataFrame) -> DataFrame:
+    """(tid, bucket, lead): the members of every bucket of two texts or more; of buckets with equal members one."""
+    members = once.select("tid", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("tid").alias("lead"), F.expr("bit_xor(xxhash64(tid))").alias("x"), F.expr("bit_xor(xxhash64(7, tid))").alias("y")
+    )
+    shared = shared.where("n > 1").groupBy("n", "lead", "x", "y").agg(F.min("bucket").alias("bucket"))
+    shared = spool(shared.select("bucket", "lead"))
+    out = spool(members.join(shared.hint("merge"), "bucket").select("tid", "bucket", "lead"))
+    release(shared)
+    return out
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), n_copies (rows of equal text), n_links
-    (verified links of the text to others), one row per input row."""
+    """doc_id, class_id (the class's smallest doc_id), n_copies (rows of equal text), one row per input row."""
     ship(docs.sparkSession)
-    rows = spool(signatures(docs, id_col, text_col))
-    texts = rows.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
-    texts = spool(texts)
-    once = spool(rows.select("tkey", "sig", "bands").dropDuplicates(["tkey"]))
-    members = once.select("tkey", F.posexplode("bands").alias("band", "bucket"))
-    mark = F.xxhash64("tkey")
-    shared = members.groupBy("bucket").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y")
-    members = spool(members.join(shared.select("bucket").hint("merge"), "bucket", "left_semi"))
-    early = members.where(F.col("band") < FIRST_BANDS).select("bucket", "tkey", F.col("tkey").alias("root"))
-    first = spool(_star(early, F.xxhash64("tkey")).distinct())
-
-    no_id = F.lit(-(1 << 63))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tkey"))
-    source = source.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), no_id)).drop("doc_id")
-
-    def cells_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Shingle cells of the texts in pairs, each made from one row that holds the text."""
-        keys = pairs.select(F.col("a").alias("tkey")).union(pairs.select("b")).distinct()
-        keys = keys if known is None else keys.join(known.select("tkey").hint("merge"), "tkey", "left_anti")
-        at = F.coalesce(F.col("first_id").cast("long"), no_id).alias("at")
-        # a table of known size: a few texts are broadcast, many are joined by a shuffle
-        wanted = spool(keys.join(texts.hint("merge"), "tkey").select("tkey", at))
-        own = spool(_shingles(source.join(wanted, ["tkey", "at"], "left_semi").select("tkey", "text")))
-        return own if known is None else known.unionByName(own)
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        return spool(_similar(_with_values(pairs, once, "sig"), "sig", similarity - SLACK))
-
-    def verified(likely: DataFrame, cells: DataFrame) -> DataFrame:
-        return spool(_similar(_with_values(likely, cells, "cells"), "cells", similarity).distinct())
+    once = signatures(docs, id_col, text_col).groupBy("tkey")
+    once = once.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    once = spool(once.withColumn("tid", F.monotonically_increasing_id()))
+    places = shared_buckets(once)
+    members = places.select("tid").distinct()
+    texts = spool(once.select("tid", "tkey", "first_id", "sig").join(members.hint("merge"), "tid", "left_semi"))
 
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = likely(first)
-    cells = cells_of(near)
-    links = spool(verified(near, cells).select(*pair).distinct())
-    met = first.select(*pair)
-    places, before, round_ = members.select("tkey", "bucket"), None, 0
+    met = spool(places.where("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b")).select(*pair).distinct())
+    near = spool(_likely(met, texts, similarity))
+    # the shingles of every text that shares a bucket, each made from one row that holds the text
+    mark = lambda i: F.xxhash64("tkey", i).alias("mark")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tkey"))
+    cells = _shingles(source.select("tkey", mark("doc_id"), "text"), wanted_map(texts.select(mark("first_id"))))
+    cells = spool(cells.dropDuplicates(["tkey"]).join(texts.select("tkey", "tid").hint("merge"), "tkey").select("tid", "cells"))
+
+    links = _verified(near, cells, similarity)
+    release(near)
+    open_rows, before, round_ = places.select("tid", "bucket"), None, 0
     while True:
-        # every bucket that holds several classes by now, of whatever band
+        # every bucket that holds several classes by now
         roots = connected_components(links)
-        labelled = places.join(roots.withColumnRenamed("node", "tkey").hint("merge"), "tkey", "left")
-        labelled = spool(labelled.select("tkey", "bucket", F.coalesce("root", "tkey").alias("root")))
+        labelled = open_rows.select("tid", "bucket").join(roots.withColumnRenamed("node", "tid").hint("merge"), "tid", "left")
+        labelled = spool(labelled.select("tid", "bucket", F.coalesce("root", "tid").alias("root")))
         mixed = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         mixed = mixed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        mixed = mixed.where("n * n > same").selectExpr("bucket", "n", "(n * n - same) / 2 AS crossed")
-        open_rows = spool(labelled.join(mixed.hint("merge"), "bucket").select("tkey", "bucket", "root", "n", "crossed"))
-        large = open_rows.where(F.col("n") > SMALL_BUCKET)
-        # pairs of different classes in the crowded buckets
-        crossed = large.agg(F.sum(F.col("crossed") / F.col("n"))).first()[0] or 0.0
+        mixed = spool(mixed.where("n * n > same").selectExpr("bucket", "n", "(n * n - same) / 2 AS crossed"))
+        release(places, open_rows)
+        open_rows = spool(labelled.join(mixed.hint("merge"), "bucket").select("tid", "bucket", "root", "n", "crossed"))
+        release(labelled, mixed)
+        r = open_rows.agg(F.sum(F.col("crossed") / F.col("n")), F.count("*")).first()
+        crossed, n_open = r[0] or 0.0, r[1]
         if not crossed or before is not None and crossed > before / 2:
             break
-        places, before = open_rows.select("tkey", "bucket"), crossed
-        more = _leaders(large.select("bucket", "tkey", "root", "n"), round_).select(*pair).distinct()
+        before = crossed
+        more = _leaders(open_rows.select("bucket", "tid", "root", "n"), round_).select(*pair).distinct()
         more = spool(more.join(met.hint("merge"), ["a", "b"], "left_anti"))
-        met = met.union(more)
-        near = likely(more)
-        cells = spool(cells_of(near, cells))
-        links = spool(links.union(verified(near, cells).select(*pair)).distinct())
+        near = spool(_likely(more, texts, similarity))
+        extra = _verified(near, cells, similarity)
+        met, links = met.union(more), spool(links.union(extra).distinct())
+        release(near, extra)
         round_ += 1
     if crossed:
         # what leaders no longer halve is compared in full, pair by pair
-        keys = large.select(F.col("tkey").alias("a"), F.col("tkey").alias("b")).distinct()
-        cells = spool(cells_of(keys, cells))
-        full = large.join(once.select("tkey", "sig").hint("merge"), "tkey").join(cells.hint("merge"), "tkey")
-        links = spool(links.union(spool(_all_pairs(full, similarity)).select(*pair)).distinct())
-    small = open_rows.where(F.col("n") <= SMALL_BUCKET)
-    x = small.select("bucket", F.col("tkey").alias("a"), F.col("root").alias("ra"))
-    y = small.select("bucket", F.col("tkey").alias("b"), F.col("root").alias("rb"))
-    more = x.join(y.hint("merge"), "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
-    more = spool(more.join(met.hint("merge"), ["a", "b"], "left_anti"))
-    near = likely(more)
-    extra = verified(near, cells_of(near, cells))
-    links = spool(links.union(extra.select(*pair)).distinct())
-    roots = connected_components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count("*").alias("n_links"))
-    classes = texts.join(roots.withColumnRenamed("node", "tkey"), "tkey", "left").join(degree, "tkey", "left")
-    classes = spool(
-        classes.select("tkey", "first_id", "n_copies", F.coalesce("root", "tkey").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    # only texts with partners need their class's minimum
-    named = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = classes.join(named.hint("merge"), "root").select("tkey", "class_id", "n_copies", "n_links")
-    out = rows.select("doc_id", "tkey").join(classes.hint("merge"), "tkey")
-    return out.select("doc_id", "class_id", "n_copies", "n_links")
+        full = open_rows.join(texts.select("tid", "sig"), "tid").join(cells, "tid")
+        extra = spool(_all_pairs(full, similarity, n_open).select(*pair).distinct())
+        links = spool(links.union(extra).distinct())
+        roots = connected_components(links)
+    release(cells, open_rows)
+
+    # only texts with links need their class's minimum
+    linked = spool(roots.join(texts.select(F.col("tid").alias("node"), "first_id"), "node"))
+    named = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = linked.join(named.hint("merge"), "root").select(F.col("node").alias("tid"), "class_id", F.lit(True).alias("linked"))
+    classes = once.select("tid", "tkey", "first_id", "n_copies").join(named.hint("merge"), "tid", "left")
+    class_id = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id")
+    classes = spool(classes.select("tkey", class_id, "n_copies"))
+    release(once, texts, linked)
+    out = source.select("doc_id", "tkey").join(classes.hint("merge"), "tkey")
+    return out.select("doc_id", "class_id", "n_copies")
