@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def spool(df: DataFrame, *partition_by: str) -> DataFrame:
+def spool(df: DataFrame, *partition_by: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage and survives lost executors, as checkpoint() does, but keeps
@@ -44,7 +44,7 @@ def spool(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     _spools[path] = spark
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spool_path = path
     return out

@@ -1,55 +1,57 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training words are counted over all training documents.  Frequent words get
-numbers; n-grams (up to ORDER) of numbered words that are frequent enough become
-arcs, their histories states.  An arc carries the discounted log-probability, a
-failure arc the backoff weight of its state.  One traversal per text, from left
-to right, carries the state and adds up log-probabilities:
-
-    P(w | h) = (c(hw) - D) / c(h)           if hw is an arc
-             = bow(h) * P(w | h minus its first word)   else,
-
-with bow(h) the mass that the arcs leave, over the mass that the shorter history
-gives to the words without an arc.  At the empty history stands the smoothed base
-P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), so the whole model sums to one over the
-known words and one unknown word.
-
-Frequent is meant in proportion to the training tokens, which bounds the automaton
-that is broadcast: at most 1 / WORD_SHARE words and ORDER / ARC_SHARE arcs at any
-input size.  All other words keep their exact counts: their occurrences in the
-texts are joined with the counts by word.
+States are the histories of up to ORDER - 1 words that the training rows hold, the
+empty one included.  A state h has an arc for every word w that follows it there, and
+a failure arc to h without its first word, h'.  With Dirichlet smoothing
+
+    arc      P(w | h) = (c(hw) + M P(w | h')) / (c(h) + M)
+    failure  M / (c(h) + M), times P(w | h') where h has no arc for w
+
+so every state's probabilities sum to one, and no n-gram is too rare to count.  At the
+empty state stands the base P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+
+The automaton grows with the corpus and is never gathered anywhere.  Texts are taken in
+chunks of some megabytes.  A chunk's distinct n-grams, as sorted 62-bit keys with their
+counts in its training rows, are dealt to buckets by ranges of keys; a bucket adds up
+the counts of all chunks and answers each with the totals, in the order of its keys.
+From the answer the chunk compiles the part of the automaton that its own texts can
+reach: all arcs and states on their way, with weights that are those of the whole.  One
+traversal from left to right then carries the state and adds up log-probabilities.  It
+runs over all texts of the chunk at once: what state a position is reached in depends
+on the words before it alone, so each round takes every position along its arc or along
+its failure arc.
 
 Defined results
 * null text: as the empty text, which is one end token.
 * a null doc_id is a training row.  Repeated rows count, and are scored, one by one.
 * without training rows N and V are 0 and every token has probability 0.5 / 0.5.
-* an empty table gives an empty result; extra columns are ignored.
+* an empty table gives an empty result; extra columns are ignored.  Texts are never cut.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, spool
 
 FOLDS, HELD_OUT = 5, 1
-ORDER = 2
-DISCOUNT = 0.6
-WORD_SHARE = 2e-6
-ARC_SHARE = 4e-6
-LEAST_ARC = 2
-#: Entries that a counting task holds before it hands them on.
-HOLD = 1 << 19
-END = b"\n"
-BITS = 20
+ORDER = 3
+#: The weight M of the shorter history, in occurrences.
+STRENGTH = 2.0
+#: Bytes of text of a chunk, and of the texts whose n-grams one bucket adds up.
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+MEMO_SIZE = 1 << 19
+END, START = b"\n", b"\x00\n"
+_ONE = np.uint64(1)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -61,241 +63,250 @@ def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _training(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-        if not is_held_out(i):
-            yield tokens(t.as_py() or "")
-
-
-def unigram_counts(rows: DataFrame) -> DataFrame:
-    """(word, c) over the training rows; the end token is a newline."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for words in _training(batch):
-                seen.update(words)
-                seen[END] += 1
-                if len(seen) > HOLD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class _Numbers(dict):
+class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-def _numbered(words: list[bytes], number: _Numbers) -> np.ndarray:
-    """Numbers of start, words and end; 0 for words without one.  The start has number 1, the end 2."""
-    return np.fromiter((1, *map(number.__getitem__, words), 2), np.int64, len(words) + 2)
-
-
-def ngram_counts(rows: DataFrame, shared, order: int) -> DataFrame:
-    """(n, code, c) of the n-grams of numbered words, 2 <= n <= order, over the training rows."""
-    schema = pa.schema([("n", pa.int32()), ("code", pa.int64()), ("c", pa.int64())])
-
-    def flush(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for n, parts in held.items():
-            if parts:
-                code, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), n, np.int32)), pa.array(code), pa.array(c.astype(np.int64))], schema=schema)
-        held.clear()
+        out = xxhash.xxh64_intdigest(word)
+        if len(self) < MEMO_SIZE:
+            self[word] = out
+        return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+class Grams:
+    """The n-grams of a chunk's texts, by position.
+
+    Positions are those of the words and the end of each text.  keys[n] holds the key of
+    the n-gram that ends at each position, and has[n] whether that many words are there,
+    a start before the text counting as one.  The low two bits of a key are its n.
+    """
+
+    def __init__(self, texts: list[str], memo: _WordHash, order: int):
+        if len(memo) >= MEMO_SIZE:
+            memo.clear()
+        words = [tokens(t) for t in texts]
+        start, end = memo[START], memo[END]
+        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        flat = np.fromiter((h for w in words for part in ((start,), map(memo.__getitem__, w), (end,)) for h in part), np.uint64)
+        total = int(self.sizes.sum())
+        # the place of each position in flat, which has the starts too
+        text_of = np.repeat(np.arange(len(texts)), self.sizes)
+        at = np.arange(total) + text_of + 1
+        self.text_of, depth = text_of, np.arange(total) - self.begins[text_of] + 1
+        self.keys, self.has = {}, {}
+        code = _mix(flat)
+        for n in range(1, order + 1):
+            if n > 1:
+                code = _mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[n - 1 :])
+            self.has[n] = depth >= n - 1
+            own = code[np.maximum(at - (n - 1), 0)]
+            self.keys[n] = (own & ~np.uint64(3)) | np.uint64(n & 3)
+
+    def flat_keys(self) -> np.ndarray:
+        return np.concatenate([self.keys[n][self.has[n]] for n in self.keys])
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 up as bytes: their width, then that many low bytes of each."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widen(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    part = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :width] = part
+    return out.reshape(-1).view(np.uint64)
+
+
+def _bounds(buckets: int) -> np.ndarray:
+    """The least key of every bucket after the first."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
+def chunk_rows(rows: DataFrame, order: int, buckets: int) -> DataFrame:
+    """kind 0: (chunk, bucket, keys, counts) of the n-grams of a chunk; kind 1: (chunk, ids, texts)."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def part(chunk: int, ids: list[pa.Array], texts: list[str], memo: _WordHash) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays(ids)
+        grams = Grams(texts, memo, order)
+        train = ~np.array([is_held_out(i) for i in ids.to_pylist()], bool)[grams.text_of]
+        train = np.concatenate([train[grams.has[n]] for n in grams.keys])
+        keys = grams.flat_keys()
+        learned, counts = np.unique(keys[train], return_counts=True)
+        every = np.unique(np.concatenate([learned, np.unique(keys[~train])]))
+        total = np.zeros(len(every), np.int64)
+        total[np.searchsorted(every, learned)] = counts
+        cuts = np.concatenate([[0], np.searchsorted(every, _bounds(buckets)), [len(every)]])
+        full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        n = len(full)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([0] * n + [1], pa.int32()),
+                pa.array([chunk] * (n + 1), pa.int64()),
+                pa.array([k for k, _, _ in full] + [None], pa.int32()),
+                pa.array([_narrow(np.diff(every[a:b], prepend=np.uint64(0))[1:]) for _, a, b in full] + [None], pa.binary()),
+                pa.array([every[a : a + 1].tobytes() for _, a, _ in full] + [None], pa.binary()),
+                pa.array([_narrow(total[a:b]) for _, a, b in full] + [None], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(ids)], pa.int32()), ids),
+                pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(texts)], pa.int32()), pa.array(texts, pa.string())),
+            ],
+            names=["kind", "chunk", "bucket", "steps", "least", "counts", "ids", "texts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = shared.value
-        number = _Numbers(number)
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
+        memo, ids, texts, size = _WordHash(), [], [], 0
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for words in _training(batch):
-                w = _numbered(words, number)
-                code, whole = w.copy(), w > 0
-                for n in range(2, order + 1):
-                    whole = whole[:-1] & (w[n - 1 :] > 0)
-                    code = (code[:-1] << BITS) | w[n - 1 :]
-                    if known is not None and n > 2:
-                        # an n-gram can be frequent only if its first words are
-                        at = np.searchsorted(known, code >> BITS).clip(0, max(0, len(known) - 1))
-                        whole = whole & (known[at] == code >> BITS) if len(known) else whole & False
-                    own = code[whole]
-                    if known is None or n > 2:
-                        held.setdefault(n, []).append(own)
-                        size += len(own)
-            if size > 4 * HOLD:
-                yield from flush(held)
-                size = 0
-        yield from flush(held)
-
-    return rows.mapInArrow(run, "n int, code long, c long").groupBy("n", "code").agg(F.sum("c").alias("c"))
+            begin = 0
+            for k, cell in enumerate(batch.column(1)):
+                texts.append(cell.as_py() or "")
+                size += len(texts[-1]) + 16
+                if size >= CHUNK_BYTES:
+                    ids.append(batch.column(0).slice(begin, k + 1 - begin))
+                    begin = k + 1
+                    yield from part(chunk, ids, texts, memo)
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+            ids.append(batch.column(0).slice(begin))
+        if texts:
+            yield from part(chunk, ids, texts, memo)
+
+    schema = f"kind int, chunk long, bucket int, steps binary, least binary, counts binary, ids array<{id_type}>, texts array<string>"
+    return rows.mapInArrow(run, schema)
+
+
+def bucket_totals(keys: DataFrame) -> DataFrame:
+    """(of_chunk, bucket, totals): the counts over all chunks, in the order of each chunk's keys.
+
+    n_tokens, n_words, n_texts: the bucket's share of the training tokens, of the distinct
+    words and of the texts, on one of its rows.
+    """
+    end_key = int((_mix(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0] & ~np.uint64(3)) | _ONE)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for least, steps in zip(table["least"].to_pylist(), table["steps"].to_pylist()):
+            parts.append(np.cumsum(np.concatenate([np.frombuffer(least, np.uint64), _widen(steps)]), dtype=np.uint64))
+        counts = np.concatenate([_widen(c) for c in table["counts"].to_pylist()])
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")  # merges the sorted parts
+        rising = every[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = rising[1:] != rising[:-1]
+        total = np.add.reduceat(counts[order], np.flatnonzero(fresh))
+        answer = np.empty(len(every), np.uint64)
+        answer[order] = total[np.cumsum(fresh) - 1]
+        words = (rising[fresh] & np.uint64(3)) == _ONE
+        ends = np.flatnonzero(rising[fresh] == np.uint64(end_key))
+        known = [int(total[words].sum()), int((total[words] > 0).sum()), int(total[ends].sum())]
+        at = np.cumsum([0, *map(len, parts)])
+        n = len(parts)
+        return pa.table(
+            {
+                "of_chunk": table["chunk"],
+                "bucket": table["bucket"],
+                "totals": pa.array([_narrow(answer[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                **{c: pa.array([v] + [0] * (n - 1), pa.int64()) for c, v in zip(("n_tokens", "n_words", "n_texts"), known)},
+            }
+        )
+
+    schema = "of_chunk long, bucket int, totals binary, n_tokens long, n_words long, n_texts long"
+    return keys.select("chunk", "bucket", "steps", "least", "counts").groupBy("bucket").applyInArrow(run, schema)
 
 
 class Automaton:
-    """States are histories of numbered words, the empty one 0; arcs and failure arcs carry log10 weights."""
-
-    def __init__(self, base: list[float], grams: dict[int, list[tuple[int, int]]], counts: list[int]):
-        """base: log10 P by number; grams: n -> (code, count) pairs; counts: by number."""
-        mask = (1 << BITS) - 1
-        arcs_of: dict[int, list[tuple[int, int]]] = {}
-        total = {w: c for w, c in enumerate(counts)}
-        for n in sorted(grams):
-            for code, c in grams[n]:
-                total[code] = c
-                arcs_of.setdefault(code >> BITS, []).append((code & mask, c))
-        # shorter histories first: a history's failure arc leads to one already made
-        histories = sorted(arcs_of, key=lambda h: (h.bit_length() // BITS, h))
-        self.state = {0: 0} | {h: k + 1 for k, h in enumerate(histories)}
-        self.base = base
-        self.fail, self.bow = [0], [0.0]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.word_state = [self.state.get(w, 0) for w in range(len(base))]
-        for h in histories:
-            suffix = h & mask if h > mask else 0
-            while suffix and suffix not in self.state:
-                suffix = suffix & mask if suffix > mask else 0
-            down = self.state[suffix]
-            own = [(w, (c - DISCOUNT) / total[h]) for w, c in arcs_of[h]]
-            rest = 1.0 - sum(10.0 ** self._step(down, w)[0] for w, _ in own)
-            leave = max(1e-12, 1.0 - sum(p for _, p in own)) / max(1e-12, rest)
-            self.fail.append(down)
-            self.bow.append(math.log10(leave))
-            for w, p in own:
-                # the longest suffix of history and word that is a history itself
-                target = self.state.get(((h & mask) << BITS) | w, self.word_state[w])
-                self.arcs[(self.state[h] << BITS) | w] = (math.log10(p), target)
-
-    def _step(self, state: int, w: int) -> tuple[float, int]:
-        weight = 0.0
-        while state:
-            hit = self.arcs.get((state << BITS) | w)
-            if hit is not None:
-                return weight + hit[0], hit[1]
-            weight += self.bow[state]
-            state = self.fail[state]
-        return weight + self.base[w], self.word_state[w]
-
-    def score(self, numbers: list[int]) -> float:
-        """log10 probability of the numbered words after a start; a word without number (0)
-        adds only the failure weights on the way to the empty history."""
-        arcs, fail, bow, base, word_state = self.arcs.get, self.fail, self.bow, self.base, self.word_state
-        state, total = word_state[1], 0.0
-        for w in numbers:
-            while True:
-                hit = arcs((state << BITS) | w)
-                if hit is not None:
-                    total += hit[0]
-                    state = hit[1]
-                    break
-                if not state:
-                    total += base[w]
-                    state = word_state[w]
-                    break
-                total += bow[state]
-                state = fail[state]
-        return total
-
-
-def fit(rows: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, order: int) -> tuple[dict[bytes, int], Automaton]:
-    """The numbers of the frequent words and the automaton over them."""
-    spark = rows.sparkSession
-    least = max(2, math.ceil(WORD_SHARE * n_tokens))
-    # at most 1 / WORD_SHARE rows
-    frequent = counts.where((F.col("c") >= least) & (F.col("word") != END)).orderBy(F.desc("c"), "word").collect()
-    number = {bytes(r["word"]): k + 3 for k, r in enumerate(frequent)}
-    ends = counts.where(F.col("word") == END).select("c").first()
-    n_docs = ends["c"] if ends else 0
-    by_number = [0, n_docs, n_docs, *(r["c"] for r in frequent)]
-    low = n_tokens + 0.5 * (n_words + 1)
-    base = [0.0, 0.0, *(math.log10((c + 0.5) / low) for c in by_number[2:])]
-    grams: dict[int, list[tuple[int, int]]] = {}
-    known = None
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast((number, known))
-        found = ngram_counts(rows, shared, n).where((F.col("n") == n) & (F.col("c") >= max(LEAST_ARC, math.ceil(ARC_SHARE * n_tokens))))
-        # at most 1 / ARC_SHARE rows
-        grams[n] = [(r["code"], r["c"]) for r in found.orderBy("code").collect()]
-        known = np.array([code for code, _ in grams[n]], np.int64)
-    return number, Automaton(base, grams, by_number)
+    """The part of the automaton that a chunk's texts can reach, by position.
+
+    counts[n]: of the n-gram that ends at the position; state[n]: of its history, the state
+    of n - 1 words that the position may be reached in (0: the training rows lack it).
+    """
+
+    def __init__(self, grams: Grams, totals: np.ndarray, n_tokens: int, n_words: int, n_texts: int):
+        self.grams = grams
+        keys, inverse = np.unique(grams.flat_keys(), return_inverse=True)
+        found = totals[inverse].astype(np.float64)
+        self.counts, self.state, at = {}, {}, 0
+        first = np.zeros(len(grams.text_of), bool)
+        first[grams.begins] = True
+        for n, has in grams.has.items():
+            c = np.zeros(len(has))
+            c[has] = found[at : at + int(has.sum())]
+            at += int(has.sum())
+            self.counts[n] = c
+            # c of the history: the gram that ends one position earlier; at a text's beginning, its start
+            if n > 1:
+                before = np.concatenate([[0.0], self.counts[n - 1][:-1]])
+                before[first] = n_texts if n == 2 else 0.0
+                self.state[n] = before
+        self.base = np.log10((self.counts[1] + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+        self.arc, self.fail = {}, {}
+        p = 10.0**self.base
+        for n in self.state:
+            p = (self.counts[n] + STRENGTH * p) / (self.state[n] + STRENGTH)
+            self.arc[n] = np.log10(p)
+            self.fail[n] = math.log10(STRENGTH) - np.log10(self.state[n] + STRENGTH)
+
+    def traverse(self) -> np.ndarray:
+        """log10 probability of the word at each position, given the state that the words before lead to."""
+        out = np.zeros(len(self.base))
+        at = np.ones(len(self.base), np.int8)  # words of the state, and one
+        for n in self.state:
+            at[self.state[n] > 0] = n
+        for n in sorted(self.state, reverse=True):
+            here = at == n
+            arc = here & (self.counts[n] > 0)
+            out[arc] += self.arc[n][arc]
+            at[arc] = 0
+            fall = here & ~arc
+            out[fall] += self.fail[n][fall]
+            at[fall] = n - 1
+        empty = at == 1
+        out[empty] += self.base[empty]
+        return out
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row; 2 <= order <= 3."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = spool(unigram_counts(rows))
-    r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_tokens, n_words = int(r["n"]), int(r["v"])
-    shared = spark.sparkContext.broadcast(fit(rows, counts, n_tokens, n_words, order))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    chunks = spool(chunk_rows(rows, order, max(1, -(-int(size) // BUCKET_BYTES))), "kind", codec="zstd")
+    replies = spool(bucket_totals(chunks.where("kind = 0")), codec="zstd")
+    r = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_words", "n_texts")]).first()
+    n_tokens, n_words, n_texts = (int(x) for x in r)
     id_type = docs.schema[id_col].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, model = shared.value
-        number = _Numbers(number)
-        base = np.array(model.base)
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            # one row per text, and one per text and word without number; a text's own row has
-            # a word that no word can equal (it begins with a blank), spread over the tasks
-            owner, word, n = [], [], []
-            known, size, plain, total = [], [], [], []
-            for i, t in enumerate(batch.column(2)):
-                words = tokens(t.as_py() or "")
-                numbers = _numbered(words, number)[1:]
-                rare = Counter(w for w, k in zip(words, numbers.tolist()) if not k)
-                n_rare = sum(rare.values())
-                owner += [i] * (len(rare) + 1)
-                word += [b" %d" % batch.column(0)[i].as_py(), *rare]
-                n += [0, *rare.values()]
-                known.append(len(numbers) - n_rare if n_tokens else 0)
-                size.append(len(numbers))
-                plain.append(float(base[numbers].sum()))
-                total.append(model.score(numbers.tolist()))
-            at = pa.array(owner, pa.int64())
-            first = np.diff(np.array([-1, *owner])) > 0
-            lead = lambda v, kind: pa.array(np.where(first, np.asarray(v)[np.array(owner, np.int64)], 0) if owner else [], kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    batch.column(1).take(at),
-                    pa.array([is_held_out(i) for i in ids], pa.bool_()).take(at),
-                    pa.array(word, pa.binary()),
-                    pa.array(n, pa.int64()),
-                    lead(size, pa.int64()),
-                    lead(known, pa.int64()),
-                    lead(plain, pa.float64()),
-                    lead(total, pa.float64()),
-                ],
-                names=["rid", "doc_id", "held_out", "word", "n", "size", "known", "plain", "total"],
-            )
+    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        memo = _WordHash()
+        ids = texts["ids"].chunk(0)[0].values
+        grams = Grams(texts["texts"][0].as_py(), memo, order)
+        replies = replies.sort_by("bucket")
+        totals = np.concatenate([_widen(t) for t in replies["totals"].to_pylist()])
+        model = Automaton(grams, totals, n_tokens, n_words, n_texts)
+        add = lambda x: np.add.reduceat(x, grams.begins)
+        return pa.table(
+            {
+                "doc_id": ids,
+                "held_out": pa.array([is_held_out(i) for i in ids.to_pylist()], pa.bool_()),
+                "n_tokens": pa.array(grams.sizes),
+                "n_known": pa.array(add((model.counts[1] > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(ids), n_tokens, np.int64)),
+                "base_score": pa.array(add(model.base)),
+                "score": pa.array(add(model.traverse())),
+            }
+        )
 
     schema = (
-        f"rid long, doc_id {id_type.simpleString()}, held_out boolean, word binary, n long, "
-        "size long, known long, plain double, total double"
-    )
-    scan = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
-    joined = scan.join(counts.hint("merge"), "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("n") * F.log10((c + 0.5) / F.lit(n_tokens + 0.5 * (n_words + 1)))
-    out = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("size").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum("plain").alias("plain"),
-        F.sum("total").alias("total"),
-        F.sum(rare).alias("rare"),
-    )
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("plain") + F.col("rare")).alias("base_score"),
-        (F.col("total") + F.col("rare")).alias("score"),
+        f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, "
+        "train_tokens long, base_score double, score double"
     )
+    texts = chunks.where("kind = 1").select("chunk", "ids", "texts")
+    return texts.groupBy("chunk").cogroup(replies.select("of_chunk", "bucket", "totals").groupBy("of_chunk")).applyInArrow(score, schema)

@@ -255,35 +255,55 @@ def test_lexicon_holds_its_words_and_no_others():
 # 7
 
 
+def brute_force_model(train, order):
+    """P(w | h) by the smoothing's definition, from plain counts."""
+    grams, histories = Counter(), Counter()
+    for t in train:
+        w = [lm_scoring.START, *lm_scoring.tokens(t or ""), lm_scoring.END]
+        for i in range(1, len(w)):
+            grams[w[i],] += 1
+            for k in range(1, min(order - 1, i) + 1):
+                grams[tuple(w[i - k : i + 1])] += 1
+                histories[tuple(w[i - k : i])] += 1
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(w, h):
+        if not h:
+            return (grams[w,] + 0.5) / (n + 0.5 * (v + 1))
+        return (grams[*h, w] + lm_scoring.STRENGTH * p(w, h[1:])) / (histories[h] + lm_scoring.STRENGTH)
+
+    return grams, histories, p, n
+
+
 @pytest.mark.parametrize("order", [2, 3])
-def test_language_model(docs, rows, order):
-    train = [t for i, t, *_ in rows if not lm_scoring.is_held_out(i)]
-    c = Counter(w for t in train for w in [*lm_scoring.tokens(t or ""), lm_scoring.END])
-    n, v = sum(c.values()), len(c)
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model(docs, rows, order, small, monkeypatch):
+    if small:  # several chunks a task, several buckets
+        monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 300)
+        monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 4000)
+    grams, _, p, n = brute_force_model([t for i, t, *_ in rows if not lm_scoring.is_held_out(i)], order)
     want = Counter()
     for i, t, *_ in rows:
         w = [*lm_scoring.tokens(t or ""), lm_scoring.END]
-        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        want[i, lm_scoring.is_held_out(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 6)] += 1
+        base = sum(math.log10(p(x, ())) for x in w)
+        padded = [lm_scoring.START, *w]
+        score = sum(math.log10(p(x, tuple(padded[max(0, k + 2 - order) : k + 1]))) for k, x in enumerate(w))
+        want[i, lm_scoring.is_held_out(i), len(w), sum(grams[x,] > 0 for x in w), n, round(base, 5), round(score, 5)] += 1
     out = lm_scoring.lm_scores(docs, order=order).collect()
-    assert Counter((*r[:5], round(r["base_score"], 6)) for r in out) == want
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-
-
-def test_backoff_automaton_sums_to_one(docs):
-    rows = docs.select("doc_id", "text")
-    counts = lm_scoring.unigram_counts(rows).cache()
-    n, v = counts.agg({"c": "sum"}).first()[0], counts.count()
-    number, m = lm_scoring.fit(rows, counts, n, v, 3)
-    low = n + 0.5 * (v + 1)
-    rare = sum((r["c"] + 0.5) / low for r in counts.collect() if bytes(r["word"]) not in number and bytes(r["word"]) != lm_scoring.END) + 0.5 / low
-    for state in range(0, len(m.fail), max(1, len(m.fail) // 40)):
-        falls, at = 0.0, state
-        while at:
-            falls += m.bow[at]
-            at = m.fail[at]
-        total = sum(10 ** m._step(state, w)[0] for w in range(2, len(m.base))) + 10**falls * rare
-        assert total == pytest.approx(1, abs=1e-9)
+    assert Counter((*r[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in out) == want
+
+
+def test_smoothed_probabilities_sum_to_one(rows):
+    grams, histories, p, _ = brute_force_model([t for _, t, *_ in rows if t], 3)
+    known = [g[0] for g in grams if len(g) == 1]
+    for h in [(), *list(histories)[::97]]:
+        assert sum(p(w, h) for w in known) + p(b"never seen", h) == pytest.approx(1)
+
+
+def test_language_model_without_training_rows(spark):
+    held = next(i for i in range(100) if lm_scoring.is_held_out(i))
+    (r,) = lm_scoring.lm_scores(spark.createDataFrame([(held, "a b a")], "doc_id long, text string")).collect()
+    assert r["train_tokens"] == r["n_known"] == 0 and r["n_tokens"] == 4 and r["base_score"] == r["score"] == 0
 
 
 # 8
