@@ -11,9 +11,11 @@ so every state's probabilities sum to one, and no n-gram is too rare to count.
 empty state stands the base P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
 The automaton grows with the corpus and is never gathered anywhere.  Texts are taken in
-chunks of some megabytes.  A chunk's distinct n-grams, as sorted 62-bit keys with their
-counts in its training rows, are dealt to buckets by ranges of keys; a bucket adds up
-the counts of all chunks and answers each with the totals, in the order of its keys.
+chunks of some megabytes.  A chunk's distinct n-grams, as sorted keys with their counts
+in its training rows, are dealt to buckets by ranges of keys; a bucket adds up the
+counts of all chunks and answers each with the totals, in the order of its keys.
+Words have 64-bit keys.  Longer n-grams have SPARE_BITS more than would number the
+corpus's bytes: one in some 2 ** SPARE_BITS of those looked up meets another's count.
 From the answer the chunk compiles the part of the automaton that its own texts can
 reach: all arcs and states on their way, with weights that are those of the whole.  One
 traversal from left to right then carries the state and adds up log-probabilities.  It
@@ -31,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -49,9 +52,11 @@ ORDER = 3
 STRENGTH = 2.0
 #: Bytes of text of a chunk, and of the texts whose n-grams one bucket adds up.
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+SPARE_BITS = 24
+#: Buckets of words as a share of those of n-grams.
+WORD_BUCKETS = 8
 MEMO_SIZE = 1 << 19
 END, START = b"\n", b"\x00\n"
-_ONE = np.uint64(1)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -81,89 +86,90 @@ class Grams:
     """The n-grams of a chunk's texts, by position.
 
     Positions are those of the words and the end of each text.  keys[n] holds the key of
-    the n-gram that ends at each position, and has[n] whether that many words are there,
-    a start before the text counting as one.  The low two bits of a key are its n.
+    the n-gram that ends at each position where has[n]: where that many words are there,
+    a start before the text counting as one.
     """
 
-    def __init__(self, texts: list[str], memo: _WordHash, order: int):
+    def __init__(self, texts: list[str], memo: _WordHash, order: int, bits: int):
         if len(memo) >= MEMO_SIZE:
             memo.clear()
-        words = [tokens(t) for t in texts]
         start, end = memo[START], memo[END]
-        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
+        flat: list[int] = []
+        sizes = []
+        for t in texts:
+            words = tokens(t)
+            sizes.append(len(words) + 1)
+            flat.append(start)
+            flat += map(memo.__getitem__, words)
+            flat.append(end)
+        word = np.array(flat, np.uint64)
+        self.sizes = np.array(sizes, np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        flat = np.fromiter((h for w in words for part in ((start,), map(memo.__getitem__, w), (end,)) for h in part), np.uint64)
-        total = int(self.sizes.sum())
-        # the place of each position in flat, which has the starts too
-        text_of = np.repeat(np.arange(len(texts)), self.sizes)
-        at = np.arange(total) + text_of + 1
-        self.text_of, depth = text_of, np.arange(total) - self.begins[text_of] + 1
-        self.keys, self.has = {}, {}
-        code = _mix(flat)
-        for n in range(1, order + 1):
-            if n > 1:
-                code = _mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[n - 1 :])
-            self.has[n] = depth >= n - 1
-            own = code[np.maximum(at - (n - 1), 0)]
-            self.keys[n] = (own & ~np.uint64(3)) | np.uint64(n & 3)
-
-    def flat_keys(self) -> np.ndarray:
-        return np.concatenate([self.keys[n][self.has[n]] for n in self.keys])
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Numbers from 0 up as bytes: their width, then that many low bytes of each."""
+        inside = np.ones(len(word), bool)
+        inside[self.begins + np.arange(len(sizes))] = False  # the starts
+        first = np.zeros(len(word) - len(sizes), bool)
+        first[self.begins] = True
+        self.first, self.order = first, order
+        # grams that would reach over a text's beginning have a start inside: at the first position all but bigrams
+        self.has = {n: (np.ones(len(first), bool) if n < 3 else ~first) for n in range(1, order + 1)}
+        self.keys = {1: word[inside]}
+        code = word
+        for n in range(2, order + 1):
+            code = np.concatenate([np.zeros(1, np.uint64), _mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])])
+            self.keys[n] = code[inside][self.has[n]] >> np.uint64(64 - bits)
+
+    def longer(self) -> np.ndarray:
+        return np.concatenate([self.keys[n] for n in range(2, self.order + 1)])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 up as bytes: their width and number, then planes of their bytes, compressed."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<BQ", width, len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _widen(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    part = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :width] = part
+def _unpack(blob: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", blob)
+    planes = pa.decompress(memoryview(blob)[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return out.reshape(-1).view(np.uint64)
 
 
-def _bounds(buckets: int) -> np.ndarray:
+def _bounds(buckets: int, bits: int) -> np.ndarray:
     """The least key of every bucket after the first."""
-    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
 
 
-def chunk_rows(rows: DataFrame, order: int, buckets: int) -> DataFrame:
-    """kind 0: (chunk, bucket, keys, counts) of the n-grams of a chunk; kind 1: (chunk, ids, texts)."""
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each stands at a training position."""
+    learned = keys[train]
+    learned.sort()
+    other = keys[~train]
+    other.sort()
+    every = np.concatenate([learned, other])
+    every.sort(kind="stable")  # merges the two
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    every = every[fresh]
+    return every, np.searchsorted(learned, every, "right") - np.searchsorted(learned, every)
 
-    def part(chunk: int, ids: list[pa.Array], texts: list[str], memo: _WordHash) -> Iterator[pa.RecordBatch]:
-        ids = pa.concat_arrays(ids)
-        grams = Grams(texts, memo, order)
-        train = ~np.array([is_held_out(i) for i in ids.to_pylist()], bool)[grams.text_of]
-        train = np.concatenate([train[grams.has[n]] for n in grams.keys])
-        keys = grams.flat_keys()
-        learned, counts = np.unique(keys[train], return_counts=True)
-        every = np.unique(np.concatenate([learned, np.unique(keys[~train])]))
-        total = np.zeros(len(every), np.int64)
-        total[np.searchsorted(every, learned)] = counts
-        cuts = np.concatenate([[0], np.searchsorted(every, _bounds(buckets)), [len(every)]])
-        full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-        n = len(full)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * n + [1], pa.int32()),
-                pa.array([chunk] * (n + 1), pa.int64()),
-                pa.array([k for k, _, _ in full] + [None], pa.int32()),
-                pa.array([_narrow(np.diff(every[a:b], prepend=np.uint64(0))[1:]) for _, a, b in full] + [None], pa.binary()),
-                pa.array([every[a : a + 1].tobytes() for _, a, _ in full] + [None], pa.binary()),
-                pa.array([_narrow(total[a:b]) for _, a, b in full] + [None], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(ids)], pa.int32()), ids),
-                pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(texts)], pa.int32()), pa.array(texts, pa.string())),
-            ],
-            names=["kind", "chunk", "bucket", "steps", "least", "counts", "ids", "texts"],
-        )
+
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, texts): the rows' texts by chunks, compressed."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ids, texts, size = _WordHash(), [], [], 0
+        ids, texts, size = [], [], 0
         chunk = TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            own = pa.concat_arrays(ids)
+            blob = _pack_texts(texts)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), listed, pa.array([blob], pa.binary())], names=["chunk", "ids", "texts"])
+
         for batch in batches:
             begin = 0
             for k, cell in enumerate(batch.column(1)):
@@ -172,29 +178,69 @@ def chunk_rows(rows: DataFrame, order: int, buckets: int) -> DataFrame:
                 if size >= CHUNK_BYTES:
                     ids.append(batch.column(0).slice(begin, k + 1 - begin))
                     begin = k + 1
-                    yield from part(chunk, ids, texts, memo)
+                    yield row()
                     chunk, ids, texts, size = chunk + 1, [], [], 0
             ids.append(batch.column(0).slice(begin))
         if texts:
-            yield from part(chunk, ids, texts, memo)
+            yield row()
+
+    return rows.mapInArrow(run, f"chunk long, ids array<{id_type}>, texts binary")
 
-    schema = f"kind int, chunk long, bucket int, steps binary, least binary, counts binary, ids array<{id_type}>, texts array<string>"
-    return rows.mapInArrow(run, schema)
 
+def _pack_texts(texts: list[str]) -> bytes:
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    whole = b"".join([struct.pack(f"<Q{len(parts)}Q", len(parts), *map(len, parts)), *parts])
+    return struct.pack("<Q", len(whole)) + pa.compress(whole, codec="zstd", asbytes=True)
 
-def bucket_totals(keys: DataFrame) -> DataFrame:
+
+def _unpack_texts(blob: bytes) -> list[str]:
+    (size,) = struct.unpack_from("<Q", blob)
+    whole = pa.decompress(memoryview(blob)[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    (n,) = struct.unpack_from("<Q", whole)
+    sizes = struct.unpack_from(f"<{n}Q", whole, 8)
+    out, at = [], 8 * (n + 1)
+    for m in sizes:
+        out.append(whole[at : at + m].decode("utf-8", "surrogatepass"))
+        at += m
+    return out
+
+
+def chunk_grams(chunks: DataFrame, order: int, buckets: int, bits: int) -> DataFrame:
+    """(chunk, bucket, keys, counts): a chunk's distinct n-grams by buckets; the buckets of words come after the others."""
+    bounds = [(_bounds(buckets, bits), 0), (_bounds(-(-buckets // WORD_BUCKETS), 64), buckets)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WordHash()
+        for batch in batches:
+            for chunk, ids, blob in zip(*(batch.column(k) for k in range(3))):
+                grams = Grams(_unpack_texts(blob.as_py()), memo, order, bits)
+                train = np.repeat(~np.array([is_held_out(i) for i in ids.as_py()], bool), grams.sizes)
+                own = np.concatenate([train[grams.has[n]] for n in range(2, order + 1)])
+                number, keys, counts = [], [], []
+                for (cuts, base), (every, c) in zip(bounds, (_counted(grams.longer(), own), _counted(grams.keys[1], train))):
+                    ends = [0, *np.searchsorted(every, cuts).tolist(), len(every)]
+                    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                        if b > a:
+                            number.append(base + k)
+                            keys.append(_pack(np.diff(every[a:b], prepend=np.uint64(0))))
+                            counts.append(_pack(c[a:b]))
+                columns = [pa.array([chunk.as_py()] * len(number), pa.int64()), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "keys", "counts"])
+
+    return chunks.mapInArrow(run, "chunk long, bucket int, keys binary, counts binary")
+
+
+def bucket_totals(keys: DataFrame, buckets: int) -> DataFrame:
     """(of_chunk, bucket, totals): the counts over all chunks, in the order of each chunk's keys.
 
     n_tokens, n_words, n_texts: the bucket's share of the training tokens, of the distinct
     words and of the texts, on one of its rows.
     """
-    end_key = int((_mix(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0] & ~np.uint64(3)) | _ONE)
+    end_key = np.uint64(xxhash.xxh64_intdigest(END))
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for least, steps in zip(table["least"].to_pylist(), table["steps"].to_pylist()):
-            parts.append(np.cumsum(np.concatenate([np.frombuffer(least, np.uint64), _widen(steps)]), dtype=np.uint64))
-        counts = np.concatenate([_widen(c) for c in table["counts"].to_pylist()])
+        parts = [np.cumsum(_unpack(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
+        counts = np.concatenate([_unpack(c) for c in table["counts"].to_pylist()])
         every = np.concatenate(parts)
         order = np.argsort(every, kind="stable")  # merges the sorted parts
         rising = every[order]
@@ -203,22 +249,22 @@ def bucket_totals(keys: DataFrame) -> DataFrame:
         total = np.add.reduceat(counts[order], np.flatnonzero(fresh))
         answer = np.empty(len(every), np.uint64)
         answer[order] = total[np.cumsum(fresh) - 1]
-        words = (rising[fresh] & np.uint64(3)) == _ONE
-        ends = np.flatnonzero(rising[fresh] == np.uint64(end_key))
-        known = [int(total[words].sum()), int((total[words] > 0).sum()), int(total[ends].sum())]
+        known = [0, 0, 0]
+        if table["bucket"][0].as_py() >= buckets:
+            known = [int(total.sum()), int((total > 0).sum()), int(total[rising[fresh] == end_key].sum())]
         at = np.cumsum([0, *map(len, parts)])
-        n = len(parts)
+        more = [0] * (len(parts) - 1)
         return pa.table(
             {
                 "of_chunk": table["chunk"],
                 "bucket": table["bucket"],
-                "totals": pa.array([_narrow(answer[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                **{c: pa.array([v] + [0] * (n - 1), pa.int64()) for c, v in zip(("n_tokens", "n_words", "n_texts"), known)},
+                "totals": pa.array([_pack(answer[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                **{c: pa.array([v, *more], pa.int64()) for c, v in zip(("n_tokens", "n_words", "n_texts"), known)},
             }
         )
 
     schema = "of_chunk long, bucket int, totals binary, n_tokens long, n_words long, n_texts long"
-    return keys.select("chunk", "bucket", "steps", "least", "counts").groupBy("bucket").applyInArrow(run, schema)
+    return keys.groupBy("bucket").applyInArrow(run, schema)
 
 
 class Automaton:
@@ -228,23 +274,21 @@ class Automaton:
     of n - 1 words that the position may be reached in (0: the training rows lack it).
     """
 
-    def __init__(self, grams: Grams, totals: np.ndarray, n_tokens: int, n_words: int, n_texts: int):
-        self.grams = grams
-        keys, inverse = np.unique(grams.flat_keys(), return_inverse=True)
-        found = totals[inverse].astype(np.float64)
-        self.counts, self.state, at = {}, {}, 0
-        first = np.zeros(len(grams.text_of), bool)
-        first[grams.begins] = True
-        for n, has in grams.has.items():
-            c = np.zeros(len(has))
-            c[has] = found[at : at + int(has.sum())]
-            at += int(has.sum())
-            self.counts[n] = c
-            # c of the history: the gram that ends one position earlier; at a text's beginning, its start
-            if n > 1:
-                before = np.concatenate([[0.0], self.counts[n - 1][:-1]])
-                before[first] = n_texts if n == 2 else 0.0
-                self.state[n] = before
+    def __init__(self, grams: Grams, longer: np.ndarray, words: np.ndarray, n_tokens: int, n_words: int, n_texts: int):
+        """longer, words: totals of the chunk's distinct n-grams, by key."""
+        self.counts = {1: words[np.unique(grams.keys[1], return_inverse=True)[1]].astype(np.float64)}
+        found, at = longer[np.unique(grams.longer(), return_inverse=True)[1]], 0
+        self.state = {}
+        for n in range(2, grams.order + 1):
+            has = grams.has[n]
+            own = len(grams.keys[n])
+            self.counts[n] = np.zeros(len(has))
+            self.counts[n][has] = found[at : at + own]
+            at += own
+            # c of the history: of the gram that ends one position earlier; at a text's beginning, of its start
+            before = np.concatenate([[0.0], self.counts[n - 1][:-1]])
+            before[grams.first] = n_texts if n == 2 else 0.0
+            self.state[n] = before
         self.base = np.log10((self.counts[1] + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
         self.arc, self.fail = {}, {}
         p = 10.0**self.base
@@ -277,9 +321,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    chunks = spool(chunk_rows(rows, order, max(1, -(-int(size) // BUCKET_BYTES))), "kind", codec="zstd")
-    replies = spool(bucket_totals(chunks.where("kind = 0")), codec="zstd")
+    size = int(rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 1)
+    buckets, bits = -(-size // BUCKET_BYTES), min(64, size.bit_length() + SPARE_BITS)
+    chunks = spool(chunk_rows(rows))
+    replies = spool(bucket_totals(chunk_grams(chunks, order, buckets, bits), buckets))
     r = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_words", "n_texts")]).first()
     n_tokens, n_words, n_texts = (int(x) for x in r)
     id_type = docs.schema[id_col].dataType
@@ -287,10 +332,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
         memo = _WordHash()
         ids = texts["ids"].chunk(0)[0].values
-        grams = Grams(texts["texts"][0].as_py(), memo, order)
+        grams = Grams(_unpack_texts(texts["texts"][0].as_py()), memo, order, bits)
         replies = replies.sort_by("bucket")
-        totals = np.concatenate([_widen(t) for t in replies["totals"].to_pylist()])
-        model = Automaton(grams, totals, n_tokens, n_words, n_texts)
+        totals: tuple[list, list] = ([np.zeros(0, np.uint64)], [])
+        for bucket, t in zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist()):
+            totals[bucket >= buckets].append(_unpack(t))
+        model = Automaton(grams, *map(np.concatenate, totals), n_tokens, n_words, n_texts)
         add = lambda x: np.add.reduceat(x, grams.begins)
         return pa.table(
             {
@@ -308,5 +355,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double"
     )
-    texts = chunks.where("kind = 1").select("chunk", "ids", "texts")
-    return texts.groupBy("chunk").cogroup(replies.select("of_chunk", "bucket", "totals").groupBy("of_chunk")).applyInArrow(score, schema)
+    replies = replies.select("of_chunk", "bucket", "totals").groupBy("of_chunk")
+    return chunks.groupBy("chunk").cogroup(replies).applyInArrow(score, schema)
