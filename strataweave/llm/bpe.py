@@ -3,10 +3,11 @@
 The corpus's commonest words are counted over all documents and compiled, with the
 ids that they encode to, into a minimal acyclic automaton with shared suffixes.
 Each state knows how many words its earlier arcs accept, so that a walk yields the
-word's number and from it the ids.  The automaton is one flat byte string, which each
-worker memory-maps from an unnamed temporary file.
-Words that the automaton does not hold are merged exactly by rank, so its size
-changes only the speed, never a result.
+word's number and from it the ids.  The arcs lie in an open-addressing table of one flat
+byte string, which each worker memory-maps from an unnamed temporary file.  The words of
+a block of texts walk it together, a byte at a time: every occurrence is looked up there.
+Words that the automaton does not hold are merged exactly by rank (and remembered), so
+its size changes only the speed, never a result.
 
 Defined results
 * null text: as the empty text (no ids, empty decoded text).
@@ -19,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import struct
@@ -26,18 +28,25 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship, spool
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_SIZE = 1 << 16
-#: Entries that a worker keeps of what it has looked up, before it starts anew.
-MEMO_SIZE = 1 << 18
+#: Merged words that a worker remembers before it starts anew, and their longest.
+MEMO_SIZE, MEMO_LETTERS = 1 << 18, 64
+#: Words of a block that walk the automaton together.
+BLOCK_WORDS = 1 << 15
+#: Words from which on merges are found by a heap.
+LONG_WORD = 64
+#: Steps of the count histogram for each doubling.
+COUNT_STEPS = 16
 #: Distinct words that a counting task holds before it hands them on.
 COUNT_SIZE = 1 << 19
 ID_BITS = 24
@@ -76,6 +85,8 @@ class Merges:
         self.rank = {(vocab[a], vocab[b]): r << ID_BITS | vocab[a + b] for r, (a, b) in enumerate(pairs)}
 
     def encode(self, word: bytes) -> list[int]:
+        if len(word) > LONG_WORD:
+            return self._encode_long(word)
         ids = [self.of_byte[b] for b in word]
         rank, none = self.rank.get, NO_MERGE
         best = [rank(p, none) for p in zip(ids, ids[1:])]
@@ -93,6 +104,48 @@ class Merges:
         return ids
 
 
+    def _encode_long(self, word: bytes) -> list[int]:
+        """The same merges over a linked list, the next one from a heap by rank, then from the left."""
+        ids = [self.of_byte[b] for b in word]
+        n, rank = len(ids), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((ids[k], ids[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            right = after[k]
+            # an entry is stale once one of its two tokens has changed
+            if ids[k] < 0 or right >= n or rank((ids[k], ids[right])) != r:
+                continue
+            ids[k], ids[right] = r & ID_MASK, -1
+            after[k] = far = after[right]
+            if far < n:
+                before[far] = k
+                if (r := rank((ids[k], ids[far]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (left := before[k]) >= 0 and (r := rank((ids[left], ids[k]))) is not None:
+                heapq.heappush(heap, (r, left))
+        return [i for i in ids if i >= 0]
+
+
+def _arc_table(keys: np.ndarray) -> np.ndarray:
+    """Place of each key in an open-addressing table of a power of two, at most half full; -1 where free."""
+    bits = max(4, int(2 * len(keys)).bit_length())
+    table = np.full(1 << bits, -1, np.int64)
+    slot, todo = _slots(keys, bits), np.arange(len(keys))
+    while len(todo):
+        free = todo[table[slot[todo]] < 0]
+        own, first = np.unique(slot[free], return_index=True)
+        table[own] = free[first]
+        todo = todo[table[slot[todo]] != todo]
+        slot[todo] = (slot[todo] + 1) & ((1 << bits) - 1)
+    return table
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     """The minimal acyclic transducer of words and their ids, as one flat byte string."""
     words = dict(entries)
@@ -125,26 +178,26 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
         path[-1][1].append((last[depth - 1], freeze(node)))
     root = freeze(path[0])
 
-    accepts = []
-    offsets, labels, targets, skips = [0], bytearray(), [], []
-    for final, arcs in frozen:  # children come before parents
+    accepts, keys, targets, skips = [], [], [], []
+    for state, (final, arcs) in enumerate(frozen):  # children come before parents
         passed = int(final)
         for label, target in arcs:
-            labels.append(label)
+            keys.append(state << 8 | label)
             targets.append(target)
             skips.append(passed)
             passed += accepts[target]
         accepts.append(passed)
-        offsets.append(len(labels))
-    finals = bytes(int(f) for f, _ in frozen)
-    starts, flat = [0], []
-    for word in ordered:
-        flat.extend(words[word])
-        starts.append(len(flat))
-    blocks = [struct.pack("<I", root), finals, bytes(labels)]
-    blocks += [struct.pack(f"<{len(x)}I", *x) for x in (offsets, targets, skips, starts, flat)]
-    head = struct.pack(f"<{len(blocks)}Q", *map(len, blocks))
-    return head + b"".join(b + b"\0" * (-len(b) % 4) for b in blocks)
+    table = _arc_table(np.array(keys, np.int64))
+    used = table >= 0
+    columns = []
+    for values in (keys, targets, skips):
+        column = np.full(len(table), -1, np.int32)
+        column[used] = np.array(values, np.int32)[table[used]]
+        columns.append(column)
+    starts = np.cumsum([0, *(len(words[w]) for w in ordered)])
+    flat = [i for w in ordered for i in words[w]]
+    blocks = [np.array(x, np.int32) for x in ([root], [f for f, _ in frozen], *columns, starts, flat)]
+    return struct.pack(f"<{len(blocks)}Q", *map(len, blocks)) + b"".join(b.tobytes() for b in blocks)
 
 
 class Lexicon:
@@ -156,42 +209,58 @@ class Lexicon:
             f.write(blob)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view, sizes, at = memoryview(self.map), struct.unpack_from("<8Q", self.map), 64
-        parts = []
+        sizes, at, parts = struct.unpack_from("<7Q", self.map), 56, []
         for n in sizes:
-            parts.append((at, n))
-            at += n + -n % 4
-        as_ints = lambda p: view[p[0] : p[0] + p[1]].cast("I")
-        self.root = as_ints(parts[0])[0]
-        self.finals = view[parts[1][0] : parts[1][0] + parts[1][1]]
-        self.labels_at = parts[2][0]
-        self.offsets, self.targets, self.skips, self.starts, self.flat = map(as_ints, parts[3:])
+            parts.append(np.frombuffer(self.map, np.int32, n, at))
+            at += 4 * n
+        root, self.finals, self.keys, self.targets, self.skips, self.starts, self.flat = parts
+        self.root, self.bits = int(root[0]), len(self.keys).bit_length() - 1
+
+    def numbers(self, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for words that the lexicon lacks.  text: bytes; begins, ends: of the words in it."""
+        number, state = np.zeros(len(begins), np.int32), np.full(len(begins), self.root, np.int32)
+        out = np.full(len(begins), -1, np.int32)
+        at, own = begins.copy(), np.arange(len(begins))
+        mask = len(self.keys) - 1
+        while len(own):
+            over = at == ends[own]
+            done = over & (self.finals[state] > 0)
+            out[own[done]] = number[done]
+            on = ~over
+            own, at, state, number = own[on], at[on], state[on], number[on]
+            key = state << 8 | text[at]
+            slot = _slots(key, self.bits)
+            found = self.keys[slot]
+            # linear probing: on until the key or a free place
+            while len(off := np.flatnonzero((found != key) & (found >= 0))):
+                slot[off] = (slot[off] + 1) & mask
+                found[off] = self.keys[slot[off]]
+            on = found == key
+            slot = slot[on]
+            own, at, state, number = own[on], at[on] + 1, self.targets[slot], number[on] + self.skips[slot]
+        return out
 
     def get(self, word: bytes) -> list[int] | None:
-        state, number, base = self.root, 0, self.labels_at
-        offsets, find = self.offsets, self.map.find
-        for k in range(len(word)):
-            at = find(word[k : k + 1], base + offsets[state], base + offsets[state + 1]) - base
-            if at < 0:
-                return None
-            number += self.skips[at]
-            state = self.targets[at]
-        return list(self.flat[self.starts[number] : self.starts[number + 1]]) if self.finals[state] else None
+        (k,) = self.numbers(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))
+        return self.flat[self.starts[k] : self.starts[k + 1]].tolist() if k >= 0 else None
+
+    def outputs(self) -> list[str]:
+        """Each word's ids in decimal, joined by commas, by number."""
+        ids = list(map(str, self.flat.tolist()))
+        return [",".join(ids[a:b]) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist())]
 
 
-class _Memo(dict):
-    """word -> its ids in decimal, joined by commas."""
+class _Merged(dict):
+    """word -> its ids in decimal, joined by commas, for words that the lexicon lacks."""
 
-    def __init__(self, lexicon: Lexicon, merges: Merges):
-        self.lexicon, self.merges = lexicon, merges
+    def __init__(self, merges: Merges):
+        self.merges = merges
 
     def __missing__(self, word: str) -> str:
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
-        if ids is None:
-            ids = self.merges.encode(raw)
-        out = ",".join(map(str, ids))
-        if len(self) < MEMO_SIZE:
+        out = ",".join(map(str, self.merges.encode(word.encode("utf-8", "replace"))))
+        if len(word) <= MEMO_LETTERS:
+            if len(self) >= MEMO_SIZE:
+                self.clear()
             self[word] = out
         return out
 
@@ -199,25 +268,53 @@ class _Memo(dict):
 class Codec:
     def __init__(self, tokenizer_text: str, blob: bytes):
         self.merges = Merges(tokenizer_text)
-        self.memo = _Memo(Lexicon(blob), self.merges)
+        self.lexicon = Lexicon(blob)
+        self.outputs = self.lexicon.outputs()
+        self.merged = _Merged(self.merges)
         self.find = regex.compile(PATTERN).findall
         self.bytes_of = {str(i): b for i, b in self.merges.token_bytes.items()}
         specials = sorted(self.merges.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
 
-    def encode(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
-        if len(self.memo) >= MEMO_SIZE:
-            self.memo.clear()
-        if not any(s in text for s in self.merges.specials):
-            return ",".join(map(self.memo.__getitem__, self.find(text)))
-        out = []
-        for part in self.special.split(text):
-            if part in self.merges.specials:
-                out.append(str(self.merges.specials[part]))
-            elif part:
-                out.append(",".join(map(self.memo.__getitem__, self.find(part))))
-        return ",".join(out)
+    def encode(self, texts: list[str]) -> Iterator[str]:
+        """The ids of each text in decimal, joined by commas."""
+        block: list[list] = []  # of each text: its words, and special tokens as ids by position
+        size = 0
+        for text in texts:
+            words, special = [], {}
+            if any(s in text for s in self.merges.specials):
+                for part in self.special.split(text):
+                    if part in self.merges.specials:
+                        special[len(words)] = str(self.merges.specials[part])
+                        words.append(part)
+                    else:
+                        words += self.find(part)
+            else:
+                words = self.find(text)
+            block.append([words, special])
+            size += len(words)
+            if size >= BLOCK_WORDS:
+                yield from self._joined(block)
+                block, size = [], 0
+        yield from self._joined(block)
+
+    def _joined(self, block: list[list]) -> Iterator[str]:
+        every = [w for words, _ in block for w in words]
+        # the words cover their texts, so their letters stand one after another in the texts' bytes
+        raw = np.frombuffer("".join(every).encode("utf-8", "replace"), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
+        letters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ends = letters[ends] if len(every) else ends
+        numbers = self.lexicon.numbers(raw, np.concatenate([[0], ends[:-1]]) if len(every) else ends, ends).tolist()
+        outputs, merged = self.outputs, self.merged
+        ids = [outputs[k] if k >= 0 else merged[w] for k, w in zip(numbers, every)]
+        at = 0
+        for words, special in block:
+            own = ids[at : at + len(words)]
+            at += len(words)
+            for k, i in special.items():
+                own[k] = i
+            yield ",".join(own)
 
     def decode(self, joined: str) -> str:
         if not joined:
@@ -262,10 +359,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = LEXICON_SIZE) -> list[str]:
-    """The commonest words of letters alone, at most size of them: the bound of what reaches the driver."""
+    """The commonest words of letters alone, at most size of them.
+
+    The driver sees a histogram of the counts, then the words above the count that it shows.
+    """
     counts = word_counts(docs, text_col).where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") <= 40))
-    rows = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    return [r["word"] for r in rows]
+    counts = spool(counts)
+    step = F.floor(F.log2("n") * COUNT_STEPS).cast("int")
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect():
+        if held + r["m"] > size:
+            break
+        least, held = r["step"], held + r["m"]
+    words = [] if least is None else [r["word"] for r in counts.where(step >= least).select("word").collect()]
+    release(counts)
+    return sorted(words)
 
 
 def bpe(
@@ -293,8 +401,7 @@ def bpe(
         codec = _codec(shared)
         for batch in batches:
             columns: dict[str, list] = {c: [] for c in outputs}
-            for cell in batch.column(1):
-                joined = codec.encode(cell.as_py() or "")
+            for joined in codec.encode([t or "" for t in batch.column(1).to_pylist()]):
                 decoded = codec.decode(joined)
                 if "ids" in columns:
                     columns["ids"].append([int(i) for i in joined.split(",")] if joined else [])

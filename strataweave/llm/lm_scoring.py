@@ -51,11 +51,11 @@ ORDER = 3
 #: The weight M of the shorter history, in occurrences.
 STRENGTH = 2.0
 #: Bytes of text of a chunk, and of the texts whose n-grams one bucket adds up.
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 SPARE_BITS = 24
 #: Buckets of words as a share of those of n-grams.
 WORD_BUCKETS = 8
-MEMO_SIZE = 1 << 19
+MEMO_SIZE = 1 << 18
 END, START = b"\n", b"\x00\n"
 
 

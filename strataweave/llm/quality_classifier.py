@@ -35,6 +35,8 @@ THRESHOLD = 0.7
 FEATURES = 256
 RIDGE = 1e-3
 BINS = 2048
+#: Partition sums that one task adds up.
+FAN_IN = 32
 SEED = 20240501
 STATISTICS = [
     "log_length", "lower", "upper", "digit", "space", "newline", "mark", "symbol", "bang", "pipe", "wide",
@@ -116,17 +118,24 @@ def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), len(STATISTICS))
 
 
-def _partition_sums(rows: DataFrame, part, columns: str) -> np.ndarray | None:
-    """Add up one flat array per partition, in a tree of sums, and bring the total to the driver."""
-    arrays = rows.mapInArrow(part, "v array<double>")
-    # element-wise sums as (position, value): as many rows as the model has entries
-    summed = arrays.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    if not summed:
-        return None
-    out = np.zeros(len(summed))
-    for r in summed:
-        out[r["k"]] = r["v"]
-    return out
+def _partition_sums(rows: DataFrame, part) -> np.ndarray | None:
+    """Add up one flat array per partition, in a tree of sums, and bring the last few to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column(0):
+                v = np.frombuffer(v.as_py(), np.float64)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    arrays, n = rows.mapInArrow(part, "v binary"), rows.rdd.getNumPartitions()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        arrays = arrays.repartition(n).mapInArrow(add, "v binary")
+    found = [np.frombuffer(r["v"], np.float64) for r in arrays.collect()]  # FAN_IN rows at most
+    return sum(found[1:], found[0].copy()) if found else None
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +143,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _stack(batch.column("x"))
         total += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
-    yield pa.RecordBatch.from_pydict({"v": [total.tolist()]})
+    yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
 
 
 def isotonic(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -166,7 +175,7 @@ class Model:
 def fit(rows: DataFrame, ridge: float = RIDGE) -> Model | None:
     """rows: fold, x, y (0 to 1).  None where there are not labels of both kinds."""
     train = rows.where(F.col("y").isNotNull() & F.col("fold").isNotNull() & (F.col("fold") != HELD_OUT))
-    m = _partition_sums(train.select("x"), _moments, "x")
+    m = _partition_sums(train.select("x"), _moments)
     if m is None or m[0] < 2:
         return None
     d = len(STATISTICS)
@@ -185,9 +194,9 @@ def fit(rows: DataFrame, ridge: float = RIDGE) -> Model | None:
                 b += f.T @ y[k : k + 2048]
             ys += [len(y), y.sum()]
         upper = a[np.triu_indices(size)]
-        yield pa.RecordBatch.from_pydict({"v": [np.concatenate([upper, b, ys]).tolist()]})
+        yield pa.RecordBatch.from_pydict({"v": [np.concatenate([upper, b, ys]).tobytes()]})
 
-    fitted = _partition_sums(train.where(F.col("fold") != CALIBRATION).select("x", "y"), normal, "x")
+    fitted = _partition_sums(train.where(F.col("fold") != CALIBRATION).select("x", "y"), normal)
     if fitted is None or fitted[-2] == 0 or not 0 < fitted[-1] < fitted[-2]:
         return None
     a = np.zeros((size, size))
@@ -203,9 +212,9 @@ def fit(rows: DataFrame, ridge: float = RIDGE) -> Model | None:
             k = np.clip(((s + 1) / 3 * BINS).astype(int), 0, BINS - 1)
             for row, w in zip(out, (np.ones(len(s)), y, s)):
                 row += np.bincount(k, w, BINS)
-        yield pa.RecordBatch.from_pydict({"v": [out.ravel().tolist()]})
+        yield pa.RecordBatch.from_pydict({"v": [out.tobytes()]})
 
-    bins = _partition_sums(train.where(F.col("fold") == CALIBRATION).select("x", "y"), binned, "x")
+    bins = _partition_sums(train.where(F.col("fold") == CALIBRATION).select("x", "y"), binned)
     if bins is not None and bins.sum() > 0:
         n, y, s = bins.reshape(3, BINS)
         full = n > 0
