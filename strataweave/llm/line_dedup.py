@@ -3,14 +3,16 @@
 Documents are taken in batches of rising doc_id.  The line keys of a batch are
 merge-anti-joined with the runs of earlier batches: a key found there has a smaller
 holder, so all its lines in the batch go; a new key keeps its lines in its smallest
-document of the batch, and joins the runs.  Runs are tables of 128-bit hashes
-sorted by hash; when a level has FANOUT runs they are merged into one of the next.
-All of it is built-in column expressions; no Python runs on the executors.
+document of the batch, and joins the runs.  Runs are tables of 128-bit hashes, bucketed
+and sorted by hash, so that a batch's keys, which their aggregation has bucketed alike,
+meet them in merge joins without moving or sorting a run again.  When a level has FANOUT
+runs they are merged, bucket by bucket, into one of the next.  All of it is built-in column expressions; no Python runs on the executors.
 
 Defined results
 * null or empty text: one empty line, which is too short to be dropped.
 * null doc_id: a document that comes after all others; such rows count as one.
 * rows that share a doc_id are one document: they do not make each other's lines go.
+* doc_id must be of an integer type (checked): batches are ranges of it.
 * an empty table gives an empty result; extra columns are ignored unless carried.
 """
 
@@ -21,8 +23,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import drop_path, shared_dir, spool
+from .common import drop_path, release, shared_dir, spool
 
 SPACES = " \t\n\x0b\f\r"
 MIN_CODE_POINTS = 10
@@ -33,31 +36,56 @@ LAST = (1 << 63) - 1
 
 
 class LineRuns:
-    """Levels of sorted runs of line hashes (h1, h2) in a shared folder."""
+    """Levels of bucketed, sorted runs of line hashes (h1, h2) in a shared folder; no hash is in two runs."""
+
+    #: Lets the planner rely on the order of buckets of one file each.
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
         self.spark, self.root, self.fanout = spark, root, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-
-    def seen(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self._read(paths) if paths else None
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long").parquet(*paths)
-
-    def add(self, keys: DataFrame, level: int = 0) -> None:
-        """Add keys that no run holds as a sorted run; compact the level when it is full."""
-        path = f"{self.root}/level{level}-{uuid.uuid4().hex}"
-        keys.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+        self.was = spark.conf.get(self.ORDERED)
+        spark.conf.set(self.ORDERED, "true")
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...) with known: whether a run holds the key.  An anti-join that keeps both sides."""
+        known = F.lit(False)
+        for k, name in enumerate(name for level in self.levels for name in level):
+            run = self.spark.table(name).withColumn(f"in_{k}", F.lit(True))
+            keys = keys.join(run.hint("merge"), ["h1", "h2"], "left")
+            known = known | F.col(f"in_{k}").isNotNull()
+        return keys.withColumn("known", known)
+
+    def add(self, keys: DataFrame) -> None:
+        """Add keys that no run holds as a run; compact the levels that are full."""
+        self._write(keys.repartition(self.buckets, "h1", "h2"), 0)
+
+    def _write(self, keys: DataFrame, level: int) -> None:
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}")
+        writer.format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self.add(self._read(full), level + 1)
+            merged = self.spark.table(full[0])
+            for other in full[1:]:  # buckets of equal hashes are merged where they lie
+                merged = merged.join(self.spark.table(other).hint("merge"), ["h1", "h2"], "full_outer")
+            self._write(merged.select("h1", "h2"), level + 1)
             for old in full:
-                drop_path(self.spark, old)
+                self._drop(old)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        for name in (name for level in self.levels for name in level):
+            self._drop(name)
+        drop_path(self.spark, self.root)
+        self.spark.conf.set(self.ORDERED, self.was)
 
 
 def line_key(line: Column) -> Column:
@@ -67,13 +95,16 @@ def line_key(line: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str]) -> DataFrame:
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must be of an integer type, not {kind.simpleString()}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("at_doc"),
         F.xxhash64(text).alias("at_text"),
         text.alias("text"),
-        *carry,
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
     )
 
 
@@ -99,25 +130,23 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = spool(lines, "batch")
     runs = LineRuns(spark, f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}")
     out = None
-    for b in range(batches):
-        own = lines.where(F.col("batch") == b).drop("batch")
-        keys = own.groupBy("h1", "h2").agg(F.min("at_doc").alias("first"), F.max("at_doc").alias("last"))
-        seen = runs.seen()
-        if seen is None:
-            keys = keys.withColumn("known", F.lit(False))
-        else:
-            seen = seen.withColumn("in_runs", F.lit(True)).hint("merge")
-            keys = keys.join(seen, ["h1", "h2"], "left").withColumn("known", F.coalesce("in_runs", F.lit(False)))
-        keys = spool(keys.select("h1", "h2", "first", "last", "known"))
-        if b + 1 < batches:
-            runs.add(keys.where(~F.col("known")).select("h1", "h2"))
-        repeated = keys.where(F.col("known") | (F.col("last") > F.col("first"))).hint("merge")
-        drops = (
-            own.join(repeated, ["h1", "h2"])
-            .where(F.col("known") | (F.col("at_doc") > F.col("first")))
-            .select("at_doc", "at_text", "pos")
-        )
-        out = drops if out is None else out.unionByName(drops)
+    try:
+        for b in range(batches):
+            own = lines.where(F.col("batch") == b).drop("batch")
+            keys = own.groupBy("h1", "h2").agg(F.min("at_doc").alias("first"), F.max("at_doc").alias("last"))
+            keys = spool(runs.marked(keys).select("h1", "h2", "first", "last", "known"))
+            if b + 1 < batches:
+                runs.add(keys.where(~F.col("known")).select("h1", "h2"))
+            repeated = spool(keys.where(F.col("known") | (F.col("last") > F.col("first"))))
+            release(keys)
+            drops = (
+                own.join(repeated.hint("merge"), ["h1", "h2"])
+                .where(F.col("known") | (F.col("at_doc") > F.col("first")))
+                .select("at_doc", "at_text", "pos")
+            )
+            out = drops if out is None else out.unionByName(drops)
+    finally:
+        runs.close()
     return out
 
 
@@ -133,7 +162,7 @@ def line_dedup(
     drops = dropped_lines(docs, id_col, text_col, batches)
     drops = drops.groupBy("at_doc", "at_text").agg(F.collect_set("pos").alias("gone"))
     rows = _rows(docs, id_col, text_col, carry).join(drops.hint("merge"), ["at_doc", "at_text"], "left")
-    rows = rows.select("doc_id", "text", "gone", F.split("text", "\n").alias("lines"), *carry)
+    rows = rows.select("doc_id", "text", "gone", F.split("text", "\n").alias("lines"), "carried")
     lines = F.col("lines")
     rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     return rows.select(
@@ -143,7 +172,7 @@ def line_dedup(
         F.when(F.col("gone").isNull(), F.col("text"))
         .otherwise(F.array_join(F.transform(rest, lambda i: lines[i]), "\n"))
         .alias("kept_text"),
-        *carry,
+        *[F.col("carried")[c].alias(c) for c in carry],
     )
 
 
