@@ -94,33 +94,42 @@ def _summary(groups: DataFrame, digits: int, within: list[str] | None, was: int)
     return [(r[0], r[1], int(r[2]), int(r[3])) for r in rows]
 
 
+def _unsure(atoms: Atoms, shards: int) -> set[int]:
+    """Atoms of several groups in which a cut may have to fall."""
+    n, total = len(atoms.ends), int(atoms.ends[-1])
+    high = atoms.smallest(shards, "whole")
+    low = atoms.smallest(shards, "high")
+    first, last = _earliest(atoms, high, shards, "low"), atoms.cuts(high, shards, "high")
+    out = set()
+    for k, (a, b) in enumerate(zip(first, last)):
+        ideal = int(np.searchsorted(atoms.ends, total * (k + 1) // shards))
+        near = {ideal, a - 1, b - 1, b} | (set(range(max(0, a - 1), min(n, b + 1))) if low < high else set())
+        out |= {i for i in near if 0 <= i < n and not atoms.single[i]}
+    return out
+
+
 def minimax_cut_keys(groups: DataFrame, shards: int = SHARDS) -> list[str]:
     """First keys of shards 1 and up.  groups: (key, bytes), one row per group."""
-    digits = FIRST_DIGITS
-    rows = _summary(groups, digits, None, 0)
+    rows = _summary(groups, FIRST_DIGITS, None, 0)
     if not rows:
         return []
     while True:
         atoms = Atoms(rows)
         n, total = len(rows), int(atoms.ends[-1])
-        high = atoms.smallest(shards, "whole")
-        low = atoms.smallest(shards, "high")
-        first, last = _earliest(atoms, high, shards, "low"), atoms.cuts(high, shards, "high")
-        unsure = set()
-        for k, (a, b) in enumerate(zip(first, last)):
-            ideal = int(np.searchsorted(atoms.ends, total * (k + 1) // shards))
-            near = {ideal, a - 1, b - 1, b} | (set(range(max(0, a - 1), min(n, b + 1))) if low < high else set())
-            unsure |= {i for i in near if 0 <= i < n and not atoms.single[i]}
-        unsure = {i for i in unsure if not atoms.single[i]}
-        if not unsure or digits >= KEY_DIGITS:
-            break
-        split = [atoms.prefix[i] for i in sorted(unsure) if len(atoms.prefix[i]) == digits]
+        # a prefix above an equal share holds a large group: until that stands alone, it blurs every cut after it
+        unsure = {i for i in range(n) if not atoms.single[i] and atoms.sizes[i] > total / shards}
+        if not unsure:
+            unsure = _unsure(atoms, shards)
+        split: dict[int, list[str]] = {}
+        for i in unsure:
+            if len(atoms.prefix[i]) < KEY_DIGITS:
+                split.setdefault(len(atoms.prefix[i]), []).append(atoms.prefix[i])
         if not split:
             break
-        gone = set(split)
+        gone = {p for own in split.values() for p in own}
         rows = [r for r in rows if r[0] not in gone]
-        rows += _summary(groups, digits + STEP_DIGITS, split, digits)
-        digits += STEP_DIGITS
+        for digits, own in split.items():
+            rows += _summary(groups, digits + STEP_DIGITS, sorted(own), digits)
     capacity = atoms.smallest(shards, "whole")
     latest, earliest = atoms.cuts(capacity, shards, "whole"), _earliest(atoms, capacity, shards, "whole")
     keys, at = [], 0
