@@ -56,8 +56,10 @@ class _Run:
             self.graph = self.graph.overlapping(a, self.stamp())
         if t.take("IN", "NAMESPACE") or t.take("USE", "NAMESPACE"):
             space = self.e.atom()[1] if t.kind() == "string" else t.name()
-            scoped = {k: df.where(F.col("namespace") == space) for k, df in self.graph.nodes.items() if "namespace" in df.columns}
-            self.graph = Graph(scoped, self.graph.edges, self.graph.histories, self.graph.edge_history, self.graph.vector)
+            inside = lambda df: df.where(F.col("namespace") == space) if df is not None and "namespace" in df.columns else df
+            # labels without the column are in no namespace; edges without it are bound by their ends
+            scoped = {k: inside(df) if "namespace" in df.columns else df.limit(0) for k, df in self.graph.nodes.items()}
+            self.graph = Graph(scoped, inside(self.graph.edges), self.graph.histories, self.graph.edge_history, self.graph.vector)
         if t.take("MATCH"):
             chains = self.p.chains()
             if t.is_word("WINDOW"):
@@ -107,8 +109,14 @@ class _Run:
                 rows = rows.where(Compiler(rows.columns).test(self.e.parse()))
             elif t.take("RANK", "BY", "SIMILARITY", "TO"):
                 q = self.vector()
+                metric = METRICS[t.name().upper()] if t.take("USING") else "cosine"
+                threshold = None
+                if t.take("THRESHOLD"):
+                    op = t.next() if t.peek() in (">", ">=", "<", "<=") else ">="
+                    threshold = (op, float(self.e.atom()[1]))
                 k = t.integer() if t.take("TOP") else DEFAULT_K
-                rows = VO.rerank(rows, q, k, id_col=f"{subject}__id", vector_col=f"{subject}__{self.graph.vector}")
+                alias = t.name() if t.take("AS") else "score"
+                rows = VO.rerank(rows, q, k, metric, threshold, alias, f"{subject}__id", f"{subject}__{self.graph.vector}")
             elif t.take("RETURN"):
                 distinct = t.take("DISTINCT")
                 items = [self.item()]

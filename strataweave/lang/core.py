@@ -27,6 +27,7 @@ _TOKEN = re.compile(
     r"\s*(?:(?P<number>\d+\.\d+(?:[eE][+-]?\d+)?|\d+)|(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<word>[A-Za-z_][A-Za-z0-9_]*)"
     r"|(?P<param>\$[A-Za-z_][A-Za-z0-9_]*)|(?P<mark><=>|<=|>=|<>|!=|->|<-|\.\.|[-+*/()\[\]{},.:<>=|;%]))"
 )
+_COMMENT = re.compile(r"\s*//[^\n]*\n?|\s+\Z")
 MUTATIONS = {"CREATE", "SET", "DELETE", "DETACH", "REMOVE", "MERGE", "INSERT", "UPDATE", "DROP", "ALTER"}
 
 
@@ -69,9 +70,11 @@ class Graph:
 class Tokens:
     def __init__(self, text: str):
         self.items: list[tuple[str, str]] = []
-        text = re.sub(r"(--|//)[^\n]*(?=\n|$)", lambda m: "" if m.group(1) == "//" else m.group(), text)
         at, text = 0, text.rstrip().rstrip(";").rstrip()
         while at < len(text):
+            if skipped := _COMMENT.match(text, at):
+                at = skipped.end()
+                continue
             m = _TOKEN.match(text, at)
             if not m or m.end() == at:
                 raise QueryError(f"cannot read {text[at : at + 20]!r}")
@@ -240,8 +243,9 @@ class Expressions:
 class Compiler:
     """Expression tuples to columns over the columns at hand; a property that no column has is null."""
 
-    def __init__(self, columns: list[str], regime: str = "R1", aliases: dict[str, str] | None = None):
-        self.columns, self.regime, self.aliases = set(columns), regime, aliases or {}
+    def __init__(self, columns: list[str], regime: str = "R1", optional: set[str] = frozenset()):
+        """optional: variables that an optional match may have left empty; their comparisons are of regime R3."""
+        self.columns, self.regime, self.optional = set(columns), regime, optional
 
     def prop(self, var: str, key: str) -> Column:
         name = f"{var}__{key}"
@@ -304,6 +308,8 @@ class Compiler:
             target = right[1] if right[0] == "lit" and not isinstance(right[1], list) else self.value(right)
             if target is None and self.regime == "R2":
                 return F.lit(None).cast("boolean")
+            if left[0] == "prop" and left[1] in self.optional and f"{left[1]}__id" in self.columns:
+                return P.compare("R3", op, self.value(left), target, F.col(f"{left[1]}__id").isNotNull())
             return P.compare(self.regime, op, self.value(left), target)
         if kind == "in":
             if e[2][0] == "lit":
@@ -364,6 +370,7 @@ class HopPattern:
     label: str | None
     direction: str
     depth: tuple[int, int | None] | None
+    props: dict = field(default_factory=dict)
 
 
 class Patterns:
@@ -394,6 +401,7 @@ class Patterns:
         if not back:
             t.expect("-")
         var = label = depth = None
+        props: dict = {}
         if t.take("["):
             var = t.name() if t.kind() == "word" else None
             label = t.name() if t.take(":") else None
@@ -406,11 +414,17 @@ class Patterns:
                         depth = (low, t.integer() if t.kind() == "number" else None)
                 elif t.take(".."):
                     depth = (1, t.integer())
+            if t.take("{"):
+                while not t.take("}"):
+                    key = t.name()
+                    t.expect(":")
+                    props[key] = self.e.sum()[1]
+                    t.take(",")
             t.expect("]")
         forward = t.take("->")
         if not forward:
             t.expect("-")
-        return HopPattern(var, label, "both" if back == forward else "in" if back else "out", depth)
+        return HopPattern(var, label, "both" if back == forward else "in" if back else "out", depth, props)
 
     def chain(self) -> list:
         out: list = [self.node()]
@@ -461,13 +475,15 @@ def _turn(chain: list, columns: list[str]) -> list:
     if f"{chain[-1].var}__id" not in columns:
         raise QueryError("a pattern must start or end at a bound variable")
     flip = {"out": "in", "in": "out", "both": "both"}
-    return [HopPattern(x.var, x.label, flip[x.direction], x.depth) if isinstance(x, HopPattern) else x for x in reversed(chain)]
+    return [HopPattern(x.var, x.label, flip[x.direction], x.depth, x.props) if isinstance(x, HopPattern) else x for x in reversed(chain)]
 
 
 def _step(graph: Graph, rows: DataFrame, at: str, hop: HopPattern, node: NodePattern, used: list[str], isomorphic: bool) -> DataFrame:
     if graph.edges is None:
         raise QueryError("the graph has no edges")
     edges = graph.edges if hop.label is None else graph.edges.where(F.col("label") == hop.label)
+    for key, value in hop.props.items():
+        edges = edges.where(P.compare("R1", "=", F.col(key) if key in edges.columns else F.lit(None), value))
     target = f"{node.var}__id"
     known = target in rows.columns
     if hop.depth is not None:
@@ -498,6 +514,11 @@ def _step(graph: Graph, rows: DataFrame, at: str, hop: HopPattern, node: NodePat
 
 
 def guard_read_only(text: str) -> None:
-    for kind, word in Tokens(text).items:
-        if kind == "word" and word.upper() in MUTATIONS:
+    items = Tokens(text).items
+    for k, (kind, word) in enumerate(items):
+        if kind != "word" or word.upper() not in MUTATIONS:
+            continue
+        # a name after a dot, a colon or AS, and a key before a colon, are no clause
+        before, after = (items[j][1].upper() if 0 <= j < len(items) else "" for j in (k - 1, k + 1))
+        if before not in (".", ":", "AS") and after != ":":
             raise QueryError(f"{word.upper()} would change the graph")

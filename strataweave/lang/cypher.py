@@ -29,7 +29,7 @@ class _Run:
         self.p = Patterns(self.e)
         self.rows: DataFrame | None = None
         self.regime = "R1"
-        self.order: list[tuple] = []
+        self.optionals: set[str] = set()
 
     def run(self) -> DataFrame:
         t = self.t
@@ -81,7 +81,7 @@ class _Run:
             self.where(self.e.parse())
 
     def where(self, e: tuple) -> None:
-        self.rows = self.rows.where(Compiler(self.rows.columns, self.regime).test(e))
+        self.rows = self.rows.where(Compiler(self.rows.columns, self.regime, self.optionals).test(e))
 
     def optional(self) -> None:
         chains = self.p.chains()
@@ -97,6 +97,7 @@ class _Run:
         if self.t.take("WHERE"):
             right = right.where(Compiler(right.columns, "R1").test(self.e.parse()))
         new = [c for c in right.columns if c not in left.columns]
+        self.optionals |= {c.removesuffix("__id") for c in new if c.endswith("__id")}
         self.rows = G.optional_match(left, right.select(*keys, *new), keys)
 
     def unwind(self) -> None:

@@ -55,8 +55,11 @@ class _Run:
         else:
             rows = self.source(graph, source)
         c = Compiler(rows.columns)
+        self.near = None
         if t.take("WHERE"):
-            rows = rows.where(c.test(self.bare(self.e.parse())))
+            self.near = self.knn_call()
+            if self.near is None or t.take("AND"):
+                rows = rows.where(c.test(self.bare(self.e.parse())))
         if t.is_word("JOIN") or t.is_word("UNION") or t.peek() == ",":
             raise QueryError("one table only, without set operations")
         group, having = None, None
@@ -71,11 +74,14 @@ class _Run:
             while True:
                 e = self.bare(self.e.sum())
                 if t.take("<=>"):
+                    if knn is not None or order:
+                        raise QueryError("<=> is the first sort key")
                     knn = (e, self.vector())
-                down = t.take("DESC")
-                if not down:
                     t.take("ASC")
-                if knn is None:
+                else:
+                    down = t.take("DESC")
+                    if not down:
+                        t.take("ASC")
                     order.append((e, down))
                 if not t.take(","):
                     break
@@ -85,8 +91,13 @@ class _Run:
             raise QueryError(f"unexpected {t.peek()!r}")
         items = [(self.bare(e) if e is not None else None, n) for e, n in items]
         if knn is not None:
-            rows = VO.rerank(rows, knn[1], limit or VO.RERANK_K, id_col="t__id", vector_col=f"t__{knn[0][2]}")
-            return self.select(rows, items, extra=["score"])
+            rows = VO.rerank(rows, knn[1], None, id_col="t__id", vector_col=f"t__{knn[0][2]}")
+            keys = [(c.value(e), down) for e, down in order]
+            rows = rows.orderBy(F.desc("score"), *[k.desc_nulls_first() if down else k.asc_nulls_last() for k, down in keys], "t__id")
+            return self.select(G.page(rows, skip, VO.RERANK_K if limit is None else limit), items, extra=["score"])
+        if self.near is not None:
+            column, q, k, metric = self.near
+            return self.select(G.page(VO.rerank(rows, q, k, metric, id_col="t__id", vector_col=f"t__{column}"), skip, limit), items, extra=["score"])
         if group is not None or any(e is not None and has_aggregate(e) for e, _ in items):
             out = self.grouped(rows, items, group or [], having)
             keys = [(F.col(label_of(e) if e[0] != "prop" else e[2]), down) for e, down in order]
@@ -152,6 +163,21 @@ class _Run:
             df = Graph({k.lower(): v for k, v in graph.nodes.items()}).scan(low)
         return df.select(*[F.col(c).alias(f"t__{c}") for c in df.columns])
 
+    def knn_call(self) -> tuple | None:
+        """KNN(column, vector, k [, metric]) at the head of WHERE: (column, vector, k, metric)."""
+        t = self.t
+        if not t.take("KNN", "("):
+            return None
+        column = t.name()
+        t.expect(",")
+        q = self.vector()
+        t.expect(",")
+        k, metric = t.integer(), "cosine"
+        if t.take(","):
+            metric = str(self.e.atom()[1]).lower()
+        t.expect(")")
+        return column, q, k, metric
+
     def vector(self) -> list[float]:
         e = self.e.atom()
         value = e[1]
@@ -177,10 +203,29 @@ class _Run:
         keyed = rows.withColumns({f"_k{k}": c.value(e) for k, e in enumerate(group)})
         aggs = [c.aggregate(e).alias(n) for e, n in items if has_aggregate(e)]
         if having is not None:
-            aggs.append(c.aggregate(having[2]).alias("_h"))
+            parts: list[tuple] = []
+            having = _lift(having, parts)
+            aggs += [c.aggregate(e).alias(f"_h{k}") for k, e in enumerate(parts)]
         names = [f"_k{k}" for k in range(len(group))]
         out = keyed.groupBy(*names).agg(*aggs) if names else keyed.agg(*aggs)
         if having is not None:
-            out = out.where(Compiler(["_h"]).test((having[0], having[1], ("var", "_h"), having[3])))
+            keys = {e: ("var", f"_k{k}") for k, e in enumerate(group)}
+            out = out.where(Compiler(out.columns).test(_replace(having, keys)))
         pick = [F.col(f"_k{group.index(e)}").alias(n) if e in group else F.col(n) for e, n in items]
         return out.select(*pick)
+
+
+def _lift(e, parts: list[tuple]):
+    """The expression with its aggregates, collected in parts, replaced by variables."""
+    if not isinstance(e, tuple):
+        return e
+    if e[0] == "agg":
+        parts.append(e)
+        return ("var", f"_h{len(parts) - 1}")
+    return tuple(_lift(x, parts) for x in e)
+
+
+def _replace(e, names: dict[tuple, tuple]):
+    if not isinstance(e, tuple):
+        return e
+    return names[e] if e in names else tuple(_replace(x, names) for x in e)

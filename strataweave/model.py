@@ -39,12 +39,28 @@ def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labels' and edge types' tags: node and edge ids are key * TAGS + tag, so no two labels share an id.
+TAGS = 8
+TAG_OF = {"Customer": 1, "Order": 2, "Part": 3, "Supplier": 4, "Turn": 5, "PLACED": 1, "CONTAINS": 2, "SUPPLIED_BY": 3}
+
+
+def in_space(key, label: str):
+    """The id of a label's key in the one id space of the graph."""
+    return (key if not isinstance(key, str) else F.col(key)).cast("long") * TAGS + TAG_OF[label]
+
+
+def shop_nodes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers, orders, parts and suppliers with ids of one space; their own keys stay properties."""
+    own = {"Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey"), "Part": ("part", "p_partkey"), "Supplier": ("supplier", "s_suppkey")}
+    return {label: table(spark, sf_dir, name).withColumn("id", in_space(key, label)) for label, (name, key) in own.items()}
+
+
 def placed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderkey").alias("eid"),
-        F.col("o_custkey").alias("src"),
-        F.col("o_orderkey").alias("dst"),
+        in_space("o_orderkey", "PLACED").alias("eid"),
+        in_space("o_custkey", "Customer").alias("src"),
+        in_space("o_orderkey", "Order").alias("dst"),
         F.lit("PLACED").alias("label"),
         F.col("o_totalprice").alias("price"),
     )
@@ -53,9 +69,9 @@ def placed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("eid"),
-        F.col("l_orderkey").alias("src"),
-        F.col("l_partkey").alias("dst"),
+        in_space(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "CONTAINS").alias("eid"),
+        in_space("l_orderkey", "Order").alias("src"),
+        in_space("l_partkey", "Part").alias("dst"),
         F.lit("CONTAINS").alias("label"),
         F.col("l_quantity").alias("quantity"),
     )
@@ -81,8 +97,9 @@ def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part -> supplier, once per pair that any order line names."""
     li = table(spark, sf_dir, "lineitem")
-    pairs = li.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return pairs.select((F.col("src") * 1_000_000 + F.col("dst")).alias("eid"), "src", "dst", F.lit("SUPPLIED_BY").alias("label"))
+    pairs = li.select("l_partkey", "l_suppkey").distinct()
+    eid = in_space(F.col("l_partkey") * 10_000_000 + F.col("l_suppkey"), "SUPPLIED_BY")
+    return pairs.select(eid.alias("eid"), in_space("l_partkey", "Part").alias("src"), in_space("l_suppkey", "Supplier").alias("dst"), F.lit("SUPPLIED_BY").alias("label"))
 
 
 def flip(edges: DataFrame) -> DataFrame:

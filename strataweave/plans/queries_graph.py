@@ -11,7 +11,7 @@ from .catalog import query
 
 T = M.table
 #: DuckDB's edge views, alike for all oracles.
-CONTAINS = "(SELECT l_orderkey * 10 + l_linenumber AS eid, l_orderkey AS src, l_partkey AS dst, l_quantity AS quantity FROM lineitem)"
+CONTAINS = "(SELECT (l_orderkey * 10 + l_linenumber) * 8 + 2 AS eid, l_orderkey * 8 + 2 AS src, l_partkey * 8 + 3 AS dst, l_quantity AS quantity FROM lineitem)"
 LOCATED = (
     "(SELECT c_custkey AS eid, c_custkey AS src, (-1 - c_nationkey)::BIGINT AS dst FROM customer UNION ALL "
     "SELECT (-1 - n_nationkey)::BIGINT, (-1 - n_nationkey)::BIGINT, (-1001 - n_regionkey)::BIGINT FROM nation)"
@@ -88,15 +88,15 @@ def string_predicates(spark, d):
     return p.select("p_partkey", P.contains(F.col("p_name"), "1").alias("c"), P.starts_with(F.col("p_type"), "S").alias("s"), P.ends_with(F.col("p_brand"), "3").alias("e"))
 
 
-@query("traverse_out", f"""SELECT DISTINCT o_orderkey AS anchor, dst AS id, 1 AS depth FROM orders JOIN {CONTAINS} ON src = o_orderkey WHERE o_orderpriority = '1-URGENT' AND src <> dst""")
+@query("traverse_out", f"""SELECT DISTINCT src AS anchor, dst AS id, 1 AS depth FROM orders JOIN {CONTAINS} ON src = o_orderkey * 8 + 2 WHERE o_orderpriority = '1-URGENT'""")
 def traverse_out(spark, d):
-    a = T(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("anchor"))
+    a = T(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(M.in_space("o_orderkey", "Order").alias("anchor"))
     return G.traverse(a, M.contains_edges(spark, d), "out", 1, 1)
 
 
-@query("traverse_in", f"SELECT DISTINCT p_partkey AS anchor, src AS id, 1 AS depth FROM part JOIN {CONTAINS} ON dst = p_partkey WHERE p_size > 40 AND src <> dst")
+@query("traverse_in", f"SELECT DISTINCT dst AS anchor, src AS id, 1 AS depth FROM part JOIN {CONTAINS} ON dst = p_partkey * 8 + 3 WHERE p_size > 40")
 def traverse_in(spark, d):
-    a = T(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("anchor"))
+    a = T(spark, d, "part").where("p_size > 40").select(M.in_space("p_partkey", "Part").alias("anchor"))
     return G.traverse(a, M.contains_edges(spark, d), "in", 1, 1)
 
 
@@ -133,11 +133,11 @@ def traverse_paths(spark, d):
     return G.traverse(a, M.located_edges(spark, d), "out", 2, 2, with_path=True)
 
 
-@query("edge_bound_hop", f"SELECT o_orderkey, eid, dst, quantity FROM orders JOIN {CONTAINS} ON src = o_orderkey WHERE o_orderstatus = 'P' AND quantity > 30")
+@query("edge_bound_hop", f"SELECT o_orderkey, eid, dst, quantity FROM orders JOIN {CONTAINS} ON src = o_orderkey * 8 + 2 WHERE o_orderstatus = 'P' AND quantity > 30")
 def edge_bound_hop(spark, d):
-    a = T(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    a = T(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", M.in_space("o_orderkey", "Order").alias("id"))
     e = M.contains_edges(spark, d).where("quantity > 30")
-    return G.expand(a, e, "out", "o_orderkey").select("o_orderkey", "eid", "dst", "quantity")
+    return G.expand(a, e, "out").select("o_orderkey", "eid", "dst", "quantity")
 
 
 @query("optional_match", """
@@ -149,11 +149,10 @@ def optional_match(spark, d):
 
 
 @query("pattern_isomorphism", """
-SELECT o.o_custkey AS c, o.o_orderkey AS o, a.l_partkey AS p, b.l_partkey AS q, o.o_orderkey AS e0,
-  a.l_orderkey * 10 + a.l_linenumber AS e1, b.l_orderkey * 10 + b.l_linenumber AS e2
+SELECT o.o_custkey * 8 + 1 AS c, o.o_orderkey * 8 + 2 AS o, a.l_partkey * 8 + 3 AS p, b.l_partkey * 8 + 3 AS q, o.o_orderkey * 8 + 1 AS e0,
+  (a.l_orderkey * 10 + a.l_linenumber) * 8 + 2 AS e1, (b.l_orderkey * 10 + b.l_linenumber) * 8 + 2 AS e2
 FROM orders o JOIN lineitem a ON a.l_orderkey = o.o_orderkey JOIN lineitem b ON b.l_orderkey = o.o_orderkey
-WHERE a.l_linenumber <> b.l_linenumber AND o.o_totalprice > 250000
-  AND o.o_orderkey <> a.l_orderkey * 10 + a.l_linenumber AND o.o_orderkey <> b.l_orderkey * 10 + b.l_linenumber""")
+WHERE a.l_linenumber <> b.l_linenumber AND o.o_totalprice > 250000""")
 def pattern_isomorphism(spark, d):
     placed = M.placed_edges(spark, d).where("price > 250000")
     lines = M.contains_edges(spark, d)
