@@ -64,7 +64,8 @@ def investigate(writes: DataFrame, clues: list[Column], window_us: int) -> DataF
     rows = writes.select("id", "version_id", "vf", *[F.coalesce(c, F.lit(False)).alias(f"c{k}") for k, c in enumerate(clues)])
     order = Window.partitionBy("id").orderBy("vf", "version_id")
     # next match of clue k strictly later in time
-    later = Window.partitionBy("id").orderBy("vf").rangeBetween(1, Window.unboundedFollowing)
+    # read backward, the frame only grows
+    later = Window.partitionBy("id").orderBy(F.desc("vf")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = [F.min(F.when(F.col(f"c{k}"), F.struct("vf", "version_id"))).over(later).alias(f"n{k}") for k in range(1, len(clues))]
     step = rows.select("id", "version_id", "vf", "c0", *nxt)
     out = step.where("c0").select("id", F.col("vf").alias("t0"), F.array("version_id").alias("versions"), *([F.col("n1").alias("at")] if nxt else []))

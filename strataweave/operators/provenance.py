@@ -12,6 +12,8 @@ from ..model import DELETE, RETRACT
 from ..scratch import cut
 
 LINEAGE_DEPTH = 32
+#: Ranges of lives in which survival's running sums are taken.
+SURVIVAL_RANGES = 64
 
 
 def provenance_filter(df: DataFrame, sources: list[str] | None = None, min_confidence: float | None = None, include_unattributed: bool = False) -> DataFrame:
@@ -66,15 +68,29 @@ def lifespans(writes: DataFrame, by: str, now: int) -> DataFrame:
 
 
 def kaplan_meier(spans: DataFrame, by: str) -> DataFrame:
-    """(by, life, deaths, at_risk, survival) at each distinct life; equal lives are summed before the windows."""
+    """(by, life, deaths, at_risk, survival) at each distinct life; equal lives are summed before the windows.
+
+    Running sums are taken within ranges of lives and shifted by the sums of the ranges before, so that a
+    few groups do not mean a few tasks.
+    """
     steps = spans.groupBy(by, "life").agg(F.count(F.when(F.col("event"), 1)).alias("deaths"), F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy("life")
-    at_risk = F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing))
-    steps = steps.withColumn("at_risk", at_risk)
+    steps = cut(steps)
+    ends = steps.agg(F.min("life").alias("low"), F.max("life").alias("high"))  # one row
+    steps = steps.join(F.broadcast(ends)).withColumn("range", F.floor((F.col("life") - F.col("low")) * (SURVIVAL_RANGES - 1) / F.greatest(F.lit(1), F.col("high") - F.col("low"))))
+    steps = _summed(steps, by, "n", "gone").withColumn("at_risk", F.col("total_n") - F.col("gone") + F.col("n"))
     # survival is 0 once all at risk have died
     term = F.when(F.col("deaths") >= F.col("at_risk"), -1e9).otherwise(F.log(1 - F.col("deaths") / F.col("at_risk")))
-    survival = F.exp(F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return steps.select(by, "life", "deaths", "at_risk", survival.alias("survival"))
+    steps = _summed(steps.withColumn("term", term), by, "term", "log_survival")
+    return steps.select(by, "life", "deaths", "at_risk", F.exp("log_survival").alias("survival"))
+
+
+def _summed(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """rows (by, range, life, ...) with the running sum of value by life as name, and the sum of all as total_<value>."""
+    sums = rows.groupBy(by, "range").agg(F.sum(value).alias("part"))
+    w = Window.partitionBy(by).orderBy("range")  # at most SURVIVAL_RANGES rows a group
+    sums = sums.select(by, "range", (F.sum("part").over(w) - F.col("part")).alias("base"), F.sum("part").over(Window.partitionBy(by)).alias(f"total_{value}"))
+    own = F.sum(value).over(Window.partitionBy(by, "range").orderBy("life").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums, [by, "range"]).withColumn(name, F.col("base") + own).drop("base")
 
 
 def counterfactual(writes: DataFrame, columns: list[str], excluded: Column) -> DataFrame:

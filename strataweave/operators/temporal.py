@@ -86,12 +86,17 @@ def extent(writes: DataFrame, by: str | None = None) -> DataFrame:
     return writes.groupBy(by).agg(*aggs) if by else writes.agg(*aggs)
 
 
-def changefeed(writes: DataFrame, start: int, end: int, limit: int | None = None, after: tuple[int, int, int] | None = None) -> DataFrame:
-    """Changes recorded in [start, end), ordered by (tf, id, version_id); after: the last row of the page before."""
-    w = Window.partitionBy("id").orderBy("tf", "version_id")
-    kind = F.when(F.col("op").isin(RETRACT, DELETE), "Deleted").when(F.row_number().over(w) == 1, "Created").otherwise("Modified")
-    # the first write of an entity needs its whole past, so the window comes before the filter
-    out = writes.withColumn("change_type", kind).where((F.col("tf") >= start) & (F.col("tf") < end))
+def changefeed(writes: DataFrame, start: int, end: int, limit: int | None = None, after: tuple[int, int, int] | None = None, where: Column | None = None) -> DataFrame:
+    """Changes recorded in [start, end), ordered by (tf, id, version_id); after: the last row of the page before;
+    where: a test of the changes, such as one of label or of valid time."""
+    out = writes.where((F.col("tf") >= start) & (F.col("tf") < end))
+    if where is not None:
+        out = out.where(where)
+    # the first write of an entity, by a minimum over the past of the range's entities only
+    first = writes.where(F.col("tf") < end).join(out.select("id").distinct(), "id", "left_semi")
+    first = first.groupBy("id").agg(F.min(F.struct("tf", "version_id")).alias("_first"))
+    kind = F.when(F.col("op").isin(RETRACT, DELETE), "Deleted").when(F.struct("tf", "version_id") == F.col("_first"), "Created").otherwise("Modified")
+    out = out.join(first, "id").withColumn("change_type", kind).drop("_first")
     if after is not None:
         last = [F.lit(x).cast(out.schema[c].dataType).alias(c) for c, x in zip(("tf", "id", "version_id"), after)]
         out = out.where(F.struct("tf", "id", "version_id") > F.struct(*last))

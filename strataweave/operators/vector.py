@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
 RERANK_K = 10
+#: Queries and rows of a block of the k-nearest join: 64 MB of scores.
+KNN_BLOCK, KNN_ROWS = 1024, 8192
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -47,55 +51,50 @@ def rerank(rows: DataFrame, query: list[float], top_k: int | None = RERANK_K, me
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", blocks: int = 0) -> DataFrame:
     """(qid, id, score, rank): the k nearest of every stated query, exactly.
 
-    The query set meets all rows in blocks.  Each block of queries keeps its k best per
-    partition of rows before anything is shuffled, with matrix products in Arrow batches.
+    Both sides are dealt to blocks by hash, of about KNN_BLOCK queries and KNN_ROWS rows, and every
+    pair of blocks is one group: a matrix product that keeps its k best rows a query.  Nothing is
+    gathered on the driver; what is shuffled is each side once per block of the other.
     """
-    import heapq
-    from collections.abc import Iterator
-
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.select("qid", "embedding").collect()  # the stated query set
-    ids = np.array([r["qid"] for r in asked], np.int64)
-    q = np.array([r["embedding"] for r in asked], np.float64)
-    if not len(ids):
-        return queries.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
-    norms = np.linalg.norm(q, axis=1)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: list[list] = [[] for _ in ids]
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            own = batch.column(0).to_numpy()
-            if not len(own):
-                continue
-            s = q @ x.T
+    asked = queries.where("embedding is not null").select("qid", "embedding")
+    rows = vectors.where("embedding is not null").select("id", "embedding")
+    n_asked, n_rows = asked.count(), rows.count()
+    across, down = max(1, blocks, -(-n_asked // KNN_BLOCK)), max(1, -(-n_rows // KNN_ROWS))
+    x_block, y_block = F.pmod(F.xxhash64("qid"), F.lit(across)), F.pmod(F.xxhash64("id"), F.lit(down))
+    x = asked.withColumn("x", x_block).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    y = rows.withColumn("y", y_block).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+
+    def stacked(column: pa.ChunkedArray) -> np.ndarray:
+        return np.array(column.to_pylist(), np.float64)
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        qid, own = asked["qid"].to_numpy(), rows["id"].to_numpy()
+        at, score = [], []
+        if len(qid) and len(own):
+            q, v = stacked(asked["embedding"]), stacked(rows["embedding"])
+            s = q @ v.T
             if metric == "cosine":
-                n = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
                 s = np.where(n > V.TINY, np.clip(s / np.maximum(n, V.TINY), -1, 1), 0.0)
             elif metric == "euclidean":
-                d = (q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :]
+                d = (q * q).sum(1)[:, None] - 2 * s + (v * v).sum(1)[None, :]
                 s = 1 / (1 + np.sqrt(np.maximum(d, 0)))
-            n_best = min(k + 1, s.shape[1])
-            part = np.argpartition(-s, n_best - 1, axis=1)[:, :n_best]
-            for i, at in enumerate(part):
-                limit = s[i, at].min()
-                # all that tie with the last one, so that ids decide
-                for j in np.flatnonzero(s[i] >= limit) if n_best < s.shape[1] else at:
-                    if own[j] != ids[i]:
-                        item = (s[i, j], -own[j])
-                        if len(heaps[i]) < k:
-                            heapq.heappush(heaps[i], item)
-                        elif item > heaps[i][0]:
-                            heapq.heapreplace(heaps[i], item)
-        rows = [(int(ids[i]), int(-n), float(s)) for i, h in enumerate(heaps) for s, n in h]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
-            names=["qid", "id", "score"],
-        )
-
-    parts = vectors.where("embedding is not null").select("id", "embedding").mapInArrow(best, "qid long, id long, score double")
+            s[qid[:, None] == own[None, :]] = -np.inf
+            for line in s:
+                # the k best, equal scores by id
+                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if k < len(line) else np.arange(len(line))
+                near = near[np.lexsort((own[near], -line[near]))][:k]
+                near = near[line[near] > -np.inf]
+                at.append(near)
+                score.append(line[near])
+        sizes = [len(n) for n in at]
+        flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+        return pa.table({"qid": np.repeat(qid[: len(sizes)], sizes), "id": own[flat], "score": np.concatenate(score) if score else np.zeros(0)})
+
+    cells = x.groupBy("x", "y").cogroup(y.groupBy("x", "y"))
+    parts = cells.applyInArrow(best, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -108,6 +107,51 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words).where("term <> ''").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def _tokens(text_col: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z0-9]+"), "")
+
+
+def _query_counts(docs: DataFrame, query: dict[str, float], id_col: str, text_col: str) -> DataFrame:
+    """(id, text, tf): the counts of the query's terms, in its order.  A document is one row; only its hits are ever split."""
+    low = F.lower(F.coalesce(text_col, F.lit("")))
+    whole = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(q)}(?![a-z0-9])")) for q in query]
+    count = [F.when(low.contains(q), n).otherwise(0) for q, n in zip(query, whole)]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array(*count).alias("tf"))
+
+
+def text_bm25(docs: DataFrame, query: dict[str, float], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25 straight from documents: column expressions over one row each, and one aggregate for the statistics."""
+    rows = _query_counts(docs, query, id_col, text_col).select("id", "tf", F.size(F.array_distinct(_tokens("text"))).alias("dl"))
+    held = [F.count(F.when(F.get("tf", F.lit(k)) > 0, 1)) for k in range(len(query))]
+    any_word = F.col("dl") > 0
+    stats = rows.where(any_word).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*held).alias("df"))  # one row
+    j = rows.where(F.array_max("tf") > 0).join(F.broadcast(stats))
+    parts = []
+    for k, weight in enumerate(query.values()):
+        df, tf = F.get("df", F.lit(k)), F.get("tf", F.lit(k))
+        idf = F.greatest(F.lit(0.0), F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1))
+        parts.append(idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))) * weight)
+    return j.select("id", sum(parts).alias("score"))
+
+
+def text_dot(docs: DataFrame, query: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = _query_counts(docs, query, id_col, text_col).where(F.array_max("tf") > 0)
+    return rows.select("id", _tokens("text").alias("tokens"), sum(F.get("tf", F.lit(k)) * w for k, w in enumerate(query.values())).alias("score"))
+
+
+def text_cosine(docs: DataFrame, query: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Cosine of term counts.  The squared norm is the sum of squared runs of the sorted tokens."""
+    norm = sum(x * x for x in query.values()) ** 0.5
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def step(acc: Column, t: Column) -> Column:
+        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("last"), run.alias("run"), (acc["total"] + 2 * run - 1).alias("total"))
+
+    size = F.aggregate(F.array_sort("tokens"), start, step, lambda acc: F.sqrt(acc["total"]))
+    return text_dot(docs, query, id_col, text_col).select("id", (F.col("score") / (size * norm)).alias("score"))
+
+
 def bm25(terms: DataFrame, query: dict[str, float], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of the entries with any query term; a document's length is its number of distinct terms.
 

@@ -75,18 +75,18 @@ BM25 = f"""{TERMS}, q(term, w) AS (VALUES {_VALUES}), l AS (SELECT id, count(*)
 
 @query("sparse_bm25", f"WITH {BM25} SELECT id, round(score, 6) AS score FROM b")
 def sparse_bm25(spark, d):
-    return VO.bm25(VO.term_counts(M.table(spark, d, "documents"), "doc_id", "text"), QUERY).select("id", _r("score"))
+    return VO.text_bm25(M.table(spark, d, "documents"), QUERY).select("id", _r("score"))
 
 
 @query("sparse_dot", f"WITH {TERMS}, q(term, w) AS (VALUES {_VALUES}) SELECT id, sum(tf * w)::DOUBLE AS score FROM t JOIN q USING (term) GROUP BY 1")
 def sparse_dot(spark, d):
-    return VO.sparse_dot(VO.term_counts(M.table(spark, d, "documents"), "doc_id", "text"), QUERY)
+    return VO.text_dot(M.table(spark, d, "documents"), QUERY).drop("tokens")
 
 
 @query("sparse_cosine", f"""WITH {TERMS}, q(term, w) AS (VALUES {_VALUES}), l AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM t GROUP BY 1)
  SELECT t.id, round(sum(tf * w) / any_value(n) / sqrt(6), 6) AS score FROM t JOIN q USING (term) JOIN l ON l.id = t.id GROUP BY 1""")
 def sparse_cosine(spark, d):
-    return VO.sparse_cosine(VO.term_counts(M.table(spark, d, "documents"), "doc_id", "text"), QUERY).select("id", _r("score"))
+    return VO.text_cosine(M.table(spark, d, "documents"), QUERY).select("id", _r("score"))
 
 
 def _dense(spark, d):
@@ -98,7 +98,7 @@ SPARSE = f"{BM25}, sp AS (SELECT id, score FROM b ORDER BY score DESC, id LIMIT
 
 
 def _sparse(spark, d):
-    return VO.top(VO.bm25(VO.term_counts(M.table(spark, d, "documents"), "doc_id", "text"), QUERY), 50, F.desc(F.round("score", 9)), F.col("id"))
+    return VO.top(VO.text_bm25(M.table(spark, d, "documents"), QUERY), 50, F.desc(F.round("score", 9)), F.col("id"))
 
 
 @query("hybrid_fusion", f"""WITH {DENSE}, {BM25}, sp AS (SELECT id, score FROM b ORDER BY round(score, 9) DESC, id LIMIT 50),
