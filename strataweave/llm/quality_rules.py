@@ -161,7 +161,8 @@ def base_counts(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text
 def language_references(counts: DataFrame) -> DataFrame:
     """Summed histograms of the documents passing the base rules: at most one row per known language and one pooled."""
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
+    # a language may have fewer common words
+    sums += [F.coalesce(F.sum(F.get("common", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(N_COMMON + 1)]
     ref = counts.where(~F.col("base_failed")).groupBy("ref_lang").agg(*sums)
     return ref.select(
         "ref_lang",
@@ -181,7 +182,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
     parts = F.zip_with(share(p), share(q), lambda x, y: (term(x, y) + term(y, x)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total)))  # greatest() would skip a null
 
 
 def distances(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -193,8 +195,9 @@ def distances(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def away(own: str, ref: str) -> Column:
         # a base-passing document's own counts are part of the sums
-        rest = F.zip_with(ref, own, lambda r, x: r - x)
-        return js_distance(F.col(own), F.when(F.col("base_failed"), F.col(ref)).otherwise(rest))
+        full = F.zip_with(ref, own, lambda r, x: F.coalesce(x, F.lit(0)))
+        rest = F.zip_with(ref, full, lambda r, x: r - x)
+        return js_distance(full, F.when(F.col("base_failed"), F.col(ref)).otherwise(rest))
 
     return counts.join(refs, "ref_lang", "left").select(
         "doc_id",
