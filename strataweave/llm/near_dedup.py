@@ -404,11 +404,11 @@ def near_duplicates(
 
     # only texts with links need their class's minimum
     linked = spool(roots.join(texts.select(F.col("tid").alias("node"), "first_id"), "node"))
-    named = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = linked.join(named.hint("merge"), "root").select(F.col("node").alias("tid"), "class_id", F.lit(True).alias("linked"))
+    named_roots = spool(linked.groupBy("root").agg(F.min("first_id").alias("class_id")))
+    named = linked.join(named_roots.hint("merge"), "root").select(F.col("node").alias("tid"), "class_id", F.lit(True).alias("linked"))
     classes = once.select("tid", "tkey", "first_id", "n_copies").join(named.hint("merge"), "tid", "left")
     class_id = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id")
     classes = spool(classes.select("tkey", class_id, "n_copies"))
-    release(once, texts, linked)
+    release(once, texts, linked, named_roots)
     out = source.select("doc_id", "tkey").join(classes.hint("merge"), "tkey")
     return out.select("doc_id", "class_id", "n_copies")
