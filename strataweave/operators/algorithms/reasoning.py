@@ -160,12 +160,3 @@ def synergy(members: DataFrame, edges: DataFrame, dimension: int) -> DataFrame:
 def nearest_future(versions: DataFrame, nodes: DataFrame, entity: int, horizon_us: int, k: int = 5) -> DataFrame:
     row = predicted_vectors(versions.where(F.col("id") == entity), horizon_us).first()
     return knn(nodes, [float(x) for x in row["predicted"]], k)
-
-
-def best_per_anchor(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def strongest(scored: DataFrame, k: int) -> DataFrame:
-    return top(scored, k, F.desc("score"), F.col("a"), F.col("b"))

@@ -200,19 +200,19 @@ def compose(nodes: DataFrame, target: list[float], parts: int = 3, candidates: i
     return out
 
 
-def semantic_path(nodes: DataFrame, edges: DataFrame, start: int, goal: int, hop_cost: float = 0.0, max_hops: int = STEPS) -> DataFrame:
+def semantic_path(nodes: DataFrame, edges: DataFrame, start: int, goal: int, hop_cost: float = 0.0, max_hops: int | None = None) -> DataFrame:
     """(path, cost): the least sum of 1 - cosine (1 without a vector) plus hop_cost a hop."""
     spark = nodes.sparkSession
-    best = G.shortest_costs(spark.createDataFrame([(start,)], "anchor long"), edge_costs(nodes, edges, 1.0, hop_cost), max_hops)
+    best = G.shortest_costs(spark.createDataFrame([(start,)], "anchor long"), edge_costs(nodes, edges, 1.0, hop_cost), max_hops, goal)
     return best.where(F.col("id") == goal).select("path", "cost")
 
 
-def focused_path(nodes: DataFrame, edges: DataFrame, start: int, goal: int, lens: list[float], max_hops: int = STEPS) -> DataFrame:
+def focused_path(nodes: DataFrame, edges: DataFrame, start: int, goal: int, lens: list[float], max_hops: int | None = None) -> DataFrame:
     """(path, cost) where entering a node costs 1 - its focus on the lens + 0.001; without a vector the focus is -1."""
     focus = nodes.select(F.col("id").alias("dst"), V.cosine(F.col("embedding"), lens).alias("f"))
     hops = edges.select("src", "dst").distinct().join(focus, "dst", "left")
     hops = hops.select("src", "dst", (1 - F.coalesce("f", F.lit(-1.0)) + 0.001).alias("cost"))
-    best = G.shortest_costs(nodes.sparkSession.createDataFrame([(start,)], "anchor long"), hops, max_hops)
+    best = G.shortest_costs(nodes.sparkSession.createDataFrame([(start,)], "anchor long"), hops, max_hops, goal)
     return best.where(F.col("id") == goal).select("path", "cost")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -153,12 +154,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def shortest_costs(anchors: DataFrame, hops: DataFrame, max_hops: int = DEPTH_CAP) -> DataFrame:
-    """Least-cost paths by relaxation.  anchors: anchor; hops: src, dst, cost >= 0.
+def shortest_costs(anchors: DataFrame, hops: DataFrame, max_hops: int | None = None, goal: int | None = None) -> DataFrame:
+    """Least-cost paths by relaxation, to a fixed point or of at most max_hops; with a goal, paths dearer than its best are given up.  anchors: anchor; hops: src, dst, cost >= 0.
     Rows (anchor, id, cost, path): the least cost and, among equals, the least path."""
     best = anchors.select("anchor", F.col("anchor").alias("id"), F.lit(0.0).alias("cost"), F.array("anchor").alias("path"))
     frontier = best
-    for k in range(max_hops):
+    for k in itertools.count() if max_hops is None else range(max_hops):
         step = frontier.join(hops.withColumnRenamed("cost", "hop"), F.col("id") == F.col("src")).select(
             "anchor", F.col("dst").alias("id"), (F.col("cost") + F.col("hop")).alias("cost"), F.concat("path", F.array("dst")).alias("path")
         )
@@ -168,11 +169,11 @@ def shortest_costs(anchors: DataFrame, hops: DataFrame, max_hops: int = DEPTH_CA
         best = best.unionByName(frontier).groupBy("anchor", "id").agg(F.min(F.struct("cost", "path")).alias("s"))
         best = best.select("anchor", "id", "s.*")
         if k % CUT_EVERY == CUT_EVERY - 1:
-            frontier, best = cut(frontier), cut(best)
+            best = cut(best)
+            if goal is not None:
+                known = best.where(F.col("id") == goal).select("anchor", F.col("cost").alias("known"))
+                frontier = frontier.join(known, "anchor", "left").where("known is null or cost <= known").drop("known")
+            frontier = cut(frontier)
             if frontier.isEmpty():
                 break
     return best
-
-
-def when_bound(bound: Column, value: Column) -> Column:
-    return F.when(bound, value)

@@ -23,6 +23,20 @@ def _r(col: str, digits: int = 6):
     return F.round(F.col(col), digits).alias(col)
 
 
+COSTS = "c AS (SELECT DISTINCT src, dst, greatest(0, 1 - list_cosine_similarity(a.e, b.e)) AS cost FROM k JOIN n a ON a.id = src JOIN n b ON b.id = dst)"
+
+
+def _rank_rounds(rounds: int) -> str:
+    """The power iteration of personalised PageRank, round by round."""
+    out = ["s AS (SELECT id, 1.0::DOUBLE / count(*) OVER () AS p FROM n WHERE label = 2)", "h AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM (SELECT DISTINCT src, dst FROM k))",
+           "r0 AS (SELECT id, p AS rank FROM s)"]
+    for i in range(rounds):
+        out.append(f"f{i} AS (SELECT dst AS id, 0.85::DOUBLE * sum(rank / deg) AS rank FROM r{i} JOIN h ON src = id GROUP BY 1)")
+        back = f"SELECT id, p * (1 - (SELECT coalesce(sum(rank), 0) FROM f{i})) FROM s"
+        out.append(f"r{i + 1} AS (SELECT id, sum(rank) AS rank FROM (SELECT * FROM f{i} UNION ALL {back}) GROUP BY 1)")
+    return ", ".join(out) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
 def _mean(e: str) -> str:
     return f"[{', '.join(f'avg({e}[{i + 1}])' for i in range(DIM))}]"
 
@@ -166,12 +180,18 @@ def counterfactual(spark, d):
     return PV.counterfactual(M.event_writes(spark, d), ["value"], F.col("kind") == "purchase")
 
 
-@query("hash_chain")
+@query("hash_chain", f"""WITH RECURSIVE {WRITES}, r AS (SELECT id, version_id, row_number() OVER (PARTITION BY id ORDER BY tf, version_id) AS rn,
+  sha256('{{"id":' || id || ',"version_id":' || version_id || ',"vf":' || vf || ',"kind":"' || kind || '"}}') AS own FROM w),
+ c AS (SELECT id, rn, version_id, sha256(own) AS digest FROM r WHERE rn = 1 UNION ALL SELECT r.id, r.rn, r.version_id, sha256(c.digest || r.own) FROM c JOIN r ON r.id = c.id AND r.rn = c.rn + 1)
+ SELECT id, version_id, digest FROM c""")
 def hash_chain(spark, d):
-    return PV.hash_chain(M.event_writes(spark, d), ["id", "version_id", "vf", "value"])
+    return PV.hash_chain(M.event_writes(spark, d), ["id", "version_id", "vf", "kind"])
 
 
-@query("kept_versions")
+@query("kept_versions", f"""WITH RECURSIVE {VERSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY vf, version_id) AS rn FROM v),
+ w AS (SELECT id, rn, version_id, e AS last, true AS kept FROM r WHERE rn = 1 UNION ALL SELECT r.id, r.rn, r.version_id,
+   CASE WHEN 1 - list_cosine_similarity(r.e, w.last) >= 0.8 THEN r.e ELSE w.last END, 1 - list_cosine_similarity(r.e, w.last) >= 0.8 FROM w JOIN r ON r.id = w.id AND r.rn = w.rn + 1)
+ SELECT id, version_id FROM w WHERE kept""")
 def kept_versions(spark, d):
     return PV.kept_versions(M.vector_versions(spark, d), 0.8)
 
@@ -186,17 +206,22 @@ def two_faced_nodes(spark, d):
     return S.two_means(M.vector_nodes(spark, d), M.vector_links(spark, d)).select("id", _r("score"))
 
 
-@query("semantic_path")
+@query("semantic_path", f"""WITH RECURSIVE {NODES}, {LINKS}, {COSTS}, w AS (SELECT [1::BIGINT] AS path, 1::BIGINT AS here, 0.0::DOUBLE AS cost
+ UNION ALL SELECT list_append(path, dst), dst, w.cost + (c.cost + 0.1) FROM w JOIN c ON src = here WHERE dst <= 40)
+ SELECT path, round(cost, 6) AS cost FROM w WHERE here = 40 ORDER BY w.cost, path LIMIT 1""")
 def semantic_path(spark, d):
     return S.semantic_path(M.vector_nodes(spark, d), M.vector_links(spark, d), 1, 40, 0.1).select("path", _r("cost"))
 
 
-@query("semantic_horizon")
+@query("semantic_horizon", f"""WITH RECURSIVE {NODES}, {LINKS}, u AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k),
+ i AS (SELECT id, list_cosine_similarity(e, (SELECT e FROM n WHERE id = 5)) >= 0 AS inside FROM n),
+ w AS (SELECT 5::BIGINT AS id, true AS inside, 0 AS depth UNION SELECT i.id, i.inside, depth + 1 FROM w JOIN u ON src = w.id JOIN i ON i.id = dst WHERE w.inside AND depth < 4)
+ SELECT id, inside, min(depth) AS depth FROM w GROUP BY 1, 2""")
 def semantic_horizon(spark, d):
     return S.horizon(5, M.vector_nodes(spark, d), M.vector_links(spark, d), 0.0, 4)
 
 
-@query("personalized_rank")
+@query("personalized_rank", f"WITH {NODES}, {LINKS}, {_rank_rounds(6)}")
 def personalized_rank(spark, d):
     seeds = M.vector_nodes(spark, d).where("label = 2").select("id")
     return R.personalized_rank(M.vector_links(spark, d), seeds, rounds=6).select("id", _r("rank", 9))
@@ -311,17 +336,26 @@ def audit_digests(spark, d):
     return audit_rows(M.table(spark, d, "orders"), "o_orderkey")
 
 
-@query("synergy")
+@query("synergy", f"""WITH {NODES}, {LINKS}, m AS (SELECT id, e FROM n WHERE label = 1), u AS (SELECT src, dst FROM k WHERE src <> dst UNION SELECT dst, src FROM k WHERE src <> dst),
+ g AS (SELECT src AS id, {_mean('e')} AS near FROM u JOIN m ON m.id = dst GROUP BY 1),
+ x AS (SELECT e, CASE WHEN near IS NULL THEN e ELSE list_transform(range(1, {DIM + 1}), lambda i: e[i] * 0.5 + near[i] * 0.5) END AS y FROM m LEFT JOIN g USING (id))
+ SELECT round(1 - list_cosine_similarity(p, q), 6) AS synergy FROM (SELECT {_mean('e')} AS p, {_mean('y')} AS q FROM x)""")
 def synergy(spark, d):
     return R.synergy(M.vector_nodes(spark, d).where("label = 1"), M.vector_links(spark, d), DIM).select(_r("synergy"))
 
 
-@query("scenic_route")
+@query("scenic_route", f"""WITH RECURSIVE {NODES}, {LINKS}, {COSTS}, w AS (SELECT [1::BIGINT] AS path, 1::BIGINT AS here, 0.0::DOUBLE AS scenery
+ UNION ALL SELECT list_append(path, dst), dst, scenery + cost FROM w JOIN c ON src = here WHERE here <> 9 AND len(path) <= 6 AND NOT list_contains(path, dst))
+ SELECT path, round(scenery, 6) AS scenery FROM w WHERE here = 9 ORDER BY w.scenery DESC, path LIMIT 1""")
 def scenic_route(spark, d):
     return S.scenic_route(M.vector_nodes(spark, d), M.vector_links(spark, d), 1, 9, 6).select("path", _r("scenery"))
 
 
-@query("paradox")
+@query("paradox", f"""WITH {NODES}, {LINKS}, h AS (SELECT DISTINCT src, dst FROM k), m AS (SELECT 0 AS t, id, e FROM n UNION ALL SELECT 1, id, list_transform(e, lambda x: x + id % 3) FROM n),
+ p AS (SELECT a.t, src, dst, b.e AS vb, list_cosine_similarity(a.e, b.e) AS s FROM h JOIN m a ON a.id = src JOIN m b ON b.id = dst AND b.t = a.t),
+ x AS (SELECT p.t, p.src, p.dst, p.s, list_cosine_similarity(c.e, p.vb) AS y FROM p JOIN h o ON o.src = p.src AND o.dst <> p.dst JOIN m c ON c.id = o.dst AND c.t = p.t),
+ g AS (SELECT t, src, dst, any_value(s) AS s, coalesce(avg(y) FILTER (y <> 0), 0) AS a FROM x GROUP BY 1, 2, 3)
+ SELECT f.src, f.dst, round(greatest(-1, least(1, -4 * (g.s - f.s) * (g.a - f.a))), 6) AS paradox FROM g f JOIN g ON g.src = f.src AND g.dst = f.dst WHERE f.t = 0 AND g.t = 1""")
 def paradox(spark, d):
     n = M.vector_nodes(spark, d)
     after = n.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.col("id") % 3))
