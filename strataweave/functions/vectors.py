@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Norms below this count as zero.
+#: A similarity of the user's own: two columns of doubles to a column, higher is nearer.
+Metric = Callable[[Column, Column], Column]
 TINY = 1e-12
 
 
@@ -93,8 +97,14 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return euclidean(a, b) if metric == "euclidean" else 1 - dot(a, b)
 
 
-def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Higher is nearer: cosine; 1 / (1 + L2); dot product."""
+def as_vector(values: Column | list[float]) -> Column:
+    return _doubles(values)
+
+
+def similarity(a: Column, b: Column, metric: str | Metric = "cosine") -> Column:
+    """Higher is nearer: cosine; 1 / (1 + L2); dot product; or a function of two columns of doubles."""
+    if callable(metric):
+        return metric(_doubles(a), _doubles(b))
     if metric == "cosine":
         return cosine(a, b)
     return 1 / (1 + euclidean(a, b)) if metric == "euclidean" else dot(a, b)

@@ -153,3 +153,16 @@ def document_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = (F.col("doc_id") * 37 % 101) / 100
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version"), F.when(c <= 1, c).alias("confidence"), "source")
+
+
+def placed_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a history of PLACED edges: asserted on their date, recorded an hour later; cancelled a week after if their number ends in 9."""
+    vf = micros("o_orderdate")
+    hour = 3_600_000_000
+    own = table(spark, sf_dir, "orders").select(
+        in_space("o_orderkey", "PLACED").alias("id"), in_space("o_custkey", "Customer").alias("src"), in_space("o_orderkey", "Order").alias("dst"), F.lit("PLACED").alias("label"), vf.alias("at"), "o_orderkey"
+    )
+    made = own.select("id", (F.col("o_orderkey") * 2).alias("version_id"), F.col("at").alias("vf"), (F.col("at") + hour).alias("tf"), F.lit("update").alias("op"), "src", "dst", "label")
+    late = F.col("at") + 7 * 24 * hour
+    gone = own.where("o_orderkey % 10 = 9").select("id", (F.col("o_orderkey") * 2 + 1).alias("version_id"), late.alias("vf"), (late + hour).alias("tf"), F.lit(RETRACT).alias("op"), "src", "dst", "label")
+    return made.unionByName(gone)

@@ -195,3 +195,33 @@ def kept_versions(writes: DataFrame, threshold: float, column: str = "embedding"
 
     rows = writes.select("id", "version_id", "vf", column)
     return rows.groupBy("id").applyInPandas(lambda key, rows: fold(key, iter([rows])), "id long, version_id long")
+
+
+def unattributed(df: DataFrame, part: str | None = None) -> DataFrame:
+    """Rows without a bundle (columns source, confidence), or without one part of it: IS NULL on provenance."""
+    if part is not None:
+        return df.where(F.col(part).isNull())
+    return df.where(F.col("source").isNull() & F.col("confidence").isNull())
+
+
+def with_provenance(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("source", "confidence")) -> DataFrame:
+    """The keys and a struct provenance of the parts, null where the whole bundle is: ProjectProvenance."""
+    known = F.lit(False)
+    for p in parts:
+        known = known | F.col(p).isNotNull()
+    return df.select(*keys, F.when(known, F.struct(*parts)).alias("provenance"))
+
+
+def lineage_page(lineage: DataFrame, roots: DataFrame, depth: int, limit: int, upstream: bool = True) -> DataFrame:
+    """(root, version, depth, has_more): the first limit versions of each root by depth and id; has_more tells whether
+    the root has others, within the depth or one hop beyond it."""
+    closure = lineage_closure(lineage, roots, depth + 1, upstream)
+    w = Window.partitionBy("root").orderBy("depth", "version")
+    numbered = closure.withColumn("n", F.row_number().over(w)).withColumn("inside", (F.col("n") <= limit) & (F.col("depth") <= depth))
+    more = numbered.groupBy("root").agg(F.max(~F.col("inside")).alias("has_more"))
+    return numbered.where("inside").join(more, "root").select("root", "version", "depth", "has_more")
+
+
+def trusted(confidence: DataFrame, lineage: DataFrame, least: float, policy: str = "weakest", missing: float | None = 0.0) -> DataFrame:
+    """Versions whose confidence, computed over their lineage, is at least this."""
+    return trust(confidence, lineage, policy, missing).where(F.col("trust") >= least)

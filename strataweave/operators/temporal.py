@@ -239,3 +239,57 @@ def rfc3339(us: Column) -> Column:
     whole = F.floor(us / 1_000_000).cast("long")
     base = F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(base, F.lit("."), F.lpad((us - whole * 1_000_000).cast("string"), 6, "0"), F.lit("Z"))
+
+
+def adjacent_at(edge_writes: DataFrame, ids: DataFrame, valid: int, tx: int = OPEN, direction: str = "out") -> DataFrame:
+    """The edges believed at (valid, tx) that leave (out) or reach (in) the ids, one row each.  ids: id.
+
+    The ids narrow the writes before the belief is taken: an edge's ends never change.
+    """
+    end = {"out": "src", "in": "dst"}[direction]
+    own = edge_writes.join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    return as_of(own, valid, tx)
+
+
+def schema_at(writes: dict[str, DataFrame], valid: int, tx: int = OPEN) -> DataFrame:
+    """(label, key, type, present): the keys that any entity of a label carries at (valid, tx), and how many do."""
+    rest = {"id", "version_id", "vf", "tf", "op"}
+    out = None
+    for label, rows in writes.items():
+        keys = [f for f in rows.schema.fields if f.name not in rest]
+        seen = as_of(rows, valid, tx).agg(*[F.count(f.name).alias(f.name) for f in keys])
+        entries = [F.struct(F.lit(label).alias("label"), F.lit(f.name).alias("key"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("present")) for f in keys]
+        part = seen.select(F.inline(F.array(*entries))).where("present > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+class Snapshots:
+    """Names for coordinates of belief; a snapshot holds no data, since a history answers for any of them."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, tuple[int, int]] = {}
+
+    def create(self, name: str, valid: int, tx: int = OPEN) -> None:
+        if name in self.at:
+            raise ValueError(f"there is a snapshot {name} already")
+        self.at[name] = (valid, tx)
+
+    def drop(self, name: str) -> None:
+        del self.at[name]
+
+    def read(self, name: str, writes: DataFrame) -> DataFrame:
+        return as_of(writes, *self.at[name])
+
+    def diff(self, before: str, after: str, writes: DataFrame, columns: list[str]) -> DataFrame:
+        return graph_diff(writes, self.at[before], self.at[after], columns)
+
+
+def track_changes(writes: DataFrame, columns: list[str], start: int, end: int, tx: int = OPEN) -> DataFrame:
+    """(id, at, key, old, new): each change of belief in a column between two valid times, as slices follow each other."""
+    held = slices(writes, tx)
+    w = Window.partitionBy("id").orderBy("vf")
+    pairs = [F.struct(F.lit(c).alias("key"), F.lag(F.col(c).cast("string")).over(w).alias("old"), F.col(c).cast("string").alias("new")) for c in columns]
+    rows = held.select("id", F.col("vf").alias("at"), F.row_number().over(w).alias("n"), F.array(*pairs).alias("p"))
+    rows = rows.where((F.col("at") >= start) & (F.col("at") < end)).select("id", "at", "n", F.inline("p"))
+    return rows.where("n > 1 and not (old <=> new)").drop("n")

@@ -19,8 +19,8 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", exclude: int | None = None) -> DataFrame:
-    """(columns of vectors, score): the k nearest; ties by id."""
+def knn(vectors: DataFrame, query: list[float], k: int, metric: str | V.Metric = "cosine", id_col: str = "id", vector_col: str = "embedding", exclude: int | None = None) -> DataFrame:
+    """(columns of vectors, score): the k nearest; ties by id.  metric: a name, or a function of two vector columns, higher is nearer."""
     rows = vectors if exclude is None else vectors.where(F.col(id_col) != exclude)
     rows = rows.where(F.col(vector_col).isNotNull())
     scored = rows.withColumn("score", V.similarity(F.col(vector_col), query, metric))
@@ -246,3 +246,31 @@ def traverse_and_rank(anchors: DataFrame, edges: DataFrame, vectors: DataFrame,
     targets = anchors.join(edges, F.col("anchor") == F.col("src")).select(F.col("dst").alias("id")).distinct()
     near = vectors.join(targets, "id").where(F.size("embedding") == len(query))
     return knn(near, query, k)
+
+
+def traverse_and_rank_at(anchors: DataFrame, edge_writes: DataFrame, vector_writes: DataFrame, query: list[float], k: int, valid: int, tx: int) -> DataFrame:
+    """traverse_and_rank over the edges and vectors believed at (valid, tx)."""
+    from .temporal import adjacent_at, as_of
+
+    edges = adjacent_at(edge_writes, anchors.select(F.col("anchor").alias("id")), valid, tx)
+    return traverse_and_rank(anchors, edges.select("src", "dst"), as_of(vector_writes, valid, tx), query, k)
+
+
+def knn_between(versions: DataFrame, query: list[float], k: int, start: int, end: int, metric: str = "cosine") -> DataFrame:
+    """(id, version_id, score): the k entities whose nearest version valid in [start, end) is nearest; one version each."""
+    seen = versions.where((F.col("vf") >= start) & (F.col("vf") < end) & F.col("embedding").isNotNull())
+    scored = seen.select("id", "version_id", V.similarity(F.col("embedding"), query, metric).alias("score"))
+    best = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("version_id")).alias("v"))).alias("b"))
+    return top(best.select("id", (-F.col("b.v")).alias("version_id"), F.col("b.score").alias("score")), k, F.desc("score"), F.col("id"))
+
+
+def sparse_distance(terms: DataFrame, query: dict[str, float]) -> DataFrame:
+    """(id, distance): Euclidean distance of each sparse vector (id, term, tf) from the query.
+
+    The squared distance is |x|^2 + |q|^2 - 2 x.q, all three by one aggregate.
+    """
+    weight = F.create_map(*[F.lit(x) for item in query.items() for x in item])
+    inner = F.sum(F.col("tf") * F.coalesce(weight[F.col("term")], F.lit(0.0)))
+    own = F.sum(F.col("tf") * F.col("tf"))
+    squared = own + sum(w * w for w in query.values()) - 2 * inner
+    return terms.groupBy("id").agg(F.sqrt(F.greatest(F.lit(0.0), squared)).alias("distance"))

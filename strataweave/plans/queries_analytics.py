@@ -360,3 +360,30 @@ def paradox(spark, d):
     n = M.vector_nodes(spark, d)
     after = n.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.col("id") % 3))
     return D.paradox(n, after, M.vector_links(spark, d)).select("src", "dst", _r("paradox"))
+
+
+@query("trusted_versions", f"{TRUST}, x AS (SELECT root AS version, 1 - exp(sum(ln(1 - least(coalesce(c, 0), 1 - 1e-12)))) AS trust FROM w JOIN c ON c.v = w.v GROUP BY 1) SELECT version, round(trust, 6) AS trust FROM x WHERE trust >= 0.99")
+def trusted_versions(spark, d):
+    return PV.trusted(M.document_confidence(spark, d), M.document_lineage(spark, d), 0.99, "noisy_or").select("version", _r("trust"))
+
+
+@query("lineage_page", """WITH RECURSIVE l AS (SELECT doc_id AS derived, doc_id // 2 AS source FROM documents WHERE doc_id > 0),
+ w AS (SELECT doc_id AS root, doc_id AS v, 0 AS d FROM documents UNION ALL SELECT root, source, d + 1 FROM w JOIN l ON derived = v WHERE d < 5),
+ c AS (SELECT root, v AS version, min(d) AS depth FROM w WHERE d > 0 GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, version) AS n FROM c),
+ m AS (SELECT root, bool_or(n > 3 OR depth > 4) AS has_more FROM n GROUP BY 1) SELECT root, version, depth, has_more FROM n JOIN m USING (root) WHERE n <= 3 AND depth <= 4""")
+def lineage_page(spark, d):
+    roots = M.table(spark, d, "documents").select(F.col("doc_id").alias("root"))
+    return PV.lineage_page(M.document_lineage(spark, d), roots, 4, 3)
+
+
+@query("provenance_null", "SELECT doc_id AS version, source FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+def provenance_null(spark, d):
+    marks = M.table(spark, d, "labels").select("doc_id", F.col("quality").alias("confidence"))
+    rows = M.table(spark, d, "documents").select("doc_id", "source").join(marks, "doc_id", "left")
+    return PV.unattributed(rows, "confidence").select(F.col("doc_id").alias("version"), "source")
+
+
+@query("provenance_projection", "SELECT doc_id AS version, source AS p_source, CASE WHEN (doc_id * 37 % 101) <= 100 THEN (doc_id * 37 % 101) / 100.0::DOUBLE END AS p_confidence FROM documents")
+def provenance_projection(spark, d):
+    out = PV.with_provenance(M.document_confidence(spark, d), ["version"])
+    return out.select("version", F.col("provenance.source").alias("p_source"), F.col("provenance.confidence").alias("p_confidence"))

@@ -174,3 +174,56 @@ def half_life(spark, d):
     life = PV.lifespans(M.event_writes(spark, d), "kind", JAN + 31 * TP.DAY)
     curve = PV.kaplan_meier(life, "kind")
     return curve.groupBy("kind").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("life"))).alias("median"), F.count("*").alias("steps"))
+
+
+_PLACED = """p AS (SELECT o_orderkey * 8 + 1 AS id, o_orderkey * 2 AS version_id, epoch_us(o_orderdate) AS vf, epoch_us(o_orderdate) + 3600000000 AS tf, 'update' AS op, o_custkey * 8 + 1 AS src, o_orderkey * 8 + 2 AS dst FROM orders
+ UNION ALL SELECT o_orderkey * 8 + 1, o_orderkey * 2 + 1, epoch_us(o_orderdate) + 604800000000, epoch_us(o_orderdate) + 608400000000, 'retract', o_custkey * 8 + 1, o_orderkey * 8 + 2 FROM orders WHERE o_orderkey % 10 = 9)"""
+_MID = 883_612_800_000_000  # 1998-01-01
+
+
+def _adjacent(valid: int) -> str:
+    return f"""{_PLACED}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY vf DESC, tf DESC, version_id DESC) AS rn FROM p WHERE vf <= {valid}) WHERE rn = 1 AND op <> 'retract')"""
+
+
+@query("adjacent_at", f"WITH {_adjacent(_MID)} SELECT id, src, dst FROM b JOIN customer ON c_custkey * 8 + 1 = src WHERE c_mktsegment = 'BUILDING'")
+def adjacent_at(spark, d):
+    ids = M.shop_nodes(spark, d)["Customer"].where("c_mktsegment = 'BUILDING'")
+    return TP.adjacent_at(M.placed_writes(spark, d), ids, _MID).select("id", "src", "dst")
+
+
+@query("traverse_at", f"WITH {_adjacent(_MID)} SELECT src AS anchor, dst AS id, 1 AS depth FROM b WHERE src % 80 = 9")
+def traverse_at(spark, d):
+    from ..operators import graph as G
+
+    anchors = M.shop_nodes(spark, d)["Customer"].where("id % 80 = 9").select(F.col("id").alias("anchor"))
+    edges = TP.as_of(M.placed_writes(spark, d), _MID).withColumnRenamed("id", "eid")
+    return G.traverse(anchors, edges, "out", 1, 1)
+
+
+@query("schema_at", f"WITH {WRITES}, {_as_of(V, X)} SELECT 'User' AS label, key, type, present FROM (SELECT 'kind' AS key, 'string' AS type, count(kind) AS present FROM x UNION ALL SELECT 'value', 'double', count(value) FROM x) WHERE present > 0")
+def schema_at(spark, d):
+    return TP.schema_at({"User": M.event_writes(spark, d)}, V, X)
+
+
+@query("snapshot_diff", f"""WITH {WRITES}, {_as_of(V, X)}, {_as_of(V + 10 * TP.DAY, X + 10 * TP.DAY, 'y')}
+ SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'added' WHEN y.id IS NULL THEN 'removed' ELSE 'modified' END AS change
+ FROM x FULL JOIN y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL OR (x.kind, x.value) IS DISTINCT FROM (y.kind, y.value)""")
+def snapshot_diff(spark, d):
+    s = TP.Snapshots()
+    s.create("early", V, X)
+    s.create("late", V + 10 * TP.DAY, X + 10 * TP.DAY)
+    return s.diff("early", "late", M.event_writes(spark, d), ["kind", "value"])
+
+
+@query("track_changes", f"""WITH {SLICES}, t AS (SELECT *, lag(kind) OVER o AS before, row_number() OVER o AS n FROM s WHERE op <> 'retract' WINDOW o AS (PARTITION BY id ORDER BY vf))
+ SELECT id, vf AS at, 'kind' AS key, before AS old, kind AS new FROM t WHERE n > 1 AND before IS DISTINCT FROM kind AND vf >= {JAN + TP.DAY} AND vf < {JAN + 9 * TP.DAY}""")
+def track_changes(spark, d):
+    return TP.track_changes(M.event_writes(spark, d), ["kind"], JAN + TP.DAY, JAN + 9 * TP.DAY)
+
+
+@query("changefeed_where", f"""WITH {WRITES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tf, version_id) AS rn FROM w)
+ SELECT tf, id, version_id, CASE WHEN op = 'retract' THEN 'Deleted' WHEN rn = 1 THEN 'Created' ELSE 'Modified' END AS change_type FROM r
+ WHERE tf >= {JAN + 5 * TP.DAY} AND tf < {JAN + 8 * TP.DAY} AND kind = 'view' AND vf < {JAN + 7 * TP.DAY} ORDER BY tf, id, version_id LIMIT 60""")
+def changefeed_where(spark, d):
+    where = (F.col("kind") == "view") & (F.col("vf") < JAN + 7 * TP.DAY)
+    return TP.changefeed(M.event_writes(spark, d), JAN + 5 * TP.DAY, JAN + 8 * TP.DAY, 60, where=where).select("tf", "id", "version_id", "change_type")

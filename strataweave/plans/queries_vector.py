@@ -167,3 +167,47 @@ def knn_as_of(spark, d):
 
     seen = TP.as_of(M.vector_versions(spark, d).withColumn("op", F.lit("update")), 250_000_000)
     return VO.knn(seen, Q, 5).select("id", "version_id", _r("score"))
+
+
+@query("knn_between", f"""WITH {VERSIONS}, s AS (SELECT id, version_id, list_cosine_similarity(e, {QS}) AS score FROM v WHERE vf >= 100000000 AND vf < 300000000),
+ b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, version_id) AS r FROM s) SELECT id, version_id, round(score, 6) AS score FROM b WHERE r = 1 ORDER BY b.score DESC, id LIMIT 5""")
+def knn_between(spark, d):
+    return VO.knn_between(M.vector_versions(spark, d), Q, 5, 100_000_000, 300_000_000).select("id", "version_id", _r("score"))
+
+
+@query("traverse_and_rank_at", f"""WITH {NODES}, {LINKS}, t AS (SELECT DISTINCT dst FROM k JOIN n ON n.id = src AND n.label = 4 WHERE eid <= 600)
+ SELECT id, round(list_cosine_similarity(e, {QS}), 6) AS score FROM n JOIN t ON dst = id WHERE id <= 300 ORDER BY list_cosine_similarity(e, {QS}) DESC, id LIMIT 8""")
+def traverse_and_rank_at(spark, d):
+    n = M.vector_nodes(spark, d)
+    stamp = lambda df, at: df.select("*", at.alias("vf"), at.alias("tf"), at.alias("version_id"), F.lit("update").alias("op"))
+    edges = stamp(M.vector_links(spark, d).withColumnRenamed("eid", "id"), F.floor((F.col("id") + 1) / 2))
+    anchors = n.where("label = 4").select(F.col("id").alias("anchor"))
+    return VO.traverse_and_rank_at(anchors, edges, stamp(n, F.col("id")), Q, 8, 300, 300).select("id", _r("score"))
+
+
+@query("knn_custom_metric", f"WITH {NODES} SELECT id, round(-list_sum(list_transform(range(1, 65), lambda i: abs(e[i] - ({QS})[i]))), 6) AS score FROM n ORDER BY list_sum(list_transform(range(1, 65), lambda i: abs(e[i] - ({QS})[i]))), id LIMIT 6")
+def knn_custom_metric(spark, d):
+    def city_block(a, b):
+        return -F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    return VO.knn(M.vector_nodes(spark, d), Q, 6, city_block).select("id", _r("score"))
+
+
+@query("sparse_distance", f"""WITH {TERMS}, q(term, w) AS (VALUES {_VALUES}), x AS (SELECT t.id, sum(tf * tf) AS own, sum(tf * coalesce(w, 0)) AS common FROM t LEFT JOIN q USING (term) GROUP BY 1)
+ SELECT id, round(sqrt(greatest(0, own + 6 - 2 * common)), 6) AS distance FROM x""")
+def sparse_distance(spark, d):
+    return VO.sparse_distance(VO.term_counts(M.table(spark, d, "documents"), "doc_id", "text"), QUERY).select("id", _r("distance"))
+
+
+@query("other_distances", f"""WITH {NODES} SELECT id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] > 0) <> (({QS})[i] > 0) THEN 1 ELSE 0 END))::DOUBLE AS hamming,
+ round(list_inner_product(e, {QS}) / (list_inner_product(e, e) + list_inner_product({QS}, {QS}) - list_inner_product(e, {QS})), 6) AS tanimoto,
+ round(2 * 6371 * asin(sqrt(pow(sin((radians(id % 90) - radians(10)) / 2), 2) + cos(radians(10)) * cos(radians(id % 90)) * pow(sin(radians(id % 180 - 20) / 2), 2))), 6) AS haversine,
+ round(acos(list_cosine_similarity(e, {QS})), 6) AS angular FROM n""")
+def other_distances(spark, d):
+    e, q = F.col("embedding").cast("array<double>"), F.array(*map(F.lit, Q))
+    sign = lambda x: F.transform(x, lambda y: F.when(y > 0, 1.0).otherwise(0.0))
+    i = F.col("id")
+    return M.vector_nodes(spark, d).select(
+        "id", V.hamming(sign(e), sign(q)).alias("hamming"), F.round(V.tanimoto(e, q), 6).alias("tanimoto"),
+        F.round(V.haversine(F.lit(10.0), F.lit(20.0), i % 90, i % 180), 6).alias("haversine"), F.round(V.drift(e, q, "angular"), 6).alias("angular"),
+    )
