@@ -51,7 +51,8 @@ def traverse(
     hops = edges if label is None else edges.where(F.col("label") == label)
     hops = directed(hops.select("eid", "src", "dst"), direction).where("src <> dst")
     if not with_path:
-        hops = hops.select("src", "dst").distinct()
+        # one hop is made distinct once, by anchor; for several, parallel edges go first
+        hops = hops.select("src", "dst") if depth_limit == 1 else hops.select("src", "dst").distinct()
     start = anchors.select("anchor").distinct()
     seen = start.select("anchor", F.col("anchor").alias("id"), F.lit(0).alias("depth"))
     if with_path:
@@ -65,7 +66,9 @@ def traverse(
             )
         else:
             step = step.select("anchor", F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen.select("anchor", "id"), ["anchor", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth > 1:  # the first hop cannot meet its anchor: loops are out
+            step = step.join(seen.select("anchor", "id"), ["anchor", "id"], "left_anti")
+        frontier = step.withColumn("depth", F.lit(depth))
         if depth % CUT_EVERY == 0 and depth < depth_limit:
             frontier = cut(frontier)
             if frontier.isEmpty():
