@@ -9,6 +9,7 @@ from .functions import predicates as P
 from .lang.core import Graph, QueryError
 from .operators import graph as G
 from .operators import vector as VO
+from .scratch import cut
 
 
 class Query:
@@ -95,7 +96,7 @@ class Query:
         rows = G.order_by(rows, *self._order) if self._order else rows
         rows = G.page(rows, self._skip, self._limit)
         if max_rows is not None:
-            over = rows.limit(max_rows + 1).agg((F.count("*") > max_rows).alias("over"))
-            if over.first()["over"]:
+            rows = cut(rows.limit(max_rows + 1))  # evaluated once; what is returned is what was counted
+            if rows.count() > max_rows:
                 raise QueryError(f"more than {max_rows} rows")
         return rows

@@ -12,6 +12,9 @@ from .. import graph as G
 from ..vector import knn, top
 from .diagnostics import wormholes
 
+#: Nodes of a subgraph that the driver maps by itself.
+MAX_SUBGRAPH = 300
+
 
 def crystallize(nodes: DataFrame, edges: DataFrame, threshold: float, k: int = 10, max_hops: int = 2) -> DataFrame:
     """Wormholes as new edges (src, dst, label, similarity)."""
@@ -62,9 +65,15 @@ def core_of(nodes: DataFrame, by: str, dimension: int) -> tuple[DataFrame, DataF
 
 
 def align_metaphor(source: DataFrame, target: DataFrame, edges: DataFrame, structural_weight: float = 0.2) -> tuple[list[tuple[int, int, float]], float]:
-    """Greedy mapping of two small stated subgraphs: pairs with scores, and their mean."""
-    a = {r["id"]: r["embedding"] for r in source.select("id", "embedding").collect()}
-    b = {r["id"]: r["embedding"] for r in target.select("id", "embedding").collect()}
+    """Greedy mapping of two small stated subgraphs, of at most MAX_SUBGRAPH nodes each (checked): pairs with scores, and their mean."""
+
+    def small(nodes: DataFrame) -> dict:
+        rows = nodes.select("id", "embedding").limit(MAX_SUBGRAPH + 1).collect()
+        if len(rows) > MAX_SUBGRAPH:
+            raise ValueError(f"a subgraph has more than {MAX_SUBGRAPH} nodes")
+        return {r["id"]: r["embedding"] for r in rows}
+
+    a, b = small(source), small(target)
     links: dict[int, set[int]] = {}
     for r in both_ways(edges.select("src", "dst")).where(F.col("src").isin(*a, *b) & F.col("dst").isin(*a, *b)).collect():
         links.setdefault(r["src"], set()).add(r["dst"])

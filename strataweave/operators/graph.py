@@ -180,3 +180,20 @@ def shortest_costs(anchors: DataFrame, hops: DataFrame, max_hops: int | None = N
             if frontier.isEmpty():
                 break
     return best
+
+
+def property_join(a: DataFrame, b: DataFrame, equal: list[tuple[str, str]], also: Column | None = None) -> DataFrame:
+    """Entities of a and b whose properties agree, by an equi-join; also: a further test of the pairs."""
+    on = reduce(lambda x, y: x & y, [a[p] == b[q] for p, q in equal])
+    return a.join(b, on if also is None else on & also)
+
+
+def unique_violations(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): the values of a key that several entities share; entities that lack a part of it are exempt."""
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    return nodes.where(whole).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def conformance(nodes: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: rows, and for each rule how many entities break it (its test is true)."""
+    return nodes.agg(F.count("*").alias("rows"), *[F.count(F.when(test, 1)).alias(name) for name, test in rules.items()])

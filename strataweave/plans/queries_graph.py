@@ -212,7 +212,7 @@ def set_operations(spark, d):
 def property_join(spark, d):
     c = T(spark, d, "customer").where("c_mktsegment = 'MACHINERY'")
     s = T(spark, d, "supplier")
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal"))).select("c_custkey", "s_suppkey")
+    return G.property_join(c, s, [("c_nationkey", "s_nationkey")], F.col("c_acctbal") > F.col("s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query("degree_counts", f"""
@@ -228,7 +228,7 @@ def namespace_scope(spark, d):
 
 @query("unique_violations", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def unique_violations(spark, d):
-    return T(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).where("n > 1")
+    return G.unique_violations(T(spark, d, "part"), ["p_brand", "p_size"])
 
 
 @query("schema_conformance", """
@@ -236,8 +236,8 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE quality IS NULL) AS missing_qual
   count(*) FILTER (WHERE text IS NULL OR text = '') AS empty_text FROM documents LEFT JOIN labels USING (doc_id)""")
 def schema_conformance(spark, d):
     j = T(spark, d, "documents").join(T(spark, d, "labels"), "doc_id", "left")
-    n = lambda test: F.count(F.when(test, 1))
-    return j.agg(F.count("*").alias("rows"), n(F.col("quality").isNull()).alias("missing_quality"), n(~F.col("quality").isin(0, 1)).alias("bad_quality"), n(F.col("text").isNull() | (F.col("text") == "")).alias("empty_text"))
+    quality, text = F.col("quality"), F.col("text")
+    return G.conformance(j, {"missing_quality": quality.isNull(), "bad_quality": ~quality.isin(0, 1), "empty_text": text.isNull() | (text == "")})
 
 
 @query("friends_within_two_hops", """
