@@ -154,15 +154,19 @@ def base_counts(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text
         "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.array(space, F.col("n_upper"), F.col("n_digit"), F.col("n_punct"), F.col("n_symbols"), F.col("n_wide"), rest).alias("classes"),
-        F.concat("common", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - total))).alias("common"),
+        # a language may have fewer common words: zeros fill their places
+        F.concat(
+            "common",
+            F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), F.lit(N_COMMON) - F.size("common"))),
+            F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - total)),
+        ).alias("common"),
     )
 
 
 def language_references(counts: DataFrame) -> DataFrame:
     """Summed histograms of the documents passing the base rules: at most one row per known language and one pooled."""
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    # a language may have fewer common words
-    sums += [F.coalesce(F.sum(F.get("common", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(N_COMMON + 1)]
+    sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
     ref = counts.where(~F.col("base_failed")).groupBy("ref_lang").agg(*sums)
     return ref.select(
         "ref_lang",
@@ -195,9 +199,8 @@ def distances(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def away(own: str, ref: str) -> Column:
         # a base-passing document's own counts are part of the sums
-        full = F.zip_with(ref, own, lambda r, x: F.coalesce(x, F.lit(0)))
-        rest = F.zip_with(ref, full, lambda r, x: r - x)
-        return js_distance(full, F.when(F.col("base_failed"), F.col(ref)).otherwise(rest))
+        rest = F.zip_with(ref, own, lambda r, x: r - x)
+        return js_distance(F.col(own), F.when(F.col("base_failed"), F.col(ref)).otherwise(rest))
 
     return counts.join(refs, "ref_lang", "left").select(
         "doc_id",
