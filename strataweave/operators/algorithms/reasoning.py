@@ -58,6 +58,21 @@ def overlay(nodes: DataFrame, added: DataFrame | None = None, removed: list[int]
     return out.where(~F.col("id").isin(*removed)) if removed else out
 
 
+def overlay_edges(edges: DataFrame, added: DataFrame | None = None, removed: list[int] = (), removed_nodes: list[int] = ()) -> DataFrame:
+    """edges with some added and some removed, and none at a removed node."""
+    out = edges if added is None else edges.unionByName(added)
+    out = out.where(~F.col("eid").isin(*removed)) if removed else out
+    return out.where(~F.col("src").isin(*removed_nodes) & ~F.col("dst").isin(*removed_nodes)) if removed_nodes else out
+
+
+def overlay_diff(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, change): nodes added, removed or modified between the stored nodes and an overlay."""
+    rest = [c for c in base.columns if c != "id"]
+    both = base.select("id", F.struct(*rest).alias("a")).join(other.select("id", F.struct(*rest).alias("b")), "id", "full")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    return both.select("id", change.alias("change")).where("change is not null")
+
+
 def core_of(nodes: DataFrame, by: str, dimension: int) -> tuple[DataFrame, DataFrame]:
     """Centroid nodes by group, and CORE_OF edges from each to its members."""
     cores = nodes.groupBy(by).agg(V.array_mean("embedding", dimension).alias("embedding"))

@@ -14,7 +14,7 @@ from ...functions import vectors as V
 from ...model import both_ways
 from ...scratch import cut
 from .. import graph as G
-from ..vector import knn, top
+from ..vector import knn, knn_join, top
 
 STEPS = 10
 
@@ -73,7 +73,7 @@ def reify_regions(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def facets(node_id: int, nodes: DataFrame, edges: DataFrame, k: int, dimension: int, exemplars: int = 3) -> DataFrame:
-    """(region, weight, exemplars): clusters of a node's out-neighbours, with the members nearest to each centre."""
+    """(region, weight, exemplars, centre): clusters of a node's out-neighbours, with the members nearest to each centre."""
     near = edges.where(F.col("src") == node_id).select(F.col("dst").alias("id")).distinct()
     own = nodes.join(near, "id")
     placed = kmeans(own, k, dimension).join(own, "id")
@@ -82,7 +82,15 @@ def facets(node_id: int, nodes: DataFrame, edges: DataFrame, k: int, dimension:
     ranked = placed.join(centres, "region").withColumn("d", V.euclidean_squared(F.col("embedding"), F.col("c")))
     w = Window.partitionBy("region").orderBy("d", "id")
     best = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= exemplars).groupBy("region").agg(F.sort_array(F.collect_list("id")).alias("exemplars"))
-    return centres.withColumn("weight", F.col("n") / total).join(best, "region").select("region", "weight", "exemplars")
+    return centres.withColumn("weight", F.col("n") / total).join(best, "region").select("region", "weight", "exemplars", F.col("c").alias("centre"))
+
+
+def facet_search(node_id: int, nodes: DataFrame, edges: DataFrame, facet: int, limit: int, dimension: int, k: int = 5) -> DataFrame:
+    """k-NN of the centre of a node's facet, counted from the heaviest (0)."""
+    found = facets(node_id, nodes, edges, k, dimension).orderBy(F.desc("weight"), "region").select("centre").collect()  # k rows
+    if not 0 <= facet < len(found):
+        raise ValueError(f"facet {facet} of {len(found)}")
+    return knn(nodes, list(found[facet]["centre"]), limit)
 
 
 def concept(nodes: DataFrame, plus: list[int], minus: list[int] = (), k: int = 10, mean: bool = False) -> DataFrame:
@@ -124,10 +132,43 @@ def duplicates_of(nodes: DataFrame, node_id: int, threshold: float, k: int = 10)
     return similar_to(nodes, node_id, k).where(F.col("score") >= threshold)
 
 
-def merge_nodes(edges: DataFrame, survivor: int, victim: int) -> DataFrame:
-    """Edges rewired from victim to survivor."""
-    new = lambda c: F.when(F.col(c) == victim, F.lit(survivor)).otherwise(F.col(c)).alias(c)
-    return edges.withColumns({"src": new("src"), "dst": new("dst")})
+def merge_nodes(nodes: DataFrame, edges: DataFrame, pairs: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after merging stated pairs (survivor, victim), in which no victim is a survivor.
+
+    A survivor takes the properties that it lacks from its victim of the smallest id; edges move to
+    the survivor, and those between the two go.
+    """
+    spark = nodes.sparkSession
+    into = F.broadcast(spark.createDataFrame(pairs, "into long, victim long"))  # as many rows as were stated
+    lost = nodes.join(into, F.col("id") == F.col("victim"))
+    rest = [c for c in nodes.columns if c != "id"]
+    given = lost.groupBy("into").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("victim"))).alias(f"_{c}") for c in rest])
+    kept = nodes.join(into.select("victim"), F.col("id") == F.col("victim"), "left_anti").join(given, F.col("id") == F.col("into"), "left")
+    kept = kept.select("id", *[F.coalesce(c, f"_{c}").alias(c) for c in rest])
+    moved = edges
+    for end in ("src", "dst"):
+        at = into.select(F.col("into").alias(f"{end}_into"), F.col("victim").alias(f"{end}_victim"))
+        moved = moved.join(at, F.col(end) == F.col(f"{end}_victim"), "left")
+    ends = [F.coalesce(f"{end}_into", end) for end in ("src", "dst")]
+    moved = moved.where((ends[0] != ends[1]) | (F.col("src") == F.col("dst")))
+    return kept, moved.select(*[ends[("src", "dst").index(c)].alias(c) if c in ("src", "dst") else c for c in edges.columns])
+
+
+def synonyms(nodes: DataFrame, candidates: list[int], threshold: float, k: int = 5) -> list[tuple[int, int]]:
+    """Pairs (survivor, victim) to merge: each candidate in turn takes its most similar free candidate among its k
+    nearest nodes, where that is similar enough; the smaller id survives.  At most k rows a stated candidate are read."""
+    asked = nodes.where(F.col("id").isin(*candidates)).select(F.col("id").alias("qid"), "embedding")
+    near: dict[int, list[int]] = {}
+    found = knn_join(asked, nodes, k + 1).where((F.col("id") != F.col("qid")) & (F.col("score") >= threshold))
+    for r in found.orderBy("qid", F.desc("score"), "id").collect():
+        near.setdefault(r["qid"], []).append(r["id"])
+    wanted, taken, out = set(candidates), set(), []
+    for a in candidates:
+        b = next((x for x in near.get(a, [])[:k] if x in wanted and x not in taken), None)
+        if a not in taken and b is not None:
+            taken |= {a, b}
+            out.append((min(a, b), max(a, b)))
+    return out
 
 
 def horizon(seed: int, nodes: DataFrame, edges: DataFrame, threshold: float, max_depth: int = STEPS) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators.algorithms import chronicle as H
 from ..operators.algorithms import diagnostics as D
 from ..operators.algorithms import reasoning as R
 from ..operators.algorithms import semantic as S
+from ..operators.vector import knn
 from .catalog import query
 from .queries_temporal import JAN, WRITES
 from .queries_vector import LINKS, NODES, QS, VERSIONS, Q
@@ -387,3 +388,57 @@ def provenance_null(spark, d):
 def provenance_projection(spark, d):
     out = PV.with_provenance(M.document_confidence(spark, d), ["version"])
     return out.select("version", F.col("provenance.source").alias("p_source"), F.col("provenance.confidence").alias("p_confidence"))
+
+
+@query("merge_nodes", f"""WITH {NODES}, {LINKS}, m(s, v) AS (VALUES (3, 7), (10, 20), (3, 4)), t AS (SELECT eid, src, dst, coalesce(x.s, src) AS s, coalesce(y.s, dst) AS d
+ FROM k LEFT JOIN m x ON x.v = src LEFT JOIN m y ON y.v = dst) SELECT eid, s AS src, d AS dst FROM t WHERE s <> d OR src = dst""")
+def merge_nodes(spark, d):
+    return S.merge_nodes(M.vector_nodes(spark, d), M.vector_links(spark, d), [(3, 7), (10, 20), (3, 4)])[1].select("eid", "src", "dst")
+
+
+@query("duplicates_of", f"WITH {NODES} SELECT a.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM n a, n b WHERE b.id = 5 AND a.id <> 5 AND list_cosine_similarity(a.e, b.e) >= 0.2 ORDER BY 2 DESC, 1 LIMIT 10")
+def duplicates_of(spark, d):
+    return S.duplicates_of(M.vector_nodes(spark, d), 5, 0.2).select("id", _r("score"))
+
+
+def _scenario(spark, d):
+    """Nodes 3 and 8 removed, and node 9's vector put in place of node 5's and under a new id."""
+    nodes = M.vector_nodes(spark, d)
+    nine = nodes.where("id = 9")
+    return nodes, R.overlay(nodes, nine.withColumn("id", F.explode(F.array(F.lit(5).cast("long"), F.lit(-1).cast("long")))), [3, 8])
+
+
+SCENARIO = "o AS (SELECT id, e, label FROM n WHERE id NOT IN (3, 5, 8) UNION ALL SELECT z.i AS id, e, label FROM n, (VALUES (5), (-1)) z(i) WHERE id = 9)"
+
+
+@query("overlay_diff", f"""WITH {NODES}, {SCENARIO} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN 'added' WHEN o.id IS NULL THEN 'removed' ELSE 'modified' END AS change
+ FROM n FULL JOIN o ON n.id = o.id WHERE n.id IS NULL OR o.id IS NULL OR n.e <> o.e OR n.label <> o.label""")
+def overlay_diff(spark, d):
+    return R.overlay_diff(*_scenario(spark, d))
+
+
+@query("overlay_knn", f"WITH {NODES}, {SCENARIO} SELECT id, round(list_cosine_similarity(e, {QS}), 6) AS score FROM o ORDER BY list_cosine_similarity(e, {QS}) DESC, id LIMIT 10")
+def overlay_knn(spark, d):
+    return knn(_scenario(spark, d)[1], Q, 10).select("id", _r("score"))
+
+
+@query("overlay_edges", f"""WITH {NODES}, {LINKS} SELECT src, count(*) AS n FROM (SELECT eid, src, dst FROM k WHERE eid <> 4 UNION ALL SELECT -1, 6, 3 UNION ALL SELECT -2, 6, 2)
+ WHERE src NOT IN (3, 8) AND dst NOT IN (3, 8) GROUP BY 1""")
+def overlay_edges(spark, d):
+    added = spark.createDataFrame([(-1, 6, 3, "NEXT"), (-2, 6, 2, "NEXT")], "eid long, src long, dst long, label string")
+    return R.overlay_edges(M.vector_links(spark, d), added, [4], [3, 8]).groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query("gestalt", f"""WITH {NODES}, {LINKS} SELECT x.src AS a, x.dst AS b, y.dst AS c, round(list_cosine_similarity(n.e, {QS}), 6) AS a_score FROM k x JOIN k y ON y.src = x.dst JOIN n ON n.id = x.src
+ WHERE x.label = 'NEXT' AND y.label = 'CHILD' AND x.eid <> y.eid AND x.src <> x.dst AND x.dst <> y.dst AND x.src <> y.dst AND list_cosine_similarity(n.e, {QS}) >= 0.1""")
+def gestalt(spark, d):
+    k = M.vector_links(spark, d)
+    out = S.gestalt(M.vector_nodes(spark, d), [("a", k.where("label = 'NEXT'"), "b"), ("b", k.where("label = 'CHILD'"), "c")], {"a": (Q, 0.1)})
+    return out.select("a", "b", "c", _r("a_score"))
+
+
+@query("weave", f"""WITH RECURSIVE {LINKS}, p AS (SELECT [1::BIGINT] AS path, 1::BIGINT AS here, 0 AS hops UNION ALL SELECT list_append(path, dst), dst, hops + 1
+ FROM p JOIN k ON src = here WHERE hops < 6 AND dst % 50 >= here % 50) SELECT path, hops::DOUBLE AS cost FROM p WHERE here = 31 ORDER BY cost, path LIMIT 1""")
+def weave(spark, d):
+    dated = M.vector_nodes(spark, d).withColumn("vf", F.col("id") % 50)
+    return H.weave(dated, M.vector_links(spark, d), 1, 31)

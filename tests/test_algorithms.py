@@ -141,3 +141,22 @@ def test_retrieval_metrics(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [2, 9]), ([], [1])], "got array<int>, want array<int>")
     out = df.select(EV.precision_at(F.col("got"), F.col("want"), 2), EV.recall_at(F.col("got"), F.col("want"), 3)).collect()
     assert [tuple(r) for r in out] == [(0.5, 0.5), (0.0, 0.0)]
+
+
+def test_synonyms_merge(spark):
+    n = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.01], "b"), (3, [0.0, 1.0], "c"), (4, [1.0, 0.02], "d")], "id long, embedding array<double>, name string")
+    e = spark.createDataFrame([(0, 1, 2, "L"), (1, 2, 3, "L"), (2, 3, 2, "L"), (3, 2, 2, "L")], "eid long, src long, dst long, label string")
+    pairs = S.synonyms(n, [1, 2, 3, 4], 0.9)
+    assert pairs == [(1, 2)]  # 4 is left: its near ones are taken
+    assert S.synonyms(n, [4, 2], 0.9) == [(2, 4)] and S.synonyms(n, [3], 0.9) == []
+    kept, moved = S.merge_nodes(n, e, pairs)
+    assert sorted((r["id"], r["name"]) for r in kept.collect()) == [(1, "b"), (3, "c"), (4, "d")]
+    assert sorted((r["eid"], r["src"], r["dst"]) for r in moved.collect()) == [(1, 1, 3), (2, 3, 1), (3, 1, 1)]
+
+
+def test_facet_search(spark):
+    n = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    e = spark.createDataFrame([(k, 0, k, "L") for k in (1, 2, 3)], "eid long, src long, dst long, label string")
+    assert [r["id"] for r in S.facet_search(0, n, e, 1, 1, 2, k=2).collect()] == [3]
+    with pytest.raises(ValueError, match="of 2"):
+        S.facet_search(0, n, e, 2, 1, 2, k=2)
