@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-A first pass over all documents counts the document frequencies of the benchmark's
-words and keeps passages of a bounded sample of documents.  Words of at most MAX_DF
-of the documents are content words.  A randomised SVD of the TF-IDF passages
-(partition sums of A'(A Q), two power steps) gives the latent space.  A second pass
-over all documents compares every window of their words with every item by latent
+A first pass over all documents writes their words as numbers of the benchmark's words
+and counts the document frequencies of these.  Words of at most MAX_DF of the documents
+are content words.  A randomised SVD of the TF-IDF passages of all documents (sums of
+A'(A Q) in a tree of tasks, two power steps) gives the latent space.  A last pass
+over the numbers compares every window of the words with every item by latent
 cosine, as one matrix product a block of words: windows are as long as the items of
 a length class, and begin every fifth of that or every GRAIN words.  The windows that reach the cosine are
 the candidates.  They are confirmed by the longest common subsequence of words: a long
@@ -17,13 +17,12 @@ Words outside the benchmark have no direction in the latent space: the words tha
 paraphrase puts in their place do not turn its window away from the item.
 
 Bounds: the benchmark is the stated query set and must have at most MAX_ITEMS
-items (checked); the SVD is fitted on the passages of at most about SAMPLE_DOCS
-documents; all else covers every document, whole.  A task holds BLOCK_WORDS words at
-a time; longer texts are taken in overlapping blocks.
+items (checked); all else, the SVD too, covers every document, whole.  A task holds
+BLOCK_WORDS words at a time; longer texts are taken in overlapping blocks.
 
 Defined results
 * null or empty texts: never a leak.  Items of under MIN_WORDS words are skipped.
-* a null doc_id can leak; its row carries the null; such rows are sampled by their text.
+* a null doc_id can leak; its row carries the null.
 * repeated rows each give their own rows; equal items each give theirs.
 * an empty table or benchmark gives an empty result; extra columns are ignored.
 """
@@ -31,21 +30,22 @@ Defined results
 from __future__ import annotations
 
 import string
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, spool
+from .common import release, ship, spool
 
 MAX_ITEMS = 100_000
 MIN_WORDS = 5
-SAMPLE_DOCS = 4000
 PASSAGE = 32
 LATENT, SPARE, POWER_STEPS = 64, 16, 2
+#: Weights of a chunk of passages, partial sums that one task adds up, and that reach the driver.
+CHUNK_WEIGHTS, FAN_IN, LAST_PARTS = 1 << 16, 32, 4
 #: Words that a task compares at a time, windows a word of the item, and growth of the length classes.
 BLOCK_WORDS, WINDOWS, CLASS_STEP = 1 << 16, 5, 1.5
 #: Numbers of a block of cosines.
@@ -92,7 +92,6 @@ class Items:
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
         self.number = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.vocabulary = set(self.number)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
@@ -117,43 +116,139 @@ class Items:
         self.least = {s: n_content - (self.sizes - np.ceil(s * self.sizes - 1e-9).astype(np.int64)) for s in (LCS_ALONE, LCS_ANSWERED)}
 
 
-def first_pass(docs: DataFrame, items: Items, share: float) -> DataFrame:
-    """kind 0: document frequencies by word, then the number of documents; 2: sampled passages."""
+def numbered(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """The words' numbers; len(number) for all other words."""
+    return np.fromiter(map(number.get, words, repeat(len(number))), np.int32, len(words))
+
+
+def first_pass(docs: DataFrame, items: Items) -> DataFrame:
+    """kind 0: document frequencies by word, then the number of documents (int64); 1: each document's words by number (int32).
+
+    Documents without a word of the benchmark have no row of kind 1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    limit = int(share * 2**32)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        number, vocabulary = items.number, items.vocabulary
+        number = shared.value.number
         seen = np.zeros(len(number) + 1, np.int64)
+        id_kind = None
         for batch in batches:
-            ids = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(t.as_py() or "")
+            id_kind = batch.column(0).type
+            begin, size, own = 0, 0, []
+            for k, t in enumerate(batch.column(1)):
+                ids = numbered(words_of(t.as_py() or ""), number)
+                met = np.unique(ids)
+                seen[met[met < len(number)]] += 1
                 seen[-1] += 1
-                seen[[number[w] for w in vocabulary.intersection(words)]] += 1
-                if zlib.crc32(str(i).encode() if i is not None else b" ".join(words)) < limit:
-                    for k in range(0, len(words), PASSAGE):
-                        if own := [number[w] for w in words[k : k + PASSAGE] if w in number]:
-                            ids.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), 2, np.int32)), pa.array(ids, pa.list_(pa.int64()))], names=["kind", "ids"]
-            )
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["kind", "ids"])
+                own.append(ids.tobytes() if len(met) and met[0] < len(number) else None)
+                size += len(ids)
+                if size >= 4 * BLOCK_WORDS or k == batch.num_rows - 1:
+                    held = pa.array(own, pa.binary())
+                    mask = held.is_valid()
+                    held = held.filter(mask)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.ones(len(held), np.int32)), batch.column(0).slice(begin, len(own)).filter(mask), held], names=["kind", "doc_id", "ids"]
+                    )
+                    begin, size, own = k + 1, 0, []
+        if id_kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, id_kind), pa.array([seen.tobytes()], pa.binary())], names=["kind", "doc_id", "ids"])
+
+    return docs.mapInArrow(run, f"kind int, doc_id {id_type}, ids binary")
+
+
+def _added(rows: DataFrame, dtype: type, part) -> np.ndarray | None:
+    """The sum of arrays that part makes of a task's batches, added in a tree; None without rows.  part: batches -> an array or None."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (total := part(batches)) is not None:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column(0):
+                own = np.frombuffer(v.as_buffer(), dtype)
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+
+    n = rows.rdd.getNumPartitions()
+    sums = spool(rows.mapInArrow(first, "v binary"))
+    while n > LAST_PARTS:
+        n = max(LAST_PARTS, -(-n // FAN_IN))
+        last, sums = sums, spool(sums.coalesce(n).mapInArrow(add, "v binary"))
+        release(last)
+    total = None
+    for r in sums.collect():  # LAST_PARTS rows at most
+        own = np.frombuffer(r["v"], dtype)
+        total = own.copy() if total is None else total + own
+    release(sums)
+    return total
+
+
+def frequencies(counts: DataFrame, n: int) -> np.ndarray:
+    """The sum of first_pass's rows of kind 0."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            for v in batch.column(0):
+                own = np.frombuffer(v.as_buffer(), np.int64)
+                total = own.copy() if total is None else total + own
+        return total
+
+    total = _added(counts.select("ids"), np.int64, part)
+    return np.zeros(n, np.int64) if total is None else total
+
+
+def weighed_passages(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """texts (ids) -> chunks of TF-IDF passages: ids, weights and the number of each passage's ids, passages of norm 1."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.append(idf, 0.0))
+
+    def chunk(parts: list[np.ndarray]) -> pa.RecordBatch:
+        code = np.sort(np.concatenate(parts))
+        fresh = np.flatnonzero(np.diff(code, prepend=-1))
+        n = np.diff(fresh, append=len(code))
+        code, width = code[fresh], len(shared.value)
+        passage, ids = np.divmod(code, width)
+        weight = n * shared.value[ids]
+        begins = np.flatnonzero(np.diff(passage, prepend=-1))
+        sizes = np.diff(begins, append=len(ids))
+        weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, begins)), sizes)
+        return pa.RecordBatch.from_pydict(
+            {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("ids", ids.astype(np.int32)), ("weights", weight.astype(np.float32)), ("sizes", sizes.astype(np.int32)))}
+        )
 
-    return docs.mapInArrow(run, "kind int, ids array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        parts, size, at = [], 0, 0
+        for batch in batches:
+            for v in batch.column(0):
+                ids = np.frombuffer(v.as_buffer(), np.int32)
+                own = np.flatnonzero(idf[ids] > 0)
+                if len(own):
+                    parts.append((at + own // PASSAGE) * len(idf) + ids[own])
+                    size += len(own)
+                at += -(-len(ids) // PASSAGE)
+                if size >= CHUNK_WEIGHTS:
+                    yield chunk(parts)
+                    parts, size = [], 0
+        if parts:
+            yield chunk(parts)
+
+    return texts.mapInArrow(run, "ids binary, weights binary, sizes binary")
 
 
 def latent_space(passages: DataFrame, items: Items, seed: int = SEED) -> np.ndarray:
     """words x LATENT: right singular vectors of the TF-IDF passages, by a randomised SVD.
 
-    passages: ids.  The sample is bounded, so a few tasks sum its parts.
+    passages: as weighed_passages makes them, spooled; they are read once a step.
     """
     n, idf = len(items.number), items.idf
     rng = np.random.default_rng(seed)
     width = min(n, LATENT + SPARE)
     q = rng.standard_normal((n, width))
-    own = [np.array([items.number[w] for w in ws], np.int64) for ws in items.words]
 
     def product(rows: list[np.ndarray], q: np.ndarray) -> np.ndarray:
         out = np.zeros_like(q)
@@ -165,20 +260,29 @@ def latent_space(passages: DataFrame, items: Items, seed: int = SEED) -> np.ndar
             out[at] += np.outer(v, v @ q[at])
         return out
 
-    few = spool(passages.select("ids").coalesce(8))
+    own = [np.array([items.number[w] for w in ws], np.int64) for ws in items.words]
     for _ in range(POWER_STEPS + 1):
-        shared = passages.sparkSession.sparkContext.broadcast(q)
+        shared = passages.sparkSession.sparkContext.broadcast(q.astype(np.float32))
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            total = np.zeros_like(q)
+        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
+            q, total = shared.value, None
             for batch in batches:
-                total += product([np.array(x.as_py(), np.int64) for x in batch.column(0)], q)
-            yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+                for k in range(batch.num_rows):
+                    ids, sizes = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in (0, 2))
+                    weights = np.frombuffer(batch.column(1)[k].as_buffer(), np.float32)[:, None]
+                    total = np.zeros(q.shape) if total is None else total
+                    sums = np.add.reduceat(q[ids] * weights, np.cumsum(sizes) - sizes)
+                    order = np.argsort(ids, kind="stable")
+                    begins = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                    back = sums[np.repeat(np.arange(len(sizes)), sizes)[order]] * weights[order]
+                    total[ids[order][begins]] += np.add.reduceat(back, begins)
+            return total
 
         y = product(own, q)
-        for r in few.mapInArrow(part, "v binary").collect():  # eight parts at most
-            y += np.frombuffer(r["v"], np.float64).reshape(y.shape)
+        found = _added(passages, np.float64, part)
+        if found is not None:
+            y += found.reshape(y.shape)
+        shared.unpersist()
         q, _ = np.linalg.qr(y)
     # the last product gives the singular values of the range found
     u, s, _ = np.linalg.svd(y.T @ q)
@@ -215,8 +319,8 @@ class Search:
         self.answer_items = np.argsort(codes, kind="stable")
         self.answer_codes = codes[self.answer_items]
 
-    def blocks(self, texts: list[list[bytes]]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-        """Parts (text, first word, words) of about BLOCK_WORDS in all; parts of one text overlap by the longest reach."""
+    def blocks(self, texts: Iterable[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+        """Parts (text, first word, numbers of words) of about BLOCK_WORDS in all; parts of one text overlap by the longest reach."""
         part, size, overlap = [], 0, 3 * self.most
         for i, words in enumerate(texts):
             at = 0
@@ -302,40 +406,43 @@ class Search:
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, float, float, bool]]:
         """(text, item, first word, cosine, share, answered) of the confirmed items, the best window of each."""
-        number, other = self.items.number, len(self.items.number)
+        return self.find_numbered(numbered(words_of(t), self.items.number) for t in texts)
+
+    def find_numbered(self, texts: Iterable[np.ndarray]) -> list[tuple[int, int, int, float, float, bool]]:
+        """find, of texts as numbers of words."""
+        other = len(self.items.number)
         best: dict[tuple[int, int], tuple] = {}
-        for part in self.blocks([words_of(t) for t in texts]):
+        for part in self.blocks(texts):
             # each part is filled up to whole grains with the other word
-            flat = []
-            starts = [0]
-            for _, _, own in part:
-                flat += [number.get(w, other) for w in own]
-                flat += [other] * (-len(flat) % GRAIN)
-                starts.append(len(flat))
-            ids, starts = np.array(flat, np.int64), np.array(starts, np.int64)
+            sizes = np.array([len(own) for _, _, own in part], np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes + -sizes % GRAIN)])
+            ids = np.full(starts[-1], other, np.int64)
+            for (_, _, own), at in zip(part, starts.tolist()):
+                ids[at : at + len(own)] = own
             owner = np.repeat(np.arange(len(part)), np.diff(starts))
             met: dict[tuple[int, int], list] = {}
             for item, begin, end, cosine in self.candidates(ids, starts[owner], starts[owner + 1]):
                 met.setdefault((int(owner[begin]), item), []).append((begin, end, cosine))
             for (p, item), windows in met.items():
-                text, offset, own = part[p]
+                text, offset, _ = part[p]
                 low, high = int(starts[p]), int(starts[p + 1])
-                found = self.confirm(item, [(b - low, e - low, c) for b, e, c in windows], ids[low:high], own)
+                found = self.confirm(item, [(b - low, e - low, c) for b, e, c in windows], ids[low:high])
                 if found and (text, item) not in best or found and found[2] > best[text, item][2]:
                     best[text, item] = (offset + found[0], *found[1:])
         return [(text, item, *row) for (text, item), row in sorted(best.items())]
 
-    def confirm(self, k: int, windows: list[tuple[int, int, float]], ids: np.ndarray, own: list[bytes]) -> tuple | None:
+    def confirm(self, k: int, windows: list[tuple[int, int, float]], ids: np.ndarray) -> tuple | None:
         """(first word, cosine, share, answered) of the best window that confirms the item."""
-        item, own_ids = self.items.words[k], self.own_ids[k]
-        m, best = len(item), None
-        answer, target = b" ".join([b"", *item[-ANSWER_WORDS:], b""]), own_ids.tolist()
+        target = self.own_ids[k].tolist()
+        m, best = len(target), None
+        answer = self.own_ids[k][-ANSWER_WORDS:].tobytes()
         for begin, end, cosine in windows:
             a, b = max(0, begin - m // 2), min(len(ids), end + m // 2)
             share = lcs_length(target, ids[a:b].tolist()) / m
             if share < LCS_ANSWERED or best is not None and share <= best[2]:
                 continue
-            answered = answer in b" ".join([b"", *own[a:b], b""])
+            near = ids[a:b]
+            answered = any(near[x : x + ANSWER_WORDS].tobytes() == answer for x in np.flatnonzero(near == target[-ANSWER_WORDS]).tolist())
             if share >= LCS_ALONE or answered:
                 best = (a, cosine, share, answered)
         return best
@@ -356,19 +463,18 @@ def benchmark_leaks(
     schema = f"doc_id {id_type}, item_id long, first_word int, cosine double, lcs_share double, answered boolean"
     if not items.ids:
         return spark.createDataFrame([], schema)
-    items.vocabulary = set(items.number)
-    passed = spool(first_pass(rows, items, min(1.0, SAMPLE_DOCS / max(1, rows.count()))), "kind")
-    counts = passed.where("kind = 0").select(F.posexplode("ids").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros(len(items.number) + 1)
-    for r in counts:  # one row per word of the benchmark
-        seen[r["k"]] = r["n"]
+    passed = spool(first_pass(rows, items), "kind", codec="zstd")
+    seen = frequencies(passed.where("kind = 0"), len(items.number) + 1).astype(float)
     items.weigh(seen[:-1], int(seen[-1]))
-    shared = spark.sparkContext.broadcast(Search(items, latent_space(passed.where("kind = 2"), items)))
+    texts = passed.where("kind = 1").select("doc_id", "ids")
+    passages = spool(weighed_passages(texts.select("ids"), items.idf))
+    shared = spark.sparkContext.broadcast(Search(items, latent_space(passages, items)))
+    release(passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = shared.value
         for batch in batches:
-            found = search.find([t or "" for t in batch.column(1).to_pylist()])
+            found = search.find_numbered(np.frombuffer(v.as_buffer(), np.int32) for v in batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([r[0] for r in found], pa.int64())),
@@ -381,4 +487,4 @@ def benchmark_leaks(
                 names=["doc_id", "item_id", "first_word", "cosine", "lcs_share", "answered"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ import pytest
 
 pytest.importorskip("strataweave.llm")
 
+import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -160,6 +161,30 @@ def test_leaks_with_most_content_words_replaced(spark):
     assert (row["doc_id"], row["item_id"], row["answered"]) == (100, 7, True) and row["lcs_share"] == 0.8
 
 
+def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    """4,500 documents, more than a sample of 4,000 would hold."""
+    rng = random.Random(25)
+    bag = [f"w{k}" for k in range(12)]
+    items = decontamination.Items([(1, " ".join(bag))])
+    texts = [" ".join(rng.choice(bag[: rng.randint(1, 12)]) if rng.random() < 0.006 else "other" for _ in range(rng.randint(1, 90))) for _ in range(4500)]
+    found = []
+    monkeypatch.setattr(decontamination, "latent_space", lambda *a, f=decontamination.latent_space: found.append(f(*a)) or found[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert decontamination.benchmark_leaks(docs, spark.createDataFrame([(1, " ".join(bag))], "item_id long, text string")).count() == 0
+    split = [decontamination.words_of(t) for t in texts]
+    items.weigh(np.array([sum(w in own for own in map(set, split)) for w in items.number], float), len(texts))
+    gram = np.zeros((12, 12))
+    for own in [items.words[0], *(w[k : k + decontamination.PASSAGE] for w in split for k in range(0, len(w), decontamination.PASSAGE))]:
+        v = np.array([own.count(w) for w in items.number]) * items.idf
+        v /= np.linalg.norm(v) or 1.0
+        gram += np.outer(v, v)
+    q = np.random.default_rng(decontamination.SEED).standard_normal((12, 12))
+    for _ in range(decontamination.POWER_STEPS + 1):
+        y = gram @ q
+        q, _ = np.linalg.qr(y)
+    assert np.abs(found[0] - q @ np.linalg.svd(y.T @ q)[0]).max() < 1e-3
+
+
 # 3
 
 
