@@ -46,6 +46,8 @@ PASSAGE = 32
 LATENT, SPARE, POWER_STEPS = 64, 16, 2
 #: Weights of a chunk of passages, partial sums that one task adds up, and that reach the driver.
 CHUNK_WEIGHTS, FAN_IN, LAST_PARTS = 1 << 16, 32, 4
+#: Most cells of a matrix of words by words that a task holds, and cells of it that one row carries.
+GRAM_CELLS, ROW_CELLS = 1 << 24, 1 << 20
 #: Words that a task compares at a time, windows a word of the item, and growth of the length classes.
 BLOCK_WORDS, WINDOWS, CLASS_STEP = 1 << 16, 5, 1.5
 #: Numbers of a block of cosines.
@@ -157,6 +159,17 @@ def first_pass(docs: DataFrame, items: Items) -> DataFrame:
     return docs.mapInArrow(run, f"kind int, doc_id {id_type}, ids binary")
 
 
+def _in_tree(rows: DataFrame, first, add, schema: str) -> DataFrame:
+    """What add makes of first's rows in tasks of FAN_IN parts, until LAST_PARTS are left; spooled."""
+    n = rows.rdd.getNumPartitions()
+    sums = spool(rows.mapInArrow(first, schema))
+    while n > LAST_PARTS:
+        n = max(LAST_PARTS, -(-n // FAN_IN))
+        last, sums = sums, spool(sums.coalesce(n).mapInArrow(add, schema))
+        release(last)
+    return sums
+
+
 def _added(rows: DataFrame, dtype: type, part) -> np.ndarray | None:
     """The sum of arrays that part makes of a task's batches, added in a tree; None without rows.  part: batches -> an array or None."""
 
@@ -173,12 +186,7 @@ def _added(rows: DataFrame, dtype: type, part) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
-    n = rows.rdd.getNumPartitions()
-    sums = spool(rows.mapInArrow(first, "v binary"))
-    while n > LAST_PARTS:
-        n = max(LAST_PARTS, -(-n // FAN_IN))
-        last, sums = sums, spool(sums.coalesce(n).mapInArrow(add, "v binary"))
-        release(last)
+    sums = _in_tree(rows, first, add, "v binary")
     total = None
     for r in sums.collect():  # LAST_PARTS rows at most
         own = np.frombuffer(r["v"], dtype)
@@ -240,10 +248,49 @@ def weighed_passages(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "ids binary, weights binary, sizes binary")
 
 
+def gram_matrix(passages: DataFrame, n: int) -> DataFrame:
+    """A'A of the passages: cells i * n + j, i <= j, and their sums; a cell is in up to LAST_PARTS rows."""
+
+    def cells(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        at = np.zeros(0, np.int64) if total is None else np.flatnonzero(total)
+        for k in range(0, len(at), ROW_CELLS):
+            own = at[k : k + ROW_CELLS]
+            yield pa.RecordBatch.from_pydict({"cells": pa.array([own.astype(np.int32).tobytes()], pa.binary()), "sums": pa.array([total[own].tobytes()], pa.binary())})
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in (0, 2))
+                weights = np.frombuffer(batch.column(1)[k].as_buffer(), np.float32).astype(np.float64)
+                passage = np.repeat(np.arange(len(sizes)), sizes)
+                total = np.zeros(n * n) if total is None else total
+                for d in range(int(sizes.max())):  # the ids of a passage rise
+                    left = np.flatnonzero(passage[d:] == passage[: len(passage) - d])
+                    np.add.at(total, ids[left].astype(np.int64) * n + ids[left + d], weights[left] * weights[left + d])
+        yield from cells(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cells(_dense(batches, n * n))
+
+    return _in_tree(passages, first, add, "cells binary, sums binary")
+
+
+def _dense(batches: Iterator[pa.RecordBatch], size: int) -> np.ndarray | None:
+    """The sum of rows (cells, sums); a row has a cell once."""
+    total = None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            total = np.zeros(size) if total is None else total
+            total[np.frombuffer(batch.column(0)[k].as_buffer(), np.int32)] += np.frombuffer(batch.column(1)[k].as_buffer(), np.float64)
+    return total
+
+
 def latent_space(passages: DataFrame, items: Items, seed: int = SEED) -> np.ndarray:
     """words x LATENT: right singular vectors of the TF-IDF passages, by a randomised SVD.
 
-    passages: as weighed_passages makes them, spooled; they are read once a step.
+    passages: as weighed_passages makes them, spooled.  A'(A Q) is (A'A) Q where A'A has at
+    most GRAM_CELLS cells, so that they are read once; else they are read once a step.
     """
     n, idf = len(items.number), items.idf
     rng = np.random.default_rng(seed)
@@ -261,9 +308,18 @@ def latent_space(passages: DataFrame, items: Items, seed: int = SEED) -> np.ndar
         return out
 
     own = [np.array([items.number[w] for w in ws], np.int64) for ws in items.words]
+    few = n * n <= GRAM_CELLS
+    rows = gram_matrix(passages, n) if few else passages
     for _ in range(POWER_STEPS + 1):
         shared = passages.sparkSession.sparkContext.broadcast(q.astype(np.float32))
 
+        def by_gram(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
+            q, upper = shared.value.astype(np.float64), _dense(batches, n * n)
+            if upper is None:
+                return None
+            upper = upper.reshape(n, n)
+            return upper @ q + upper.T @ q - upper.diagonal()[:, None] * q
+
         def part(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
             q, total = shared.value, None
             for batch in batches:
@@ -279,11 +335,13 @@ def latent_space(passages: DataFrame, items: Items, seed: int = SEED) -> np.ndar
             return total
 
         y = product(own, q)
-        found = _added(passages, np.float64, part)
+        found = _added(rows, np.float64, by_gram if few else part)
         if found is not None:
             y += found.reshape(y.shape)
         shared.unpersist()
         q, _ = np.linalg.qr(y)
+    if few:
+        release(rows)
     # the last product gives the singular values of the range found
     u, s, _ = np.linalg.svd(y.T @ q)
     return (q @ u)[:, : min(LATENT, width)]

@@ -161,13 +161,15 @@ def test_leaks_with_most_content_words_replaced(spark):
     assert (row["doc_id"], row["item_id"], row["answered"]) == (100, 7, True) and row["lcs_share"] == 0.8
 
 
-def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [1 << 24, 0])
+def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch, cells):
     """4,500 documents, more than a sample of 4,000 would hold."""
     rng = random.Random(25)
     bag = [f"w{k}" for k in range(12)]
     items = decontamination.Items([(1, " ".join(bag))])
     texts = [" ".join(rng.choice(bag[: rng.randint(1, 12)]) if rng.random() < 0.006 else "other" for _ in range(rng.randint(1, 90))) for _ in range(4500)]
     found = []
+    monkeypatch.setattr(decontamination, "GRAM_CELLS", cells)
     monkeypatch.setattr(decontamination, "latent_space", lambda *a, f=decontamination.latent_space: found.append(f(*a)) or found[-1])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert decontamination.benchmark_leaks(docs, spark.createDataFrame([(1, " ".join(bag))], "item_id long, text string")).count() == 0
