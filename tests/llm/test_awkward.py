@@ -211,6 +211,63 @@ def test_block_sums_equal_plain_scores():
     assert Counter(owner.tolist())[7] == 6
 
 
+def test_every_paragraph_trains_the_licence_model(spark, monkeypatch):
+    """Texts of any hash move the probabilities; a sample of about 400 texts left most of them out."""
+    monkeypatch.setattr(license_scan, "PASSES", 8)
+    rng = random.Random(8)
+    plain = [(k, words(rng, 30)) for k in range(1200)]
+    docs = spark.createDataFrame([(-1, "Released under the MIT License."), *plain], "doc_id long, text string")
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) >= (1 << 29)
+    other = docs.withColumn("text", F.when(part & (F.col("doc_id") >= 0), F.concat(F.lit("a license or the mit of this version, "), "text")).otherwise(F.col("text")))
+    a, b = (license_scan.license_scan(d).where("doc_id = -1").collect() for d in (docs, other))
+    assert a and abs(a[0]["probability"] - (b[0]["probability"] if b else 0)) > 1e-4
+
+
+def test_training_windows_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "PACK", 40)
+    rng = random.Random(9)
+    bag = [w for t in license_scan.DECOYS for w in license_scan.words_of(t)] + [words(rng, 1) for _ in range(30)]
+    texts = ["\n".join(" ".join(rng.choice(bag) for _ in range(rng.randint(0, 60))) for _ in range(3)) for _ in range(60)]
+    texts += ["Released under the MIT License.", None, "", texts[0], texts[0]]
+    grams, n = Counter(), 0
+    for text in texts[:60] + texts[-2:]:
+        for line in text.split("\n"):
+            w = line.split()
+            n += -(-len(w) // license_scan.WINDOW)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    grams[license_scan.PLACE.get(tuple(w[i : i + k]), license_scan.OTHER + k - 1)] += 1
+    weights = np.random.default_rng(2).standard_normal((2, license_scan.POSITIONS + 1, len(license_scan.FAMILIES))) / 4
+    slopes = []
+    for parts in (1, 6):
+        rows = license_scan.spooled_windows(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        found = [license_scan.Windows.unpacked(r.asDict()) for r in rows.collect()]
+        got = Counter()
+        for w in found:
+            for g, m in zip(w.grams.tolist(), np.repeat(w.times, w.many).tolist()):
+                got[g] += m
+            for k in range(3):
+                got[license_scan.OTHER + k] += int(w.others[:, k] @ w.times)
+        assert +got == +grams
+        assert license_scan.added_windows(rows, 40, license_scan.unknown_counts)[:2].sum() == n
+        slopes.append(license_scan.added_windows(rows, 40, license_scan.unknown_slopes, weights))
+    assert slopes[0] == pytest.approx(slopes[1], rel=1e-9, abs=1e-9)
+    # the sums are the plain losses and their slopes
+    way = np.random.default_rng(3).standard_normal(weights.shape)
+    low, high = (sum(license_scan.unknown_slopes(w, weights + e * way) for w in found) for e in (-1e-5, 1e-5))
+    for k in range(2):
+        assert (high[k, 0] - low[k, 0]) / 2e-5 == pytest.approx(float(slopes[1][k, 1:] @ way[k].ravel()), rel=1e-5)
+    plain = 0.0
+    for text in texts[:60] + texts[-2:]:
+        for line in text.split("\n"):
+            w = line.split()
+            for a in range(0, len(w), license_scan.WINDOW):
+                at = [license_scan.PLACE.get(tuple(w[i : i + k]), license_scan.OTHER + k - 1) for i in range(a, min(len(w), a + license_scan.WINDOW)) for k in (1, 2, 3) if i + k <= len(w)]
+                z = weights[1][at].sum(0) / math.sqrt(len(at)) + weights[1][-1]
+                plain += math.log(np.exp(z - z[0]).sum())
+    assert slopes[0][1, 0] == pytest.approx(plain, rel=1e-9)
+
+
 # secrets
 
 
