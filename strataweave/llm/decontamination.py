@@ -11,7 +11,8 @@ the candidates.  They are confirmed by the longest common subsequence of words:
 one alone, or a shorter one together with the item's answer, its last words.  Two counts
 spare candidates that this cannot confirm: a subsequence of a share s leaves out at most
 (1 - s) of the item's words, so all but as many of its content words must be near the
-window; and the shorter share needs an occurrence of the answer.
+window; and the shorter share needs an occurrence of the answer.  Then the subsequence
+of a stretch of the text bounds those of the windows in it.
 
 Words outside the benchmark have no direction in the latent space: the words that a
 paraphrase puts in their place do not turn its window away from the item.
@@ -50,8 +51,8 @@ CHUNK_WEIGHTS, FAN_IN, LAST_PARTS = 1 << 16, 32, 4
 GRAM_CELLS, ROW_CELLS = 1 << 24, 1 << 20
 #: Words that a task compares at a time, windows a word of the item, and growth of the length classes.
 BLOCK_WORDS, WINDOWS, CLASS_STEP = 1 << 16, 5, 1.5
-#: Numbers of a block of cosines.
-BLOCK_COSINES = 1 << 20
+#: Most windows, and numbers, of a block of cosines.
+BLOCK_WINDOWS, BLOCK_COSINES = 1 << 11, 1 << 18
 #: Words whose vectors are summed before windows are made of them, and grains whose sums run on in single precision.
 GRAIN, RUN = 4, 32
 POSITION_BITS = 32
@@ -60,6 +61,8 @@ COSINE = 0.5
 #: Shares of the item's words that the common subsequence must reach: alone, or with the answer.
 LCS_ALONE, LCS_ANSWERED = 0.7, 0.5
 ANSWER_WORDS = 4
+#: Lengths of the item that a stretch of the text, which is compared before its windows, has at most.
+STRETCH = 4
 SEED = 11
 #: A content word is in at most this share of the documents; an item with fewer than
 #: MIN_CONTENT of them counts all its words as such.
@@ -73,17 +76,27 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def lcs_length(x: list, y: list) -> int:
-    """Length of the longest common subsequence, with the rows of the table as bits of one number."""
+def places_of(x: list) -> dict:
+    """Where each word stands, as bits."""
     at: dict = {}
     for i, w in enumerate(x):
         at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(x)) - 1
-    row = full
-    for w in y:
-        hit = row & at.get(w, 0)
+    return at
+
+
+def lcs_of_bits(m: int, bits: Iterable[int]) -> int:
+    """lcs_length of m words with words given by places_of; those that are not among the m change nothing."""
+    full = row = (1 << m) - 1
+    for places in bits:
+        hit = row & places
         row = ((row + hit) | (row - hit)) & full
-    return len(x) - row.bit_count()
+    return m - row.bit_count()
+
+
+def lcs_length(x: list, y: list) -> int:
+    """Length of the longest common subsequence, with the rows of the table as bits of one number."""
+    at = places_of(x)
+    return lcs_of_bits(len(x), [at[w] for w in y if w in at])
 
 
 class Items:
@@ -373,6 +386,7 @@ class Search:
             classes.setdefault(length, []).append(k)
         self.classes = [(length, np.array(at)) for length, at in sorted(classes.items())]
         self.most = max(length for length, _ in self.classes)
+        self.among = np.zeros(len(items.number) + 1, bool)  # the words of the item at hand
         codes = np.array([_polynomial(ids[-ANSWER_WORDS:], 1)[0] for ids in self.own_ids])
         self.answer_items = np.argsort(codes, kind="stable")
         self.answer_codes = codes[self.answer_items]
@@ -402,7 +416,7 @@ class Search:
         runs = np.zeros((n // RUN + 1, RUN, width), np.float32)
         grains = runs.reshape(-1, width)[:n]
         for k in range(GRAIN):
-            grains += vectors[ids[k::GRAIN]]
+            grains += vectors.take(ids[k::GRAIN], 0)
         inside = (np.tri(RUN, k=-1, dtype=np.float32) @ runs).reshape(-1, width)
         before = np.zeros((len(runs), width))
         np.cumsum(runs[:-1].sum(1, dtype=np.float64), 0, out=before[1:])
@@ -413,8 +427,8 @@ class Search:
         base = item.astype(np.int64) << POSITION_BITS
         return np.searchsorted(keys, base + b) - np.searchsorted(keys, base + a)
 
-    def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, end, cosine) of the windows that reach COSINE and can be confirmed.
+    def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Items, first words, ends and cosines of the windows that reach COSINE and can be confirmed; those of an item by first word.
 
         starts, ends: where the text of each word begins and ends.
         """
@@ -424,40 +438,54 @@ class Search:
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         content = np.sort((items.holders[at] << POSITION_BITS) + np.repeat(np.arange(len(ids)), n))
         answers = self.answers_in(ids)
+        # content words and answers of any item before each word: at least as many as of one item
+        contents = np.concatenate([[0], np.cumsum(n > 0)])
+        answered = np.concatenate([[0], np.cumsum(np.bincount(answers & ((1 << POSITION_BITS) - 1), minlength=len(ids)))])
         sizes = items.sizes
         for length, among in self.classes:
             step = max(1, length // (WINDOWS * GRAIN)) * GRAIN
-            begin = np.arange(0, len(ids), step)
-            end = np.minimum(begin + -(-length // GRAIN) * GRAIN, ends[begin])
-            x, y = begin // GRAIN, end // GRAIN
-            v = inside[y] - inside[x]
-            over = np.flatnonzero(x // RUN != y // RUN)
-            v[over] += before[y[over] // RUN] - before[x[over] // RUN]
-            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            full = np.flatnonzero(norm > 1e-4)
-            begin, end = begin[full], end[full]
-            v = v[full] / norm[full, None]
             own = self.own[among]
-            rows = max(1, BLOCK_COSINES // len(among))
-            for k in range(0, len(v), rows):
-                cosine = v[k : k + rows] @ own.T
+            rows = max(1, min(BLOCK_WINDOWS, BLOCK_COSINES // len(among)))
+            for k in range(0, len(ids), rows * step):
+                begin = np.arange(k, min(len(ids), k + rows * step), step)
+                end = np.minimum(begin + -(-length // GRAIN) * GRAIN, ends[begin])
+                x, y = begin // GRAIN, end // GRAIN
+                v = inside.take(y, 0)
+                v -= inside[x[0] : x[-1] + 1 : step // GRAIN]
+                over = np.flatnonzero(x // RUN != y // RUN)
+                v[over] += before[y[over] // RUN] - before[x[over] // RUN]
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                full = np.flatnonzero(norm > 1e-4)
+                if len(full) < len(v):
+                    begin, end, v, norm = begin[full], end[full], v[full], norm[full]
+                v /= norm[:, None]
+                cosine = v @ own.T
                 hit = np.flatnonzero(cosine >= COSINE)
                 at, of = np.divmod(hit, len(among))
-                item, x, y, cosine = among[of], begin[k + at], end[k + at], cosine.ravel()[hit]
+                item, x, y, cosine = among[of], begin[at], end[at], cosine.ravel()[hit]
                 a, b = np.maximum(starts[x], x - sizes[item] // 2), np.minimum(ends[x], y + sizes[item] // 2)
+                most = contents[b] - contents[a]
+                can = most >= items.least[LCS_ALONE][item]
+                if len(answers):
+                    can |= (answered[b] > answered[a]) & (most >= items.least[LCS_ANSWERED][item])
+                if not can.any():
+                    continue
+                item, x, y, cosine, a, b = (z[can] for z in (item, x, y, cosine, a, b))
                 held = self.near(item, a, b, content)
                 can = held >= items.least[LCS_ALONE][item]
                 if len(answers):
                     can |= (self.near(item, a, b, answers) > 0) & (held >= items.least[LCS_ANSWERED][item])
-                yield from zip(*(z[can].tolist() for z in (item, x, y, cosine)))
+                yield item[can], x[can], y[can], cosine[can]
 
     def answers_in(self, ids: np.ndarray) -> np.ndarray:
         """Sorted keys (item, position) of where items' answers begin, by a hash of their words."""
         n = len(ids) - ANSWER_WORDS + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.isin(code := _polynomial(ids, n), self.answer_codes))
-        left, right = (np.searchsorted(self.answer_codes, code[at], side) for side in ("left", "right"))
+        code = _polynomial(ids, n)
+        left = np.searchsorted(self.answer_codes, code)
+        at = np.flatnonzero(self.answer_codes.take(left, mode="clip") == code)
+        left, right = left[at], np.searchsorted(self.answer_codes, code[at], "right")
         n = right - left
         of = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.sort((self.answer_items[of] << POSITION_BITS) + np.repeat(at, n))
@@ -478,31 +506,58 @@ class Search:
             for (_, _, own), at in zip(part, starts.tolist()):
                 ids[at : at + len(own)] = own
             owner = np.repeat(np.arange(len(part)), np.diff(starts))
-            met: dict[tuple[int, int], list] = {}
-            for item, begin, end, cosine in self.candidates(ids, starts[owner], starts[owner + 1]):
-                met.setdefault((int(owner[begin]), item), []).append((begin, end, cosine))
-            for (p, item), windows in met.items():
+            met = list(self.candidates(ids, starts[owner], starts[owner + 1]))
+            if not met:
+                continue
+            items, begins, ends, cosines = map(np.concatenate, zip(*met))
+            of = owner[begins]
+            order = np.lexsort((items, of))
+            fresh = (np.diff(of[order], prepend=-1) != 0) | (np.diff(items[order], prepend=-1) != 0)
+            for rows in np.split(order, np.flatnonzero(fresh)[1:]):
+                if not len(rows):
+                    continue
+                p, item = int(of[rows[0]]), int(items[rows[0]])
                 text, offset, _ = part[p]
                 low, high = int(starts[p]), int(starts[p + 1])
-                found = self.confirm(item, [(b - low, e - low, c) for b, e, c in windows], ids[low:high])
+                found = self.confirm(item, begins[rows] - low, ends[rows] - low, cosines[rows], ids[low:high])
                 if found and (text, item) not in best or found and found[2] > best[text, item][2]:
                     best[text, item] = (offset + found[0], *found[1:])
         return [(text, item, *row) for (text, item), row in sorted(best.items())]
 
-    def confirm(self, k: int, windows: list[tuple[int, int, float]], ids: np.ndarray) -> tuple | None:
-        """(first word, cosine, share, answered) of the best window that confirms the item."""
-        target = self.own_ids[k].tolist()
-        m, best = len(target), None
-        answer = self.own_ids[k][-ANSWER_WORDS:].tobytes()
-        for begin, end, cosine in windows:
-            a, b = max(0, begin - m // 2), min(len(ids), end + m // 2)
-            share = lcs_length(target, ids[a:b].tolist()) / m
-            if share < LCS_ANSWERED or best is not None and share <= best[2]:
-                continue
-            near = ids[a:b]
-            answered = any(near[x : x + ANSWER_WORDS].tobytes() == answer for x in np.flatnonzero(near == target[-ANSWER_WORDS]).tolist())
-            if share >= LCS_ALONE or answered:
-                best = (a, cosine, share, answered)
+    def confirm(self, k: int, begins: np.ndarray, ends: np.ndarray, cosines: np.ndarray, ids: np.ndarray) -> tuple | None:
+        """(first word, cosine, share, answered) of the best window that confirms the item.  begins, ends: rising.
+
+        What is common to the item and a stretch of the text is at least what is common to it and a
+        window there: a stretch that cannot confirm the item, or better it, spares its windows.
+        """
+        own = self.own_ids[k]
+        m, best = len(own), None
+        bits, answer = places_of(own.tolist()), own[-ANSWER_WORDS:].tobytes()
+        a, b = np.maximum(0, begins - m // 2), np.minimum(len(ids), ends + m // 2)
+
+        def answered(low: int, high: int) -> bool:
+            near = ids[low:high]
+            return any(near[x : x + ANSWER_WORDS].tobytes() == answer for x in np.flatnonzero(near == own[-ANSWER_WORDS]).tolist())
+
+        first = 0
+        while first < len(a):
+            low = int(a[first])
+            last = max(first + 1, int(np.searchsorted(b, low + STRETCH * m, "right")))
+            high = int(b[last - 1])
+            self.among[own] = True
+            at = np.flatnonzero(self.among[ids[low:high]])
+            self.among[own] = False
+            words = [bits[w] for w in ids[low + at].tolist()]
+            most = lcs_of_bits(m, words) / m if len(words) >= LCS_ANSWERED * m else 0.0
+            if most >= LCS_ANSWERED and (best is None or most > best[2]) and (most >= LCS_ALONE or answered(low, high)):
+                lefts, rights = (np.searchsorted(at + low, x[first:last]).tolist() for x in (a, b))
+                for i, left, right in zip(range(first, last), lefts, rights):
+                    share = lcs_of_bits(m, words[left:right]) / m
+                    if share < LCS_ANSWERED or best is not None and share <= best[2]:
+                        continue
+                    if (own_answer := answered(int(a[i]), int(b[i]))) or share >= LCS_ALONE:
+                        best = (int(a[i]), float(cosines[i]), share, own_answer)
+            first = last
         return best
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -180,6 +181,52 @@ def test_blocks_cut_no_leak(monkeypatch):
         assert (text_no, item, share, answered) == (0, 0, 1.0, True) and abs(first - at) <= 40
 
 
+def test_windows_that_cannot_confirm_are_compared_together():
+    """Far fewer calls than words where overlapping windows of one text reach the cosine; one comparison a window took more."""
+    rng = random.Random(14)
+    bag = [words(rng, 1) + str(k) for k in range(40)]
+    items = decontamination.Items([(0, " ".join(bag))])
+    items.weigh(np.ones(len(items.number)), 50)
+    search = decontamination.Search(items, np.linalg.qr(np.random.default_rng(0).standard_normal((len(items.number), 16)))[0])
+    text = [w for _ in range(100) for w in rng.sample(items.words[0], 40)]
+    ids = decontamination.numbered(text, items.number)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = search.find_numbered([ids])
+    finally:
+        sys.setprofile(None)
+    assert found == [] and calls < len(text)
+
+
+def test_stretches_confirm_as_windows_one_by_one():
+    rng = random.Random(15)
+    for case in range(200):
+        m = rng.randint(8, 30)
+        items = decontamination.Items([(0, " ".join(f"w{rng.randrange(20)}" for _ in range(m)))])
+        items.weigh(np.ones(len(items.number)), 50)
+        search = decontamination.Search(items, np.eye(len(items.number)))
+        own, text = search.own_ids[0], np.array([rng.randrange(len(items.number) + 1) for _ in range(rng.randint(20, 400))])
+        if case % 2:  # the item with gaps, or its end among other words
+            at = rng.randrange(len(text))
+            text = np.concatenate([text[:at], [w for w in own[m // 3 * (case % 4 > 2) :] if rng.random() > 0.2], own[-4:], text[at:]]).astype(np.int64)
+        begins = np.arange(0, len(text), 4)
+        ends = np.minimum(begins + m, len(text))
+        want = None
+        for x, y in zip(begins.tolist(), ends.tolist()):
+            a, b = max(0, x - m // 2), min(len(text), y + m // 2)
+            share = decontamination.lcs_length(own.tolist(), text[a:b].tolist()) / m
+            answered = any((text[i : i + 4] == own[-4:]).all() for i in range(a, b - 3))
+            if (share >= 0.7 or share >= 0.5 and answered) and (want is None or share > want[2]):
+                want = (a, float(x), share, answered)
+        assert search.confirm(0, begins, ends, begins.astype(float), text) == want, case
+
+
 # licences
 
 
