@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ PASSES, STILL, MEMORY = 50, 1e-5, 10
 TEMPERATURES = np.linspace(0.5, 4, 29)
 #: Bins of probability in the calibration.
 BINS = 10_000
+#: Windows of which logits and gradients are taken at a time, and n-grams that are columns of a matrix there.
+ROWS, COMMON = 1 << 11, 64
 #: Different windows of a spooled row, task sums that one task adds up, and sums that the driver gets.
 PACK, FAN_IN, LAST_PARTS = 1 << 15, 32, 4
 #: Place of the notice of each family that the calibration leaves out.
@@ -331,29 +334,48 @@ class Windows:
     def scales(self) -> np.ndarray:
         return 1 / np.sqrt(self.many + self.others.sum(1))
 
+    def blocks(self) -> Iterator[Windows]:
+        """The windows, ROWS at a time."""
+        ends = np.concatenate([[0], np.cumsum(self.many)])
+        for k in range(0, len(self), ROWS):
+            own = slice(k, min(k + ROWS, len(self)))
+            yield Windows(self.grams[ends[own.start] : ends[own.stop]], self.many[own], self.others[own], self.held[own], self.times[own])
+
+    @cached_property
+    def scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What each window adds to a logit for a weight of 1: the positions of the commonest n-grams and of the others, a matrix of windows by these, and position, window and scale of each n-gram that is not in it."""
+        n, often, scales = len(self), np.bincount(self.grams, minlength=OTHER), self.scales()
+        common = np.sort(np.argsort(-often, kind="stable")[: min(COMMON, np.count_nonzero(often))])
+        column = np.full(OTHER, len(common))
+        column[common] = np.arange(len(common))
+        at, owner = column[self.grams], np.repeat(np.arange(n), self.many)
+        rest = np.flatnonzero(at == len(common))
+        # the last column, of the n-grams that are not common, makes room for the others
+        matrix = np.bincount(owner * (len(common) + 3) + at, minlength=n * (len(common) + 3)).reshape(n, len(common) + 3).astype(np.float64)
+        matrix[:, len(common) :] = self.others
+        matrix *= scales[:, None]
+        return np.concatenate([common, np.arange(OTHER, POSITIONS)]), matrix, self.grams[rest], owner[rest], scales[owner[rest]]
+
     def logits(self, weights: np.ndarray) -> np.ndarray:
-        """weights: by position, with the bias as the last row."""
-        order = np.argsort(-self.many, kind="stable")
-        many = self.many[order]
-        begins = (np.cumsum(self.many) - self.many)[order]
-        z = np.zeros((len(self), weights.shape[1]))
-        for k in range(int(many[0]) if len(many) else 0):  # the windows with more than k n-grams come first
-            n = int(np.searchsorted(-many, -k, "left"))
-            z[:n] += weights.take(self.grams[begins[:n] + k], 0)
-        out = np.empty_like(z)
-        out[order] = z
-        return (out + self.others @ weights[OTHER:POSITIONS]) * self.scales()[:, None] + weights[POSITIONS]
+        """Windows by column, stored column by column.  weights: by position, with the bias as the last row."""
+        at, matrix, grams, owner, scales = self.scaled
+        z = weights[at].T @ matrix.T + weights[POSITIONS][:, None]
+        if len(grams):
+            for own, w in zip(z, weights.T):
+                own += np.bincount(owner, w.take(grams) * scales, len(self))
+        return z.T
 
     def slope(self, g: np.ndarray) -> np.ndarray:
         """Gradient by position, with the bias as the last row.  g: gradient by logit, whose rows sum to 0 over the families."""
-        of = np.ascontiguousarray((g * self.scales()[:, None]).T)
-        owner = np.repeat(np.arange(len(self)), self.many)
+        at, matrix, grams, owner, scales = self.scaled
+        of = np.ascontiguousarray(g.T)
         out = np.zeros((POSITIONS + 1, g.shape[1]))
-        for c in range(g.shape[1]):
-            if c % len(FAMILIES):
-                out[:OTHER, c] = np.bincount(self.grams, of[c].take(owner), OTHER)
-        out[OTHER:POSITIONS] = (of @ self.others).T
-        out[POSITIONS] = g.sum(0)
+        if len(grams):
+            for c in range(g.shape[1]):
+                if c % len(FAMILIES):
+                    out[:OTHER, c] = np.bincount(grams, of[c].take(owner) * scales, OTHER)
+        out[at] += (of @ matrix).T
+        out[POSITIONS] = of.sum(1)
         for c in range(0, g.shape[1], len(FAMILIES)):
             out[:, c] = -out[:, c + 1 : c + len(FAMILIES)].sum(1)
         return out
@@ -430,16 +452,19 @@ def unknown_counts(windows: Windows) -> np.ndarray:
 
 def unknown_slopes(windows: Windows, weights: np.ndarray) -> np.ndarray:
     """Losses and gradients of the unknown windows, by model: the first leaves some out."""
-    z = windows.logits(np.concatenate(list(weights), 1)).reshape(len(windows), len(weights), len(FAMILIES))
-    top = z.max(2, keepdims=True)
-    e = np.exp(z - top)
-    total = e.sum(2, keepdims=True)
-    counts = np.stack([windows.times * ~windows.held, windows.times], 1).astype(np.float64)
-    loss = ((top + np.log(total))[:, :, 0] - z[:, :, 0]) * counts
-    g = e / total
-    g[:, :, 0] -= 1
-    slope = windows.slope((g * counts[:, :, None]).reshape(z.shape[0], z.shape[1] * z.shape[2]))
-    return np.stack([np.concatenate([[x.sum()], y.ravel()]) for x, y in zip(loss.T, np.split(slope, len(weights), 1))])
+    columns = np.concatenate(list(weights), 1)
+    losses, slope = np.zeros(len(weights)), np.zeros(columns.shape)
+    for own in windows.blocks():
+        z = own.logits(columns).T.reshape(len(weights), len(FAMILIES), len(own))
+        top = z.max(1)
+        g = np.exp(z - top[:, None])
+        total = g.sum(1)
+        counts = np.stack([own.times * ~own.held, own.times]).astype(np.float64)
+        losses += ((top + np.log(total) - z[:, 0]) * counts).sum(1)
+        g *= (counts / total)[:, None]
+        g[:, 0] -= counts
+        slope += own.slope(g.reshape(-1, len(own)).T)
+    return np.stack([np.concatenate([[x], y.ravel()]) for x, y in zip(losses, np.split(slope, len(weights), 1))])
 
 
 def unknown_losses(windows: Windows, weights: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -270,6 +271,45 @@ def test_every_paragraph_trains_the_licence_model(spark, monkeypatch):
     assert a and abs(a[0]["probability"] - (b[0]["probability"] if b else 0)) > 1e-4
 
 
+def some_windows(n):
+    rng = np.random.default_rng(16)
+    many = rng.integers(0, 20, n)
+    grams = np.minimum(rng.geometric(0.02, many.sum()) - 1, license_scan.OTHER - 1)
+    return license_scan.Windows(grams, many, rng.integers(1, 9, (n, 3)), rng.random(n) < 0.25, rng.integers(1, 5, n))
+
+
+def test_slopes_hold_a_block_of_windows_at_a_time():
+    """All columns of all windows of a pack took over 40 MB at once, and each pass most of its time to move them."""
+    windows = some_windows(license_scan.PACK)
+    weights = np.random.default_rng(17).standard_normal((2, license_scan.POSITIONS + 1, len(license_scan.FAMILIES))) / 4
+    tracemalloc.start()
+    try:
+        license_scan.unknown_slopes(windows, weights)
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rows, common", [(64, 5), (1 << 11, 64), (100, 2000)])
+def test_slopes_equal_plain_products(monkeypatch, rows, common):
+    monkeypatch.setattr(license_scan, "ROWS", rows, raising=False)
+    monkeypatch.setattr(license_scan, "COMMON", common, raising=False)
+    windows = some_windows(700)
+    weights = np.random.default_rng(18).standard_normal((2, license_scan.POSITIONS + 1, len(license_scan.FAMILIES))) / 4
+    plain = np.zeros((700, license_scan.POSITIONS + 1))
+    np.add.at(plain, (np.repeat(np.arange(700), windows.many), windows.grams), 1)
+    plain[:, license_scan.OTHER : license_scan.POSITIONS] = windows.others
+    plain /= np.sqrt(plain.sum(1, keepdims=True))
+    plain[:, -1] = 1
+    for k, times in enumerate((windows.times * ~windows.held, windows.times)):
+        p = license_scan._softmax(plain @ weights[k])
+        got = license_scan.unknown_slopes(windows, weights)[k]
+        assert got[0] == pytest.approx(float(-np.log(p[:, 0]) @ times), rel=1e-9)
+        assert got[1:].reshape(weights[k].shape) == pytest.approx(plain.T @ ((p - np.eye(len(license_scan.FAMILIES))[0]) * times[:, None]), rel=1e-8, abs=1e-8)
+    empty = windows.kept(np.zeros(700, bool))
+    assert not license_scan.unknown_slopes(empty, weights).any() and not license_scan.unknown_losses(empty, weights[0]).any()
+
+
 def test_training_windows_against_plain_counts(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "PACK", 40)
     rng = random.Random(9)
