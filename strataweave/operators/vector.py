@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..shipping import ship
+
+if TYPE_CHECKING:
+    import numpy as np
 
 RERANK_K = 10
-#: Queries and rows of a block of the k-nearest join: 64 MB of scores.
+#: Queries and rows of a block of the k-nearest join.
 KNN_BLOCK, KNN_ROWS = 1024, 8192
+#: Queries and rows of a tile of its scores: 32 MB.
+KNN_TILE, KNN_STEP = 1024, 4096
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -48,6 +55,86 @@ def rerank(rows: DataFrame, query: list[float], top_k: int | None = RERANK_K, me
     return out if top_k is None else top(out, top_k, F.desc(alias), F.col(id_col))
 
 
+def _exactly(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Similarities of the pairs of rows of q and v, summed in the order of the entries as SQL does, so that equal vectors tie."""
+    import numpy as np
+
+    inner, a, b = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
+    for x, y in zip(q.T, v.T):
+        inner += (x - y) * (x - y) if metric == "euclidean" else x * y
+        if metric == "cosine":
+            a += x * x
+            b += y * y
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(inner))
+    if metric != "cosine":
+        return inner
+    n = np.sqrt(a * b)
+    return np.where(n > V.TINY, np.clip(inner / np.maximum(n, V.TINY), -1, 1), 0.0)
+
+
+def _nearest(qid: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k nearest rows of each query, equal scores by id, none of the query's own id.
+
+    Tiles of a matrix product only screen: what comes within their rounding of the k best is scored exactly.
+    """
+    import numpy as np
+
+    # of equal vectors only those of the least ids can be among the k best; a query's own rows do not count
+    keep = k + int(np.unique(own, return_counts=True)[1].max())
+    same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((own, same))
+    first = np.r_[True, np.diff(same[order]) != 0]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    rows = np.sort(order[rank < keep])
+    own, v = own[rows], v[rows]
+
+    nq, nv = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+    slack = 4 * (q.shape[1] + 8) * np.finfo(float).eps
+    if metric == "cosine":
+        x, y = (np.nan_to_num(e / np.where(n > 0, n, 1)[:, None], nan=0, posinf=0, neginf=0) for e, n in ((q, nq), (v, nv)))
+        slack = np.full(len(q), slack)
+    else:
+        x, y = q, v
+        far = nq + nv.max()
+        slack = slack * (far * far + far if metric == "euclidean" else nq * nv.max())  # + far: distances that round to one score
+    small = metric == "cosine" and nq.min() * nv.min() <= V.TINY
+    out = []
+    for a in range(0, len(q), KNN_TILE):
+        part = slice(a, a + KNN_TILE)
+        least = np.full(len(x[part]), -np.inf)
+        r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in range(0, len(v), KNN_STEP):
+            tile = x[part] @ y[b : b + KNN_STEP].T
+            if metric == "euclidean":
+                tile = 2 * tile - (nq[part] ** 2)[:, None] - (nv[b : b + KNN_STEP] ** 2)[None, :]
+            elif small:
+                tile[nq[part][:, None] * nv[None, b : b + KNN_STEP] <= V.TINY] = 0
+            if metric != "cosine":
+                np.nan_to_num(tile, copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            if b == 0 and tile.shape[1] > keep:
+                least = np.partition(tile, -keep, axis=1)[:, -keep] - 2 * slack[part]
+            more_r, more_c = np.nonzero(tile >= least[:, None])
+            r, c, s = np.r_[r, more_r], np.r_[c, more_c + b], np.r_[s, tile[more_r, more_c]]
+            order = np.lexsort((-s, r))
+            r, c, s = r[order], c[order], s[order]
+            at = np.searchsorted(r, np.arange(len(least))) + keep - 1
+            full = np.flatnonzero(at < np.searchsorted(r, np.arange(len(least)), "right"))
+            least[full] = np.maximum(least[full], s[at[full]] - 2 * slack[part][full])
+            near = s >= least[r]
+            r, c, s = r[near], c[near], s[near]
+        r = r + a
+        other = qid[r] != own[c]
+        r, c = r[other], c[other]
+        s = _exactly(q[r], v[c], metric)
+        order = np.lexsort((own[c], -s, r))
+        r, c, s = r[order], c[order], s[order]
+        best = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (s > -np.inf)
+        out.append((r[best], rows[c[best]], s[best]))
+    r, c, s = (np.concatenate(p) for p in zip(*out))
+    return r, c, s
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", blocks: int = 0) -> DataFrame:
     """(qid, id, score, rank): the k nearest of every stated query, exactly.
 
@@ -57,41 +144,31 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosi
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
+    ship(queries.sparkSession)
     asked = queries.where("embedding is not null").select("qid", "embedding")
     rows = vectors.where("embedding is not null").select("id", "embedding")
     n_asked, n_rows = asked.count(), rows.count()
     across, down = max(1, blocks, -(-n_asked // KNN_BLOCK)), max(1, -(-n_rows // KNN_ROWS))
-    x_block, y_block = F.pmod(F.xxhash64("qid"), F.lit(across)), F.pmod(F.xxhash64("id"), F.lit(down))
+    # cogroup hashes its keys as they are: an int and a long of one value would not meet
+    x_block, y_block = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("qid", across), ("id", down)))
     x = asked.withColumn("x", x_block).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     y = rows.withColumn("y", y_block).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
 
     def stacked(column: pa.ChunkedArray) -> np.ndarray:
-        return np.array(column.to_pylist(), np.float64)
+        sizes = np.asarray(pc.list_value_length(column))
+        if (sizes != sizes[0]).any():
+            raise ValueError("vector dimensions differ")
+        flat = np.asarray(pc.list_flatten(column), np.float64)
+        return flat.reshape(len(sizes), -1) if flat.size else np.zeros((len(sizes), 1))
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(asked) or not len(rows):
+            return pa.table({"qid": pa.array([], "int64"), "id": pa.array([], "int64"), "score": pa.array([], "float64")})
         qid, own = asked["qid"].to_numpy(), rows["id"].to_numpy()
-        at, score = [], []
-        if len(qid) and len(own):
-            q, v = stacked(asked["embedding"]), stacked(rows["embedding"])
-            s = q @ v.T
-            if metric == "cosine":
-                n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                s = np.where(n > V.TINY, np.clip(s / np.maximum(n, V.TINY), -1, 1), 0.0)
-            elif metric == "euclidean":
-                d = (q * q).sum(1)[:, None] - 2 * s + (v * v).sum(1)[None, :]
-                s = 1 / (1 + np.sqrt(np.maximum(d, 0)))
-            s[qid[:, None] == own[None, :]] = -np.inf
-            for line in s:
-                # the k best, equal scores by id
-                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if k < len(line) else np.arange(len(line))
-                near = near[np.lexsort((own[near], -line[near]))][:k]
-                near = near[line[near] > -np.inf]
-                at.append(near)
-                score.append(line[near])
-        sizes = [len(n) for n in at]
-        flat = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return pa.table({"qid": np.repeat(qid[: len(sizes)], sizes), "id": own[flat], "score": np.concatenate(score) if score else np.zeros(0)})
+        r, c, s = _nearest(qid, stacked(asked["embedding"]), own, stacked(rows["embedding"]), k, metric)
+        return pa.table({"qid": qid[r], "id": own[c], "score": s})
 
     cells = x.groupBy("x", "y").cogroup(y.groupBy("x", "y"))
     parts = cells.applyInArrow(best, "qid long, id long, score double")
