@@ -284,14 +284,14 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k0: int = 60) -> DataFrame:
 
 
 def provenance_fusion(rows: DataFrame, now: int, k: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), half_life: float = 30 * 86_400e6) -> DataFrame:
-    """rows: id, score (cosine), confidence, recorded.  Weighted mean of similarity, confidence and freshness; 0.5 where one is missing."""
+    """rows: id, score (cosine), confidence, recorded.  Weighted mean of similarity, confidence and freshness; 0.5 where one is missing.
+
+    Every row is fused: a far one may win by its confidence and freshness."""
     ws, wc, wr = weights
-    horizon = max(1000, min(10_000, 3 * k))
-    near = top(rows, horizon, F.desc("score"), F.col("id"))
     age = F.greatest(F.lit(0.0), (F.lit(now) - F.col("recorded")).cast("double"))
     fresh = F.coalesce(F.exp(-0.6931471805599453 * age / half_life), F.lit(0.5))
     fused = (ws * F.col("score") + wc * F.coalesce("confidence", F.lit(0.5)) + wr * fresh) / (ws + wc + wr)
-    return top(near.withColumn("fused", fused), k, F.desc("fused"), F.col("id"))
+    return top(rows.withColumn("fused", fused), k, F.desc("fused"), F.col("id"))
 
 
 # drift of vectors over versions: id, version_id, vf, embedding
