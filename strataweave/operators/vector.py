@@ -283,12 +283,14 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k0: int = 60) -> DataFrame:
     return out.groupBy("id").agg(F.sum("part").alias("score"))
 
 
-def provenance_fusion(rows: DataFrame, now: int, k: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), half_life: float = 30 * 86_400e6) -> DataFrame:
+def provenance_fusion(rows: DataFrame, now: int, k: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), half_life: float = 30 * 86_400e6, ahead: bool = False) -> DataFrame:
     """rows: id, score (cosine), confidence, recorded.  Weighted mean of similarity, confidence and freshness; 0.5 where one is missing.
 
-    Every row is fused: a far one may win by its confidence and freshness."""
+    Every row is fused: a far one may win by its confidence and freshness.  What was recorded after now is as
+    fresh as now, or with ahead fresher, by the same curve."""
     ws, wc, wr = weights
-    age = F.greatest(F.lit(0.0), (F.lit(now) - F.col("recorded")).cast("double"))
+    age = (F.lit(now) - F.col("recorded")).cast("double")
+    age = age if ahead else F.greatest(F.lit(0.0), age)
     fresh = F.coalesce(F.exp(-0.6931471805599453 * age / half_life), F.lit(0.5))
     fused = (ws * F.col("score") + wc * F.coalesce("confidence", F.lit(0.5)) + wr * fresh) / (ws + wc + wr)
     return top(rows.withColumn("fused", fused), k, F.desc("fused"), F.col("id"))
