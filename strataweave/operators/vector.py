@@ -15,9 +15,9 @@ if TYPE_CHECKING:
     import numpy as np
 
 RERANK_K = 10
-#: Queries and rows of a block of the k-nearest join.
-KNN_BLOCK, KNN_ROWS = 1024, 8192
-#: Queries and rows of a tile of its scores: 32 MB.
+#: Blocks of a side of the k-nearest join, unless they would hold fewer vectors than KNN_BLOCK or more than KNN_VALUES entries (32 MB).
+KNN_SPLIT, KNN_BLOCK, KNN_VALUES = 16, 256, 1 << 22
+#: Queries and rows of a tile of its scores: 32 MB at most.
 KNN_TILE, KNN_STEP = 1024, 4096
 
 
@@ -90,20 +90,20 @@ def _nearest(qid: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k:
     own, v = own[rows], v[rows]
 
     nq, nv = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-    slack = 4 * (q.shape[1] + 8) * np.finfo(float).eps
-    if metric == "cosine":
-        x, y = (np.nan_to_num(e / np.where(n > 0, n, 1)[:, None], nan=0, posinf=0, neginf=0) for e, n in ((q, nq), (v, nv)))
-        slack = np.full(len(q), slack)
+    if metric == "cosine":  # unit vectors, for which single precision will do
+        x, y = (np.nan_to_num(e / np.where(n > 0, n, 1)[:, None], nan=0, posinf=0, neginf=0).astype(np.float32) for e, n in ((q, nq), (v, nv)))
+        size = np.ones(len(q))
     else:
         x, y = q, v
         far = nq + nv.max()
-        slack = slack * (far * far + far if metric == "euclidean" else nq * nv.max())  # + far: distances that round to one score
+        size = far * far + far if metric == "euclidean" else nq * nv.max()  # + far: distances that round to one score
+    slack = 2 * (q.shape[1] + 8) * np.finfo(x.dtype).eps * size
     small = metric == "cosine" and nq.min() * nv.min() <= V.TINY
     out = []
     for a in range(0, len(q), KNN_TILE):
         part = slice(a, a + KNN_TILE)
-        least = np.full(len(x[part]), -np.inf)
-        r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(x[part]), -np.inf, x.dtype)
+        r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, x.dtype)
         for b in range(0, len(v), KNN_STEP):
             tile = x[part] @ y[b : b + KNN_STEP].T
             if metric == "euclidean":
@@ -113,8 +113,8 @@ def _nearest(qid: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k:
             if metric != "cosine":
                 np.nan_to_num(tile, copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             if b == 0 and tile.shape[1] > keep:
-                least = np.partition(tile, -keep, axis=1)[:, -keep] - 2 * slack[part]
-            more_r, more_c = np.nonzero(tile >= least[:, None])
+                least = (np.partition(tile, -keep, axis=1)[:, -keep] - 2 * slack[part]).astype(x.dtype)
+            more_r, more_c = np.divmod(np.flatnonzero(tile >= least[:, None]), tile.shape[1])
             r, c, s = np.r_[r, more_r], np.r_[c, more_c + b], np.r_[s, tile[more_r, more_c]]
             order = np.lexsort((-s, r))
             r, c, s = r[order], c[order], s[order]
@@ -135,12 +135,20 @@ def _nearest(qid: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k:
     return r, c, s
 
 
+def _blocks(n: int, dimension: int | None) -> int:
+    """Blocks of n vectors in the k-nearest join."""
+    return max(1, min(KNN_SPLIT, n // KNN_BLOCK), -(-n * (dimension or 0) // KNN_VALUES))
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", blocks: int = 0) -> DataFrame:
     """(qid, id, score, rank): the k nearest of every stated query, exactly.
 
-    Both sides are dealt to blocks by hash, of about KNN_BLOCK queries and KNN_ROWS rows, and every
-    pair of blocks is one group: a matrix product that keeps its k best rows a query.  Nothing is
-    gathered on the driver; what is shuffled is each side once per block of the other.
+    Both sides are dealt to blocks by hash, and every pair of blocks is one group: a matrix product, tile
+    by tile, that keeps its k best rows a query.  Nothing is gathered on the driver; what is shuffled is
+    each side once per block of the other, and k rows a query and block.  The blocks are at most KNN_SPLIT
+    a side, so this grows with the input, until a block would exceed KNN_VALUES entries; with 64 of them a
+    vector, up to a million vectors a side.  Above that it grows with the pairs, by two copies of a vector
+    for 65,536 pairs.  The products grow with the pairs at any size.
     """
     import numpy as np
     import pyarrow as pa
@@ -149,8 +157,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosi
     ship(queries.sparkSession)
     asked = queries.where("embedding is not null").select("qid", "embedding")
     rows = vectors.where("embedding is not null").select("id", "embedding")
-    n_asked, n_rows = asked.count(), rows.count()
-    across, down = max(1, blocks, -(-n_asked // KNN_BLOCK)), max(1, -(-n_rows // KNN_ROWS))
+    across, down = (_blocks(*side.agg(F.count("*"), F.max(F.size("embedding"))).first()) for side in (asked, rows))
+    across = max(blocks, across)
     # cogroup hashes its keys as they are: an int and a long of one value would not meet
     x_block, y_block = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("qid", across), ("id", down)))
     x = asked.withColumn("x", x_block).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))

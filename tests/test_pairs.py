@@ -20,7 +20,6 @@ def dealt(spark):
 
 def test_knn_join_meets_every_block(dealt, monkeypatch):
     monkeypatch.setattr(VO, "KNN_BLOCK", 16)
-    monkeypatch.setattr(VO, "KNN_ROWS", 16)
     # grid points, many of them repeated: scores tie and ids decide
     data = [(i, [float(i % 5 - 2), float(i % 3 - 1), float(i % 2)]) for i in range(60)]
     n = dealt.createDataFrame(data, "id long, embedding array<double>")
@@ -48,3 +47,10 @@ def test_knn_kernel_agrees_with_columns(spark, monkeypatch, metric):
         mine = [round(x, 9) for x, q in zip(s, own[r]) if q == i]
         assert mine == sorted((round(x, 9) for (q, _), x in scores.items() if q == i), reverse=True)[:6]
     assert all(scores[int(own[a]), int(own[b])] == pytest.approx(x) for a, b, x in zip(r, c, s))
+
+
+def test_knn_blocks_do_not_grow_with_the_vectors():
+    """What is shuffled is each side once per block of the other: no more blocks for ten times the vectors, and none too large."""
+    assert VO._blocks(60_000, 64) == VO._blocks(600_000, 64) == 16
+    assert VO._blocks(100, 64) == VO._blocks(0, None) == 1
+    assert all(n * d / VO._blocks(n, d) <= VO.KNN_VALUES for n in (10**6, 10**7) for d in (64, 1024))
