@@ -7,12 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..model import both_ways, flip
 from ..scratch import cut
 
 #: Depth of an unbounded traversal.
 DEPTH_CAP = 10
+#: Rows a side of a cell of property_join; pairs of equal values a task, and the most tasks.
+JOIN_BLOCK, JOIN_PAIRS, JOIN_TASKS = 1024, 1 << 22, 4096
 #: Hops after which the visited set's lineage is cut.
 CUT_EVERY = 3
 
@@ -183,9 +186,40 @@ def shortest_costs(anchors: DataFrame, hops: DataFrame, max_hops: int | None = N
 
 
 def property_join(a: DataFrame, b: DataFrame, equal: list[tuple[str, str]], also: Column | None = None) -> DataFrame:
-    """Entities of a and b whose properties agree, by an equi-join; also: a further test of the pairs."""
+    """Entities of a and b whose properties agree, by an equi-join; also: a further test of the pairs.
+
+    A value that many share has as many pairs as the product of its rows.  So the rows of such values are dealt
+    to blocks of about JOIN_BLOCK by a hash of the whole row, and every pair of blocks is a key of its own; the
+    tasks are as many as the pairs need.  Each row goes once to every block of the other side.
+    """
+    keys = [f"_k{n}" for n in range(len(equal))]
+    sizes = [t.groupBy(*[t[c].alias(k) for c, k in zip(cols, keys)]).agg(F.count("*").alias(n)) for t, cols, n in zip((a, b), zip(*equal), ("_na", "_nb"))]
+    # values with more than one block: at most a JOIN_BLOCK-th of the rows of each side
+    met = sizes[0].join(sizes[1], keys)
+    blocks = [F.ceil(F.col(n) / JOIN_BLOCK).cast("int") for n in ("_na", "_nb")]
+    pairs = met.agg(F.sum(F.col("_na") * F.col("_nb"))).first()[0] or 0
     on = reduce(lambda x, y: x & y, [a[p] == b[q] for p, q in equal])
-    return a.join(b, on if also is None else on & also)
+    if pairs <= JOIN_PAIRS:
+        return a.join(b, on if also is None else on & also)
+    hot = cut(met.select(*keys, blocks[0].alias("_da"), blocks[1].alias("_db")).where("_da > 1 or _db > 1"))
+
+    def dealt(t: DataFrame, cols: tuple[str, ...], own: str, other: str, at: str, to: str) -> DataFrame:
+        named = hot.select(*[F.col(k) for k in keys], F.col(own).alias(f"{own}_"), F.col(other).alias(f"{other}_"))
+        plain = [c for c in t.columns if not isinstance(t.schema[c].dataType, MapType)]
+        j = t.join(F.broadcast(named), reduce(lambda x, y: x & y, [t[c] == F.col(k) for c, k in zip(cols, keys)]), "left")
+        block = F.coalesce(F.pmod(F.xxhash64(*[t[c] for c in plain]), F.col(f"{own}_")).cast("int"), F.lit(0))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_"), F.lit(1)) - 1))
+        return j.select(*[t[c] for c in t.columns], block.alias(at), every.alias(to))
+
+    left, right = zip(*equal)
+    x = dealt(a, left, "_da", "_db", "_xa", "_xb")
+    y = dealt(b, right, "_db", "_da", "_yb", "_ya")
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(JOIN_TASKS, pairs // JOIN_PAIRS))
+    x = x.repartition(tasks, *[x[c] for c in left], "_xa", "_xb")
+    y = y.repartition(tasks, *[y[c] for c in right], "_ya", "_yb")
+    on = reduce(lambda p, q: p & q, [x[p] == y[q] for p, q in equal]) & (F.col("_xa") == F.col("_ya")) & (F.col("_xb") == F.col("_yb"))
+    return x.join(y.hint("shuffle_hash"), on if also is None else on & also).drop("_xa", "_xb", "_ya", "_yb")
 
 
 def unique_violations(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataweave.functions import vectors as V
+from strataweave.operators import graph as G
 from strataweave.operators import vector as VO
 
 
@@ -54,3 +55,20 @@ def test_knn_blocks_do_not_grow_with_the_vectors():
     assert VO._blocks(60_000, 64) == VO._blocks(600_000, 64) == 16
     assert VO._blocks(100, 64) == VO._blocks(0, None) == 1
     assert all(n * d / VO._blocks(n, d) <= VO.KNN_VALUES for n in (10**6, 10**7) for d in (64, 1024))
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_property_join_deals_a_common_value(dealt, monkeypatch, block):
+    """One value holds most rows: the pairs are whole, and no task makes more than a small part of them."""
+    monkeypatch.setattr(G, "JOIN_BLOCK", block, raising=False)
+    monkeypatch.setattr(G, "JOIN_PAIRS", block, raising=False)
+    a = [(i, None if i % 20 == 3 else i % 3 if i < 12 else 1, i % 7) for i in range(60)]
+    b = [(i, 1 if i % 5 else 2, i % 4) for i in range(40)] + [(99, None, 0)]
+    x, y = dealt.createDataFrame(a, "i long, k long, u int"), dealt.createDataFrame(b, "j long, l long, v int")
+    got = G.property_join(x, y, [("k", "l")], F.col("u") > F.col("v"))
+    assert got.columns == ["i", "k", "u", "j", "l", "v"]
+    want = sorted((i, j) for i, k, u in a for j, m, v in b if k is not None and k == m and u > v)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    if block == 4:
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most * 2 < len(want)
