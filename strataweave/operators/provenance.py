@@ -137,17 +137,34 @@ def trust(confidence: DataFrame, lineage: DataFrame, policy: str = "weakest", mi
 
     weakest: the least confidence of itself and its sources; noisy_or: 1 - product(1 - c).
     missing: value for versions without confidence, or None to leave them out (0.5 if nothing is left).
+
+    Where every version has one source at most, spans of 1, 2, 4, ... versions are combined, so the rows are those
+    of the versions, not of the closure; only versions whose lineage is longer, or a cycle, take the closure.
     """
-    own = confidence.select("version", F.col("confidence") if missing is None else F.coalesce("confidence", F.lit(missing)).alias("confidence"))
-    closure = lineage_closure(lineage, own.select(F.col("version").alias("root")), depth).select("root", "version")
-    every = closure.union(own.select("version", "version"))
-    joined = every.toDF("root", "version").join(own, "version", "left")
-    if policy == "weakest":
-        agg = F.min("confidence")
-    else:
-        c = F.when(F.col("confidence").isNotNull(), F.least(F.col("confidence"), F.lit(1 - 1e-12)))  # least() would skip a null
-        agg = 1 - F.exp(F.sum(F.log(1 - c)))
-    return joined.groupBy(F.col("root").alias("version")).agg(F.coalesce(agg, F.lit(0.5)).alias("trust"))
+    c = F.col("confidence") if missing is None else F.coalesce("confidence", F.lit(missing))
+    if policy != "weakest":
+        c = F.when(c.isNotNull(), F.log(1 - F.least(c, F.lit(1 - 1e-12))))  # least() would skip a null
+    own = confidence.select("version", c.alias("part"))
+    hops = lineage.where("derived <> source").select(F.col("derived").alias("version"), F.col("source").alias("to")).distinct()
+    spans = cut(own.withColumn("asked", F.lit(True)).join(hops, "version", "full"))
+    rest = own.select(F.col("version").alias("root"))
+    out = None
+    if spans.groupBy("version").count().where("count > 1").isEmpty():
+        for _ in range(depth.bit_length() - 1):
+            ahead = spans.select(F.col("version").alias("to"), F.col("part").alias("part_"), F.col("to").alias("to_"))
+            both = F.least("part", "part_") if policy == "weakest" else F.coalesce(F.col("part") + F.col("part_"), "part", "part_")
+            longer = spans.where("to is not null").join(ahead, "to", "left").select("version", both.alias("part"), "asked", F.col("to_").alias("to"))
+            spans = cut(spans.where("to is null").select("version", "part", "asked", "to").unionByName(longer))
+        out = spans.where("asked and to is null").select("version", "part")
+        rest = spans.where("asked and to is not null").select(F.col("version").alias("root"))
+    if out is None or not rest.isEmpty():
+        closure = lineage_closure(lineage, rest, depth).select("root", "version")
+        every = closure.union(rest.select("root", F.col("root").alias("version")))
+        agg = F.min("part") if policy == "weakest" else F.sum("part")
+        walked = every.join(own, "version", "left").groupBy(F.col("root").alias("version")).agg(agg.alias("part"))
+        out = walked if out is None else out.unionByName(walked)
+    value = F.col("part") if policy == "weakest" else 1 - F.exp("part")
+    return out.select("version", F.coalesce(value, F.lit(0.5)).alias("trust"))
 
 
 def hash_chain(writes: DataFrame, columns: list[str]) -> DataFrame:
